@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from checks.oracle import ORACLE  # noqa: E402
+from donorlens.functions import segments  # noqa: E402
 from donorlens.functions.periods import Spine  # noqa: E402
 from donorlens.operators import cleaning, pivots, profiling  # noqa: E402
 from donorlens.plans import (  # noqa: E402
@@ -206,8 +207,12 @@ def _union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _segment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = rfm.rfm_customers(sample_tables.donations(spark, sf_dir))
-    return labelled.select("RFM", "segment_name", "segment_description").distinct()
+    codes = rfm.rfm_score(rfm.rfm_base(sample_tables.donations(spark, sf_dir))).select("RFM").distinct()
+    return codes.select(
+        "RFM",
+        segments.segment_name(F.col("RFM")).alias("segment_name"),
+        segments.segment_description(F.col("RFM")).alias("segment_description"),
+    )
 
 
 def oracle_sql() -> dict[str, str]:

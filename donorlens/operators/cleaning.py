@@ -47,11 +47,15 @@ def to_timestamps(df: DataFrame, columns: Sequence[str], fmt: str | None = None)
     return df.withColumns({c: parsed(c) for c in columns})
 
 
+# A plain or scientific decimal number. Texts are matched first because a failed cast to DOUBLE costs an exception.
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
 def to_integers(df: DataFrame, columns: Sequence[str], strict: bool = False) -> DataFrame:
     """Text to whole numbers, fractions cut off; what cannot be parsed becomes null, or an error if ``strict``."""
 
     def parsed(c: str):
-        number = F.col(c).try_cast("double").try_cast("bigint")
+        number = F.when(F.col(c).rlike(NUMBER), F.col(c).try_cast("double").try_cast("bigint"))
         exact = F.coalesce(F.col(c).try_cast("bigint"), number)
         return F.coalesce(exact, F.raise_error(F.lit(f"{c}: value is not a number"))) if strict else exact
 

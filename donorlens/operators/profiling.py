@@ -75,8 +75,8 @@ def numeric_features(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in exclude]
 
 
-MEDIAN_BINS = 4096
-MEDIAN_LEVELS = 3
+MEDIAN_BINS = 65_536
+MEDIAN_LEVELS = 2
 
 
 def histogram_table(df: DataFrame, exclude: Sequence[str] = (), max_bins: int = 20) -> DataFrame:
@@ -84,35 +84,37 @@ def histogram_table(df: DataFrame, exclude: Sequence[str] = (), max_bins: int =
 
     Each column gets ``min(max_bins, distinct values, null included)`` equal-width buckets between its minimum and
     maximum. The table is shuffled once, as (feature, value, count); everything else is computed from that.
+    Broadcast tables have one or two rows per numeric column, so the schema bounds them.
     """
     features = numeric_features(df, exclude)
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features])
-    counts = df.select(F.inline(pairs)).groupBy("feature", "value").agg(F.count("*").alias("n"))
-
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("value")) for c in features])
     value, n = F.col("value"), F.col("n")
+    counts = df.select(F.inline(pairs)).where(value.isNotNull()).groupBy("feature", "value").agg(F.count("*").alias("n"))
+
+    distinct = F.col("_distinct") + F.when(F.col("has_null"), 1).otherwise(0)
     stats = (
         counts.groupBy("feature")
         .agg(
             F.min("value").alias("_lo"),
             F.max("value").alias("_hi"),
-            F.sum(F.when(value.isNotNull(), n)).alias("_rows"),
+            F.sum("n").alias("_rows"),
             F.sum(value * n).alias("_sum"),
-            F.least(F.lit(max_bins), F.count("*")).cast("int").alias("_bins"),
-            F.count("value").alias("_distinct"),
+            F.count("*").alias("_distinct"),
         )
         .where(F.col("_distinct") > 1)
-        .drop("_distinct")
+        .join(F.broadcast(_null_flags(df, features)), "feature")
+        .withColumn("_bins", F.least(F.lit(max_bins), distinct).cast("int"))
     )
-    # One row per numeric column of the input, so all broadcasts below are bounded by the schema.
-    known = counts.where(value.isNotNull()).join(F.broadcast(stats), "feature")
     bucket = F.least(F.width_bucket(value, F.col("_lo"), F.col("_hi"), F.col("_bins")), F.col("_bins"))
-    buckets = known.groupBy("feature", "_lo", "_hi", "_bins", bucket.alias("bucket")).agg(F.sum("n").alias("n"))
-    width = (F.col("_hi") - F.col("_lo")) / F.col("_bins")
-    summary = _medians(known).join(
-        stats.select("feature", ratio(F.col("_sum"), F.col("_rows")).alias("mean")), "feature"
+    per_feature = stats.select("feature", "_lo", "_hi", "_bins", ratio(F.col("_sum"), F.col("_rows")).alias("mean"))
+    buckets = (
+        counts.join(F.broadcast(per_feature), "feature")
+        .groupBy("feature", "_lo", "_hi", "_bins", "mean", bucket.alias("bucket"))
+        .agg(F.sum("n").alias("n"))
     )
+    width = (F.col("_hi") - F.col("_lo")) / F.col("_bins")
     return (
-        buckets.join(F.broadcast(summary), "feature")
+        buckets.join(F.broadcast(_medians(counts, stats)), "feature")
         .select(
             "feature",
             F.col("bucket").cast("bigint").alias("bucket"),
@@ -126,7 +128,13 @@ def histogram_table(df: DataFrame, exclude: Sequence[str] = (), max_bins: int =
     )
 
 
-def _medians(known: DataFrame) -> DataFrame:
+def _null_flags(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    flags = df.agg(*[F.max(F.col(f"`{c}`").isNull()).alias(f"f{i}") for i, c in enumerate(features)])
+    rows = [F.struct(F.lit(c).alias("feature"), F.col(f"f{i}").alias("has_null")) for i, c in enumerate(features)]
+    return flags.select(F.inline(F.array(*rows)))
+
+
+def _medians(counts: DataFrame, stats: DataFrame) -> DataFrame:
     """Exact median per feature from (feature, value, n) without sorting a whole feature in one task.
 
     The range that holds the two middle ranks is narrowed ``MEDIAN_LEVELS`` times to one of ``MEDIAN_BINS`` bins; only
@@ -135,26 +143,25 @@ def _medians(known: DataFrame) -> DataFrame:
     lower = F.floor((F.col("_rows") + 1) / 2)
     upper = F.floor(F.col("_rows") / 2) + 1
     ranks = F.inline(F.array(F.struct(lower.alias("rank")), F.struct(upper.alias("rank"))))
-    ranges = known.select("feature", "_lo", "_hi", "_rows").distinct().select(
+    ranges = stats.select(
         "feature", F.col("_lo").alias("a"), F.col("_hi").alias("b"), F.lit(0).cast("bigint").alias("below"), ranks
-    )
-    points = known.select("feature", "value", "n")
-    in_order = Window.partitionBy("feature", "rank").orderBy("bin")
+    ).distinct()
+    value, a, b = F.col("value"), F.col("a"), F.col("b")
+    position = F.when(b > a, F.floor((value - a) / (b - a) * MEDIAN_BINS)).otherwise(F.lit(0))
+
+    def holding(spans: DataFrame, order: str) -> DataFrame:
+        """The one row per feature and rank where the running count passes the rank."""
+        so_far = F.sum("n").over(Window.partitionBy("feature", "rank").orderBy(order))
+        counted = spans.withColumn("below", F.col("below") + so_far - F.col("n"))
+        return counted.where((F.col("below") < F.col("rank")) & (F.col("below") + F.col("n") >= F.col("rank")))
+
     for _ in range(MEDIAN_LEVELS):
-        inside = points.join(F.broadcast(ranges), "feature").where(F.col("value").between(F.col("a"), F.col("b")))
-        position = F.floor((F.col("value") - F.col("a")) / (F.col("b") - F.col("a")) * MEDIAN_BINS)
         bins = (
-            inside.withColumn("bin", F.when(F.col("b") > F.col("a"), position).otherwise(F.lit(0)))
-            .groupBy("feature", "rank", "below", "bin")
+            counts.join(F.broadcast(ranges), "feature")
+            .where(value.between(a, b))
+            .groupBy("feature", "rank", "below", position.alias("bin"))
             .agg(F.sum("n").alias("n"), F.min("value").alias("a"), F.max("value").alias("b"))
-            .withColumn("_upto", F.col("below") + F.sum("n").over(in_order))
         )
-        ranges = bins.where((F.col("_upto") >= F.col("rank")) & (F.col("_upto") - F.col("n") < F.col("rank"))).select(
-            "feature", "a", "b", (F.col("_upto") - F.col("n")).alias("below"), "rank"
-        )
-    last = points.join(F.broadcast(ranges), "feature").where(F.col("value").between(F.col("a"), F.col("b")))
-    upto = F.col("below") + F.sum("n").over(Window.partitionBy("feature", "rank").orderBy("value"))
-    middle = last.withColumn("_upto", upto).where(
-        (F.col("_upto") >= F.col("rank")) & (F.col("_upto") - F.col("n") < F.col("rank"))
-    )
-    return middle.groupBy("feature").agg((F.sum("value") / F.count("*")).alias("median"))
+        ranges = holding(bins, "bin").select("feature", "a", "b", "below", "rank")
+    last = counts.join(F.broadcast(ranges), "feature").where(value.between(a, b))
+    return holding(last, "value").groupBy("feature").agg((F.sum("value") / F.count("*")).alias("median"))

@@ -1,7 +1,6 @@
 """Daily, weekly and monthly active donors and stickiness.
 
-The raw table is reduced once to one row per user and day. Days, weeks and months are counted from that table, put
-under each other as (period, kind, n) and averaged in a single aggregation.
+Days, weeks and months are counted together as (period, kind, n), so the raw table is scanned and shuffled once.
 """
 
 from __future__ import annotations
@@ -16,25 +15,22 @@ KINDS = ("day", "week", "month")
 
 
 def _totals(donations: DataFrame, period: Column) -> DataFrame:
-    """Per period: number of active days, weeks and months and the sum of their distinct users."""
-    user_days = donations.select("customer_id", periods.day("order_ts").alias("day")).distinct()
-    keyed = user_days.withColumn("_period", period)
+    """Per period: number of active days, weeks and months and the sum of their distinct users.
 
-    def counts(kind: str, key: Column) -> DataFrame:
-        spans = keyed.select("_period", key.alias("_span"), "customer_id")
-        if kind != "day":
-            spans = spans.distinct()
-        return spans.groupBy("_period", "_span").agg(F.count("customer_id").alias("n")).select(
-            "_period", F.lit(kind).alias("kind"), "n"
-        )
-
-    stacked = (
-        counts("day", F.dayofyear("day"))
-        .unionByName(counts("week", periods.week_of_year("day")))
-        .unionByName(counts("month", F.month("day")))
+    Each row names its day, week and month; the distinct (span, user) pairs combine on the map side before the one
+    shuffle of the raw table.
+    """
+    keys = {"day": F.dayofyear("day"), "week": periods.week_of_year("day"), "month": F.month("day")}
+    spans = F.array(*[F.struct(F.lit(kind).alias("kind"), key.alias("span")) for kind, key in keys.items()])
+    counts = (
+        donations.select("customer_id", periods.day("order_ts").alias("day"))
+        .select("customer_id", period.alias("_period"), F.inline(spans))
+        .distinct()
+        .groupBy("_period", "kind", "span")
+        .agg(F.count("customer_id").alias("n"))
     )
     of = {kind: F.when(F.col("kind") == kind, F.col("n")) for kind in KINDS}
-    return stacked.groupBy("_period").agg(
+    return counts.groupBy("_period").agg(
         *[F.sum(of[kind]).alias(f"{kind}_users") for kind in KINDS],
         *[F.count(of[kind]).alias(f"{kind}_spans") for kind in KINDS],
     )

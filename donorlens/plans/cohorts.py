@@ -43,24 +43,42 @@ def _over_spine(base: DataFrame, spine: Spine, drop_empty: bool) -> DataFrame:
     return F.broadcast(spine.frame(base)).join(base, "month", "left")
 
 
-def _labelled(df: DataFrame) -> DataFrame:
-    return df.withColumn("cohort", periods.month_label("cohort")).withColumn("month", periods.month_label("month"))
-
-
 def retention_long(donations: DataFrame, spine: Spine) -> DataFrame:
     """(cohort, n_customers_start, month, n_customers, retention_rate)."""
     rate = F.round(ratio(F.col("n_customers") * 100, F.col("n_customers_start")), 1)
     rated = cohort_base(donations).where(spine.contains("month")).withColumn("retention_rate", rate)
-    return _labelled(rated).select("cohort", "n_customers_start", "month", "n_customers", "retention_rate")
+    return rated.select(
+        periods.month_label("cohort").alias("cohort"),
+        "n_customers_start",
+        periods.month_label("month").alias("month"),
+        "n_customers",
+        "retention_rate",
+    )
 
 
-def retention_matrix(donations: DataFrame, spine: Spine) -> DataFrame:
-    long = retention_long(donations, spine)
-    return pivots.matrix_pivot(long, ["cohort", "n_customers_start"], "month", spine.labels, "retention_rate").orderBy(
-        "cohort"
+def _matrix(cells: DataFrame, spine: Spine, value: str, *more: str) -> DataFrame:
+    """``cells`` spread over one column per month. Cohorts stay dates until the end: relabelling them earlier would
+    hide that the cells are already partitioned by cohort."""
+    rows = ["cohort", "n_customers_start", *more]
+    wide = pivots.matrix_pivot(
+        cells.withColumn("month", periods.month_label("month")), rows, "month", spine.labels, value
+    )
+    return (
+        wide.withColumn("cohort", periods.month_label("cohort"))
+        .select(*rows[:2], *[F.col(f"`{m}`") for m in spine.labels], *more)
+        .orderBy("cohort")
     )
 
 
+def retention_matrix(donations: DataFrame, spine: Spine) -> DataFrame:
+    rate = F.round(ratio(F.col("n_customers") * 100, F.col("n_customers_start")), 1)
+    cells = cohort_base(donations).where(spine.contains("month")).withColumn("rate", rate)
+    return _matrix(cells, spine, "rate")
+
+
+CHECK = "decimal(28,2)"
+
+
 def _monthly_check() -> Column:
     return F.coalesce(money_mean(F.col("total_sales"), F.col("n_customers")), F.lit(0.0))
 
@@ -68,21 +86,10 @@ def _monthly_check() -> Column:
 def avg_check_matrix(donations: DataFrame, spine: Spine) -> DataFrame:
     """Revenue per donor by cohort and month; the last column is the mean of the cohort's months inside the spine."""
     checks = cohort_base(donations).where(spine.contains("month")).withColumn("check", _monthly_check())
-    rows = ["cohort", "n_customers_start"]
-    overall = checks.groupBy("cohort").agg(_mean_check().alias("average_cohort_check"))
-    wide = pivots.matrix_pivot(
-        checks.withColumn("month", periods.month_label("month")), rows, "month", spine.labels, "check"
-    )
-    return (
-        wide.join(overall, "cohort")
-        .withColumn("cohort", periods.month_label("cohort"))
-        .select(*rows, *[F.col(f"`{m}`") for m in spine.labels], "average_cohort_check")
-        .orderBy("cohort")
-    )
-
-
-def _mean_check() -> Column:
-    return money_mean(F.sum(F.col("check").cast("decimal(18,2)")), F.count("check"))
+    whole = Window.partitionBy("cohort")
+    total, months = F.sum(F.col("check").cast(CHECK)).over(whole), F.count("check").over(whole)
+    cells = checks.withColumn("average_cohort_check", money_mean(total, months))
+    return _matrix(cells, spine, "check", "average_cohort_check")
 
 
 def avg_check_by_cohort(donations: DataFrame, spine: Spine, drop_empty: bool = False) -> DataFrame:
@@ -91,7 +98,7 @@ def avg_check_by_cohort(donations: DataFrame, spine: Spine, drop_empty: bool = F
         _over_spine(cohort_base(donations), spine, drop_empty)
         .withColumn("check", _monthly_check())
         .groupBy("cohort")
-        .agg(_mean_check().alias("average_check"))
+        .agg(money_mean(F.sum(F.col("check").cast(CHECK)), F.count("check")).alias("average_check"))
         .withColumn("cohort", periods.month_label("cohort"))
         .orderBy("cohort")
     )
@@ -118,9 +125,7 @@ def ltv_matrix(donations: DataFrame, spine: Spine, per_user: bool = False) -> Da
     monthly = _monthly_ltv(cohort_base(donations).where(spine.contains("month")), per_user)
     so_far = Window.partitionBy("cohort").orderBy("month")
     running = monthly.withColumn("ltv", money(F.sum("ltv").over(so_far)))
-    return pivots.matrix_pivot(
-        _labelled(running), ["cohort", "n_customers_start"], "month", spine.labels, "ltv"
-    ).orderBy("cohort")
+    return _matrix(running, spine, "ltv")
 
 
 def ltv_running(donations: DataFrame, spine: Spine, drop_empty: bool = False) -> DataFrame:
@@ -128,11 +133,12 @@ def ltv_running(donations: DataFrame, spine: Spine, drop_empty: bool = False) ->
     so_far = Window.partitionBy("cohort").orderBy("month").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = F.coalesce(F.sum("total_sales").over(so_far), F.lit(0))
     running = _over_spine(cohort_base(donations), spine, drop_empty).withColumn("ltv", money(total))
-    return (
-        _labelled(running)
-        .select("cohort", "n_customers_start", F.col("month").alias("order_month"), "ltv")
-        .orderBy("cohort", "order_month")
-    )
+    return running.select(
+        periods.month_label("cohort").alias("cohort"),
+        "n_customers_start",
+        periods.month_label("month").alias("order_month"),
+        "ltv",
+    ).orderBy("cohort", "order_month")
 
 
 def ltv_by_cohort(donations: DataFrame, per_user: bool = False) -> DataFrame:
