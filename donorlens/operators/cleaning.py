@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,7 +39,7 @@ def drop_if_duplicate(df: DataFrame, column: str, candidate: str) -> DataFrame:
 def to_timestamps(df: DataFrame, columns: Sequence[str], fmt: str | None = None) -> DataFrame:
     """Text to timestamps; what cannot be parsed becomes null."""
 
-    def parsed(c: str):
+    def parsed(c: str) -> Column:
         if fmt is None:
             return F.col(c).try_cast("timestamp_ntz")
         return F.try_to_timestamp(F.col(c), F.lit(fmt)).cast("timestamp_ntz")
@@ -47,16 +47,22 @@ def to_timestamps(df: DataFrame, columns: Sequence[str], fmt: str | None = None)
     return df.withColumns({c: parsed(c) for c in columns})
 
 
-# A plain or scientific decimal number. Texts are matched first because a failed cast to DOUBLE costs an exception.
+# A plain or scientific decimal number. Texts are matched first because every failed cast costs an exception.
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
+def whole_number(c: Column, dtype: str = "string") -> Column:
+    """A number or its text as BIGINT, fraction cut off; null if it is not a number or too large."""
+    number = F.when(c.rlike(NUMBER), c.try_cast("decimal(38,15)")) if dtype == "string" else c
+    return number.try_cast("bigint")
+
+
 def to_integers(df: DataFrame, columns: Sequence[str], strict: bool = False) -> DataFrame:
-    """Text to whole numbers, fractions cut off; what cannot be parsed becomes null, or an error if ``strict``."""
+    """Columns as whole numbers; what cannot be parsed becomes null, or an error if ``strict``."""
+    dtypes = dict(df.dtypes)
 
-    def parsed(c: str):
-        number = F.when(F.col(c).rlike(NUMBER), F.col(c).try_cast("double").try_cast("bigint"))
-        exact = F.coalesce(F.col(c).try_cast("bigint"), number)
-        return F.coalesce(exact, F.raise_error(F.lit(f"{c}: value is not a number"))) if strict else exact
+    def parsed(c: str) -> Column:
+        whole = whole_number(F.col(c), dtypes[c])
+        return F.coalesce(whole, F.raise_error(F.lit(f"{c}: value is not a number"))) if strict else whole
 
     return df.withColumns({c: parsed(c) for c in columns})

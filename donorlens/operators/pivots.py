@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,12 @@ def matrix_pivot(df: DataFrame, rows: Sequence[str], period: str, periods: Seque
     return df.groupBy(*rows).pivot(period, list(periods)).agg(F.max(value))
 
 
+def with_total(df: DataFrame, label: Column, name: str, sums: Sequence[str]) -> DataFrame:
+    """Sum ``sums`` per ``label`` and once more over all rows, labelled ``Total``. For tables that are small already."""
+    labels = F.explode(F.array(label, F.lit("Total"))).alias(name)
+    return df.select(labels, *sums).groupBy(name).agg(*[F.sum(c).alias(c) for c in sums])
+
+
 def newest_first(df: DataFrame, fixed: int = 2) -> DataFrame:
     """Keep the first ``fixed`` columns and reverse the others."""
     return df.select(*[F.col(f"`{c}`") for c in df.columns[:fixed] + df.columns[fixed:][::-1]])

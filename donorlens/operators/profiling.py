@@ -87,7 +87,10 @@ def histogram_table(df: DataFrame, exclude: Sequence[str] = (), max_bins: int =
     Broadcast tables have one or two rows per numeric column, so the schema bounds them.
     """
     features = numeric_features(df, exclude)
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("value")) for c in features])
+    # Columns travel as their position: four bytes per row instead of a name.
+    pairs = F.array(
+        *[F.struct(F.lit(i).alias("feature"), F.col(f"`{c}`").cast("double").alias("value")) for i, c in enumerate(features)]
+    )
     value, n = F.col("value"), F.col("n")
     counts = df.select(F.inline(pairs)).where(value.isNotNull()).groupBy("feature", "value").agg(F.count("*").alias("n"))
 
@@ -116,7 +119,7 @@ def histogram_table(df: DataFrame, exclude: Sequence[str] = (), max_bins: int =
     return (
         buckets.join(F.broadcast(_medians(counts, stats)), "feature")
         .select(
-            "feature",
+            F.element_at(F.array(*[F.lit(c) for c in features]), F.col("feature") + 1).alias("feature"),
             F.col("bucket").cast("bigint").alias("bucket"),
             (F.col("_lo") + width * (F.col("bucket") - 1)).alias("lo"),
             (F.col("_lo") + width * F.col("bucket")).alias("hi"),
@@ -130,7 +133,7 @@ def histogram_table(df: DataFrame, exclude: Sequence[str] = (), max_bins: int =
 
 def _null_flags(df: DataFrame, features: Sequence[str]) -> DataFrame:
     flags = df.agg(*[F.max(F.col(f"`{c}`").isNull()).alias(f"f{i}") for i, c in enumerate(features)])
-    rows = [F.struct(F.lit(c).alias("feature"), F.col(f"f{i}").alias("has_null")) for i, c in enumerate(features)]
+    rows = [F.struct(F.lit(i).alias("feature"), F.col(f"f{i}").alias("has_null")) for i in range(len(features))]
     return flags.select(F.inline(F.array(*rows)))
 
 

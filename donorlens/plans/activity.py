@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from donorlens.functions import periods
 from donorlens.functions.numbers import ratio
+from donorlens.operators.pivots import with_total
 
 KINDS = ("day", "week", "month")
 
@@ -58,12 +59,7 @@ def activity_by_year(donations: DataFrame) -> DataFrame:
     """
     by_year = _totals(donations, periods.year("day"))
     measures = [c for c in by_year.columns if c != "_period"]
-    overall = by_year.agg(*[F.sum(c).alias(c) for c in measures])
-    return (
-        _rates(by_year, periods.year_label("_period").alias("year"))
-        .unionByName(_rates(overall, F.lit("Total").alias("year")))
-        .orderBy("year")
-    )
+    return _rates(with_total(by_year, periods.year_label("_period"), "year", measures), F.col("year")).orderBy("year")
 
 
 def activity_by_month(donations: DataFrame) -> DataFrame:

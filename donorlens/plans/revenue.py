@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from donorlens.functions import periods
 from donorlens.functions.numbers import mean, money, money_mean, ratio
+from donorlens.operators.pivots import with_total
 from donorlens.schemas import PAID
 
 
@@ -79,13 +80,8 @@ def avg_check_by_year(donations: DataFrame) -> DataFrame:
     by_year = _paid(donations).groupBy(periods.year("order_ts").alias("_year")).agg(
         F.sum("total_price").alias("amount"), F.count("total_price").alias("n")
     )
-    overall = by_year.agg(F.sum("amount").alias("amount"), F.sum("n").alias("n"))
-    check = money_mean(F.col("amount"), F.col("n")).alias("average_check")
-    return (
-        by_year.select(periods.year_label("_year").alias("year"), check)
-        .unionByName(overall.select(F.lit("Total").alias("year"), check))
-        .orderBy("year")
-    )
+    labelled = with_total(by_year, periods.year_label("_year"), "year", ["amount", "n"])
+    return labelled.select("year", money_mean(F.col("amount"), F.col("n")).alias("average_check")).orderBy("year")
 
 
 def avg_payments_and_lifetime(donations: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ donations  one row per payment line
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from donorlens.operators.cleaning import whole_number
+
 MONEY = T.DecimalType(18, 2)
 
 ACTIONS = T.StructType(
@@ -61,13 +63,18 @@ DONATION_COLUMNS = {
 
 def _conform(df: DataFrame, columns: dict[str, str], schema: T.StructType) -> DataFrame:
     """Rename to model names and cast; columns the export lacks (dropped as all-null) become null."""
-    source = {new: old for old, new in columns.items()}
-    return df.select(
-        *[
-            (F.col(source[f.name]) if source.get(f.name) in df.columns else F.lit(None)).try_cast(f.dataType).alias(f.name)
-            for f in schema.fields
-        ]
-    )
+    source = {model: export for export, model in columns.items()}
+    dtypes = dict(df.dtypes)
+
+    def field(f: T.StructField) -> Column:
+        name = source.get(f.name, f.name)
+        if name not in dtypes:
+            return F.lit(None).cast(f.dataType)
+        if isinstance(f.dataType, T.LongType):
+            return whole_number(F.col(name), dtypes[name])
+        return F.col(name).try_cast(f.dataType)
+
+    return df.select(*[field(f).alias(f.name) for f in schema.fields])
 
 
 def to_actions(raw: DataFrame) -> DataFrame:

@@ -47,36 +47,46 @@ def read_routed(
 ) -> tuple[DataFrame, DataFrame]:
     """All ``.csv`` files of a folder in two tables: names that contain ``token`` in any case, and the others.
 
-    Unreadable files are skipped. Both tables share one schema; columns a file lacks are read by position, so use
-    ``read_named`` with ``union_all`` for files whose columns differ.
+    One read serves both; the file-name filter prunes files before they are opened, and unreadable files are skipped.
+    Columns are read by position, so all files must share ``schema``; see ``read_by_name`` for files that differ.
     """
     rows = read_csv(spark, folder, schema, sep, pathGlobFilter="*.csv", ignoreCorruptFiles="true")
     return rows.where(name_contains(token)), rows.where(~name_contains(token))
 
 
-def names_in(spark: SparkSession, folder: str) -> list[str]:
+def csv_paths(spark: SparkSession, folder: str) -> list[str]:
     """Paths of the folder's ``.csv`` files in name order. The list is as long as the folder has files."""
     return [row["path"] for row in list_csv_files(spark, folder).orderBy("name").select("path").toLocalIterator()]
 
 
-def read_named(
-    spark: SparkSession,
-    folder: str,
-    word: str,
-    schema: T.StructType | None = None,
-    sep: str = ";",
-    exclude: str | None = None,
-) -> DataFrame:
-    """The first file (by name) whose name contains ``word`` and not ``exclude``; no such file gives an empty table."""
-    path = next((p for p in names_in(spark, folder) if _matches(p, word, exclude)), None)
-    if path is None:
-        return spark.createDataFrame([], schema or T.StructType([]))
-    return read_csv(spark, path, schema, sep)
+def split_by_token(paths: Sequence[str], token: str) -> tuple[list[str], list[str]]:
+    """Paths whose file name contains ``token`` in any case, and the others."""
+    with_token = [p for p in paths if token.lower() in _name(p).lower()]
+    return with_token, [p for p in paths if p not in set(with_token)]
+
+
+def first_named(paths: Sequence[str], word: str) -> str | None:
+    """The first path whose file name contains ``word``."""
+    return next((p for p in paths if word in _name(p)), None)
+
 
+def _name(path: str) -> str:
+    return path.rsplit("/", 1)[-1]
 
-def _matches(path: str, word: str, exclude: str | None) -> bool:
-    name = path.rsplit("/", 1)[-1]
-    return word in name and (exclude is None or exclude.lower() not in name.lower())
+
+def read_by_name(spark: SparkSession, paths: Sequence[str], sep: str = ";") -> DataFrame:
+    """Files with headers of their own as one table of text columns, matched by name, missing ones null.
+
+    Files with equal headers share one read, so the plan grows with the number of layouts and not of files.
+    """
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        header = tuple(spark.read.option("sep", sep).option("header", True).csv(path).columns)
+        layouts.setdefault(header, []).append(path)
+    if not layouts:
+        return spark.createDataFrame([], T.StructType([]))
+    as_text = [T.StructType([T.StructField(c, T.StringType()) for c in header]) for header in layouts]
+    return union_all([read_csv(spark, same, schema, sep) for schema, same in zip(as_text, layouts.values())])
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
