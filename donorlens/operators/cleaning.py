@@ -8,6 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# A plain or scientific decimal number. Texts are matched first because every failed cast costs an exception.
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
+def whole_number(c: Column, dtype: str = "string") -> Column:
+    """A number or its text as BIGINT, fraction cut off; null if it is not a number or too large."""
+    number = F.when(c.rlike(NUMBER), c.try_cast("decimal(38,15)")) if dtype == "string" else c
+    return number.try_cast("bigint")
+
+
 def drop_columns(df: DataFrame, columns: Sequence[str], strict: bool = False) -> DataFrame:
     """Drop columns; absent ones are ignored, or an error if ``strict``."""
     absent = [c for c in columns if c not in df.columns]
@@ -18,13 +28,16 @@ def drop_columns(df: DataFrame, columns: Sequence[str], strict: bool = False) ->
 
 def drop_empty_columns(df: DataFrame) -> DataFrame:
     """Drop columns without any value. Runs one aggregation that returns one row; no rows at all drops every column."""
+    if not df.columns:
+        return df
     counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns]).first()
     return df.select(*[F.col(f"`{c}`") for c in df.columns if counts[c] > 0])
 
 
 def duplicate_check(df: DataFrame, column: str, candidate: str) -> DataFrame:
     """One row: over rows where ``candidate`` has a value, how many differ from ``column`` as whole numbers."""
-    differs = ~F.col(column).eqNullSafe(F.col(candidate).cast("bigint"))
+    dtypes = dict(df.dtypes)
+    differs = ~whole_number(F.col(column), dtypes[column]).eqNullSafe(whole_number(F.col(candidate), dtypes[candidate]))
     return df.where(F.col(candidate).isNotNull()).agg(
         F.count("*").alias("compared"), F.count_if(differs).alias("different")
     )
@@ -47,16 +60,6 @@ def to_timestamps(df: DataFrame, columns: Sequence[str], fmt: str | None = None)
     return df.withColumns({c: parsed(c) for c in columns})
 
 
-# A plain or scientific decimal number. Texts are matched first because every failed cast costs an exception.
-NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-
-
-def whole_number(c: Column, dtype: str = "string") -> Column:
-    """A number or its text as BIGINT, fraction cut off; null if it is not a number or too large."""
-    number = F.when(c.rlike(NUMBER), c.try_cast("decimal(38,15)")) if dtype == "string" else c
-    return number.try_cast("bigint")
-
-
 def to_integers(df: DataFrame, columns: Sequence[str], strict: bool = False) -> DataFrame:
     """Columns as whole numbers; what cannot be parsed becomes null, or an error if ``strict``."""
     dtypes = dict(df.dtypes)

@@ -23,6 +23,8 @@ def changed_types(before: DataFrame, after: DataFrame) -> list[str]:
 
 def dataset_profile(df: DataFrame) -> DataFrame:
     """(column, dtype, non_null, missing), fewest missing first. One pass over the data."""
+    if not df.columns:
+        return df.sparkSession.createDataFrame([], "column string, dtype string, non_null bigint, missing bigint")
     counted = df.agg(F.count("*").alias("n"), *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)])
     described = F.array(
         *[

@@ -42,3 +42,5 @@ def test_ids_missing_on_both_sides(spark, con):
     ):
         sql = oracle.ORACLE[name].replace(f"WITH {oracle.D}, {oracle.EVENT_ACTIONS}", prefix)
         assert difference(metric(donations, events), con, sql) is None
+    sources = {r["source"] for r in users.non_matched_users_by_year(donations, events).collect()}
+    assert sources == {"customers_only", "orders_only"}
