@@ -7,28 +7,30 @@ from pyspark.sql import functions as F
 
 
 def hot_keys(df: DataFrame, key: str, share: float) -> DataFrame:
-    """Keys that own more than ``share`` of the rows: fewer than ``1 / share`` of them, whatever the data."""
+    """(key, _parts) for keys with more than ``share`` of the rows; a part is ``share`` of all rows.
+
+    Whatever the data, there are fewer than ``1 / share`` such keys, and their parts add up to less than ``2 / share``.
+    """
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total"))
-    hot = counts.crossJoin(F.broadcast(total)).where(F.col("_n") > F.col("_total") * F.lit(share))
-    return hot.select(key, F.lit(True).alias("_hot"))
+    parts = F.ceil(F.col("_n") / (F.col("_total") * F.lit(share)))
+    return counts.crossJoin(F.broadcast(total)).select(key, parts.alias("_parts")).where(F.col("_parts") > 1)
 
 
 def salt_pair(
-    rows: DataFrame, per_key: DataFrame, key: str, spread_by: str, share: float = 0.001, salts: int = 512
+    rows: DataFrame, per_key: DataFrame, key: str, spread_by: str, share: float = 1e-4
 ) -> tuple[DataFrame, DataFrame]:
     """Add a ``_salt`` column to both sides of a join on ``key``.
 
-    ``rows`` may hold any number of rows per key; ``per_key`` holds one. Rows of a hot key are spread over ``salts``
-    join partitions by a hash of ``spread_by`` and the key's single row is copied to each; all other keys keep salt 0.
-    The hot-key list is broadcast: it has fewer than ``1 / share`` rows.
+    ``rows`` may hold any number of rows per key; ``per_key`` holds one. Rows of a hot key are spread over as many
+    salts as the key has parts, by a hash of ``spread_by``, and the key's single row is copied to each salt; all other
+    keys keep salt 0. No join partition then gets much more than ``share`` of the rows from one key. The broadcast
+    list of hot keys has fewer than ``1 / share`` rows, and fewer than ``2 / share`` copies are made.
     """
     hot = F.broadcast(hot_keys(rows, key, share))
-    salted_rows = rows.join(hot, key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts))).otherwise(F.lit(0).cast("bigint"))
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).otherwise(
-        F.array(F.lit(0).cast("bigint"))
+    parts = F.coalesce(F.col("_parts"), F.lit(1).cast("bigint"))
+    salted_rows = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread_by), parts))
+    salted_keys = per_key.join(hot, key, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))
     )
-    salted_keys = per_key.join(hot, key, "left").withColumn("_salt", F.explode(copies))
-    return salted_rows.drop("_hot"), salted_keys.drop("_hot")
+    return salted_rows.drop("_parts"), salted_keys.drop("_parts")

@@ -40,7 +40,7 @@ def _over_spine(base: DataFrame, spine: Spine, drop_empty: bool) -> DataFrame:
     """``base`` clipped to the spine; unless ``drop_empty``, months without donations give one row without cohort."""
     if drop_empty:
         return base.where(spine.contains("month"))
-    return F.broadcast(spine.frame(base)).join(base, "month", "left")
+    return spine.frame(base).join(base, "month", "left")
 
 
 def retention_long(donations: DataFrame, spine: Spine) -> DataFrame:

@@ -94,7 +94,7 @@ def paid_users_by_first_channel(donations: DataFrame, actions: DataFrame, years:
     )
 
 
-def avg_days_first_to_second(donations: DataFrame, hot_share: float = 0.001, salts: int = 512) -> DataFrame:
+def avg_days_first_to_second(donations: DataFrame, hot_share: float = 1e-4) -> DataFrame:
     """Mean days from a user's first paid non-recurrent donation to their next donation of any kind, whole days.
 
     The only metric that joins raw rows per user; users with very many rows are spread over several join partitions.
@@ -107,7 +107,7 @@ def avg_days_first_to_second(donations: DataFrame, hot_share: float = 0.001, sal
     rows = donations.select("customer_id", "order_ts").where(
         F.col("customer_id").isNotNull() & F.col("order_ts").isNotNull()
     )
-    salted_rows, salted_first = skew.salt_pair(rows, first, "customer_id", "order_ts", share=hot_share, salts=salts)
+    salted_rows, salted_first = skew.salt_pair(rows, first, "customer_id", "order_ts", share=hot_share)
     second = (
         salted_rows.join(salted_first, ["customer_id", "_salt"])
         .where(F.col("order_ts") > F.col("first_ts"))
