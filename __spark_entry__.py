@@ -168,7 +168,8 @@ def _row_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _histogram_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["l_orderkey", "l_partkey", "l_suppkey"]
     bins = profiling.histogram_table(table(spark, sf_dir, "lineitem"), exclude=keys)
-    return bins.withColumn("mean", F.round("mean", 9))
+    # Doubles summed in another order differ in their last digits.
+    return bins.withColumn("mean", F.round("mean", 4))
 
 
 def _duplicate_column_check(spark: SparkSession, sf_dir: str) -> DataFrame:

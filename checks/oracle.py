@@ -450,7 +450,7 @@ _FEATURES = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_t
 ORACLE["histogram_table"] = f"""WITH tall AS (
   {" UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS v FROM lineitem" for c in _FEATURES)}),
 stats AS (
-  SELECT feature, min(v) AS a, max(v) AS b, median(v) AS median, {rnd("avg(v)", 9)} AS mean,
+  SELECT feature, min(v) AS a, max(v) AS b, median(v) AS median, {rnd("avg(v)", 4)} AS mean,
     least(20, count(DISTINCT v) + max(CASE WHEN v IS NULL THEN 1 ELSE 0 END)) AS k
   FROM tall GROUP BY feature HAVING count(DISTINCT v) > 1),
 placed AS (
