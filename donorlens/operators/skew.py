@@ -1,36 +1,18 @@
-"""Joining raw rows on a key that may be hot."""
+"""Keys that own a large part of the rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def hot_keys(df: DataFrame, key: str, share: float) -> DataFrame:
-    """(key, _parts) for keys with more than ``share`` of the rows; a part is ``share`` of all rows.
+def hot_keys(df: DataFrame, key: str, share: float, **facts: Column) -> DataFrame:
+    """(key, facts...) for keys with more than ``share`` of the rows, to be broadcast.
 
-    Whatever the data, there are fewer than ``1 / share`` such keys, and their parts add up to less than ``2 / share``.
+    Whatever the data, there are fewer than ``1 / share`` of them. ``facts`` are aggregates over the key's rows; they
+    combine on the map side, so a hot key costs no more than any other.
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    parts = F.ceil(F.col("_n") / (F.col("_total") * F.lit(share)))
-    return counts.crossJoin(F.broadcast(total)).select(key, parts.alias("_parts")).where(F.col("_parts") > 1)
-
-
-def salt_pair(
-    rows: DataFrame, per_key: DataFrame, key: str, spread_by: str, share: float = 1e-4
-) -> tuple[DataFrame, DataFrame]:
-    """Add a ``_salt`` column to both sides of a join on ``key``.
-
-    ``rows`` may hold any number of rows per key; ``per_key`` holds one. Rows of a hot key are spread over as many
-    salts as the key has parts, by a hash of ``spread_by``, and the key's single row is copied to each salt; all other
-    keys keep salt 0. No join partition then gets much more than ``share`` of the rows from one key. The broadcast
-    list of hot keys has fewer than ``1 / share`` rows, and fewer than ``2 / share`` copies are made.
-    """
-    hot = F.broadcast(hot_keys(rows, key, share))
-    parts = F.coalesce(F.col("_parts"), F.lit(1).cast("bigint"))
-    salted_rows = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread_by), parts))
-    salted_keys = per_key.join(hot, key, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))
-    )
-    return salted_rows.drop("_parts"), salted_keys.drop("_parts")
+    per_key = df.groupBy(key).agg(F.count("*").alias("_n"), *[fact.alias(name) for name, fact in facts.items()])
+    total = df.agg(F.count("*").alias("_total"))
+    hot = per_key.crossJoin(F.broadcast(total)).where(F.col("_n") > F.col("_total") * F.lit(share))
+    return F.broadcast(hot.drop("_n", "_total"))

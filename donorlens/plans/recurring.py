@@ -94,27 +94,34 @@ def paid_users_by_first_channel(donations: DataFrame, actions: DataFrame, years:
     )
 
 
+NEVER = "9999-12-31 00:00:00"
+
+
 def avg_days_first_to_second(donations: DataFrame, hot_share: float = 1e-4) -> DataFrame:
     """Mean days from a user's first paid non-recurrent donation to their next donation of any kind, whole days.
 
-    The only metric that joins raw rows per user; users with very many rows are spread over several join partitions.
+    The one metric that needs a user's rows after a fact about the user is known. Users with more than ``hot_share``
+    of all rows are few, so their first moments are broadcast and their rows are never shuffled; the rows of all other
+    users meet in a window, which then holds no large group.
     """
-    first = (
-        donations.where(_paid_once() & F.col("customer_id").isNotNull() & F.col("order_ts").isNotNull())
-        .groupBy("customer_id")
-        .agg(F.min("order_ts").alias("first_ts"))
+    dated = donations.where(F.col("customer_id").isNotNull() & F.col("order_ts").isNotNull()).select(
+        "customer_id", "order_ts", F.when(_paid_once(), F.col("order_ts")).alias("paid_ts")
     )
-    rows = donations.select("customer_id", "order_ts").where(
-        F.col("customer_id").isNotNull() & F.col("order_ts").isNotNull()
+    never = F.lit(NEVER).cast("timestamp_ntz")
+    hot = skew.hot_keys(dated, "customer_id", hot_share, hot_first_ts=F.coalesce(F.min("paid_ts"), never))
+    first_of_user = F.min("paid_ts").over(Window.partitionBy("customer_id"))
+    of_hot = dated.join(hot, "customer_id").withColumnRenamed("hot_first_ts", "first_ts")
+    of_others = (
+        dated.join(hot, "customer_id", "left")
+        .where(F.col("hot_first_ts").isNull())
+        .withColumn("first_ts", first_of_user)
     )
-    salted_rows, salted_first = skew.salt_pair(rows, first, "customer_id", "order_ts", share=hot_share)
-    second = (
-        salted_rows.join(salted_first, ["customer_id", "_salt"])
-        .where(F.col("order_ts") > F.col("first_ts"))
-        .groupBy("customer_id", "_salt")
-        .agg(F.min("first_ts").alias("first_ts"), F.min("order_ts").alias("second_ts"))
+    second = [
+        rows.where(F.col("order_ts") > F.col("first_ts"))
         .groupBy("customer_id")
-        .agg(F.min("first_ts").alias("first_ts"), F.min("second_ts").alias("second_ts"))
-    )
+        .agg(F.min("first_ts").alias("first_ts"), F.min("order_ts").alias("second_ts"))
+        for rows in (of_hot, of_others)
+    ]
     days = F.avg(periods.days_between("first_ts", "second_ts"))
-    return second.agg(F.round(days).cast("bigint").alias("avg_days_between_1_and_2_payments"))
+    both = second[0].unionByName(second[1])
+    return both.agg(F.round(days).cast("bigint").alias("avg_days_between_1_and_2_payments"))

@@ -61,6 +61,11 @@ def test_single_payments_give_null(donations):
     assert rows(recurring.avg_days_first_to_second(donations())) == [(None,)]
 
 
+def test_hot_user_without_qualifying_payment(donations):
+    d = donations(*[(1, f"2021-01-{i:02d}", 1, "fail") for i in range(1, 9)], (2, "2021-01-01"), (2, "2021-01-03"))
+    assert rows(recurring.avg_days_first_to_second(d, hot_share=0.5)) == [(2,)]
+
+
 def test_hot_users_are_split_without_changing_the_result(spark, donations):
     many = [(1, f"2021-01-{1 + i % 28:02d}T{i % 24:02d}:00:00") for i in range(300)]
     few = [(u, f"2021-0{1 + u % 8}-01") for u in range(2, 60)] + [(u, f"2021-09-{u % 27 + 1:02d}") for u in range(2, 60)]
@@ -69,17 +74,14 @@ def test_hot_users_are_split_without_changing_the_result(spark, donations):
     assert rows(recurring.avg_days_first_to_second(d, hot_share=0.02)) == plain
 
 
-def test_salting_spreads_only_hot_keys(spark):
+def test_hot_keys(spark):
+    from pyspark.sql import functions as F
+
     from donorlens.operators import skew
 
     raw = spark.createDataFrame([(1, i) for i in range(90)] + [(k, k) for k in range(2, 12)], "k int, v int")
-    keys = raw.select("k").distinct()
-    assert rows(skew.hot_keys(raw, "k", 0.1)) == [(1, 9)]
-    salted, copied = skew.salt_pair(raw, keys, "k", "v", share=0.1)
-    assert salted.where("k = 1").select("_salt").distinct().count() == 9
-    assert salted.where("k > 1 and _salt <> 0").count() == 0
-    assert copied.count() == 9 + 10
-    assert salted.join(copied, ["k", "_salt"]).count() == raw.count()
+    assert rows(skew.hot_keys(raw, "k", 0.1, top=F.max("v"))) == [(1, 89)]
+    assert rows(skew.hot_keys(raw, "k", 1.0)) == []
 
 
 def test_first_channel_ties_count_in_both(donations, actions):
