@@ -1,6 +1,8 @@
 """Daily, weekly and monthly active donors and stickiness.
 
-Days, weeks and months are counted together as (period, kind, n), so the raw table is scanned and shuffled once.
+Days, weeks and months are counted together, so the raw table is scanned and shuffled once. A day, week or month is
+named by its first day inside the reporting period and packed with its kind into one number; a shuffled row is that
+number and a user.
 """
 
 from __future__ import annotations
@@ -13,27 +15,30 @@ from donorlens.functions.numbers import ratio
 from donorlens.operators.pivots import with_total
 
 KINDS = ("day", "week", "month")
+UNDATED = -10_000_000  # stands for a null date in span codes; no DATE is that old
 
 
-def _totals(donations: DataFrame, period: Column) -> DataFrame:
-    """Per period: number of active days, weeks and months and the sum of their distinct users.
-
-    Each row names its day, week and month; the distinct (span, user) pairs combine on the map side before the one
-    shuffle of the raw table.
-    """
-    keys = {"day": F.dayofyear("day"), "week": periods.week_of_year("day"), "month": F.month("day")}
-    spans = F.array(*[F.struct(F.lit(kind).alias("kind"), key.alias("span")) for kind, key in keys.items()])
+def _totals(donations: DataFrame, unit: str) -> DataFrame:
+    """Per period (``year`` or ``month``): number of active days, weeks and months and the sum of their distinct users."""
+    day = F.col("day")
+    first_days = [day, F.greatest(F.trunc(day, "week"), F.trunc(day, unit)), F.trunc(day, "month")]
+    codes = [F.coalesce(F.unix_date(d), F.lit(UNDATED)) * len(KINDS) + i for i, d in enumerate(first_days)]
     counts = (
         donations.select("customer_id", periods.day("order_ts").alias("day"))
-        .select("customer_id", period.alias("_period"), F.inline(spans))
+        .select("customer_id", F.explode(F.array(*codes)).alias("code"))
         .distinct()
-        .groupBy("_period", "kind", "span")
+        .groupBy("code")
         .agg(F.count("customer_id").alias("n"))
     )
-    of = {kind: F.when(F.col("kind") == kind, F.col("n")) for kind in KINDS}
-    return counts.groupBy("_period").agg(
-        *[F.sum(of[kind]).alias(f"{kind}_users") for kind in KINDS],
-        *[F.count(of[kind]).alias(f"{kind}_spans") for kind in KINDS],
+    kind = F.pmod("code", F.lit(len(KINDS)))
+    first_day = ((F.col("code") - kind) / len(KINDS)).cast("int")
+    spans = counts.select(
+        F.trunc(F.when(first_day != UNDATED, F.date_from_unix_date(first_day)), unit).alias("_period"),
+        *[F.when(kind == i, F.col("n")).alias(name) for i, name in enumerate(KINDS)],
+    )
+    return spans.groupBy("_period").agg(
+        *[F.sum(name).alias(f"{name}_users") for name in KINDS],
+        *[F.count(name).alias(f"{name}_spans") for name in KINDS],
     )
 
 
@@ -57,12 +62,12 @@ def activity_by_year(donations: DataFrame) -> DataFrame:
     Periods without donations do not count; a week that crosses New Year is two weeks. A null timestamp gives a row
     of nulls, but its users count in ``Total``.
     """
-    by_year = _totals(donations, periods.year("day"))
+    by_year = _totals(donations, "year")
     measures = [c for c in by_year.columns if c != "_period"]
-    return _rates(with_total(by_year, periods.year_label("_period"), "year", measures), F.col("year")).orderBy("year")
+    return _rates(with_total(by_year, periods.year_label(F.year("_period")), "year", measures), F.col("year")).orderBy("year")
 
 
 def activity_by_month(donations: DataFrame) -> DataFrame:
     """Averages per month; a week that crosses a month's end counts in both months."""
-    by_month = _totals(donations, periods.month("day"))
+    by_month = _totals(donations, "month")
     return _rates(by_month, periods.month_label("_period").alias("month")).orderBy("month")
