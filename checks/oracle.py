@@ -65,8 +65,8 @@ def per_year(cell: str) -> str:
     return ", ".join(f'{cell.format(y=y)} AS "{y}"' for y in YEARS)
 
 
-def wide(value: str) -> str:
-    return ", ".join(f"max({value}) FILTER (WHERE m = '{m}') AS \"{m}\"" for m in MONTHS)
+def wide(value: str, months: list[str] = MONTHS) -> str:
+    return ", ".join(f"max({value}) FILTER (WHERE m = '{m}') AS \"{m}\"" for m in months)
 
 
 ORACLE: dict[str, str] = {}
@@ -355,7 +355,9 @@ ORACLE["retention_long"] = f"""{_BASE}
 SELECT cohort, size AS n_customers_start, m AS month, people AS n_customers, {_RATE} AS retention_rate FROM inside"""
 ORACLE["retention_matrix"] = f"""{_BASE}
 SELECT cohort, size AS n_customers_start, {wide("rate")} FROM (SELECT *, {_RATE} AS rate FROM inside) GROUP BY 1, 2"""
-ORACLE["rearranged_matrix"] = ORACLE["retention_matrix"]
+ORACLE["rearranged_matrix"] = f"""{_BASE}
+SELECT cohort, size AS n_customers_start, {wide("rate", MONTHS[::-1])}
+FROM (SELECT *, {_RATE} AS rate FROM inside) GROUP BY 1, 2"""
 ORACLE["avg_check_matrix"] = f"""{_BASE}
 SELECT cohort, size AS n_customers_start, {wide("c")}, {_MEAN_CHECK} AS average_cohort_check
 FROM (SELECT *, {_CELL_CHECK} AS c FROM inside) GROUP BY 1, 2"""
