@@ -7,6 +7,9 @@ formatter runs per input row.
 from __future__ import annotations
 
 import datetime as dt
+import operator
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,18 +48,18 @@ def days_between(start: str | Column, end: str | Column) -> Column:
     return F.timestamp_diff("MICROSECOND", _col(start), _col(end)) / F.lit(MICROS_PER_DAY)
 
 
-def in_years(ts: str, years: list[int]) -> Column:
+def in_years(ts: str, years: Sequence[int]) -> Column:
     """Rows whose timestamp falls in one of ``years``, as ranges the parquet scan can prune on."""
-    condition = F.lit(False)
-    for first, last in _runs(years):
-        span = (F.col(ts) >= F.lit(dt.datetime(first, 1, 1)).cast("timestamp_ntz")) & (
-            F.col(ts) < F.lit(dt.datetime(last + 1, 1, 1)).cast("timestamp_ntz")
-        )
-        condition = span if (first, last) == _runs(years)[0] else condition | span
-    return condition
 
+    def first_of(y: int) -> Column:
+        return F.lit(dt.datetime(y, 1, 1)).cast("timestamp_ntz")
 
-def _runs(years: list[int]) -> list[tuple[int, int]]:
+    spans = [(F.col(ts) >= first_of(a)) & (F.col(ts) < first_of(b + 1)) for a, b in _runs(years)]
+    return reduce(operator.or_, spans) if spans else F.lit(False)
+
+
+def _runs(years: Sequence[int]) -> list[tuple[int, int]]:
+    """First and last year of each unbroken run."""
     runs: list[tuple[int, int]] = []
     for y in sorted(set(years)):
         if runs and runs[-1][1] == y - 1:

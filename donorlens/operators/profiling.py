@@ -77,6 +77,7 @@ def numeric_features(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in exclude]
 
 
+HISTOGRAM = "feature string, bucket bigint, lo double, hi double, n bigint, median double, mean double"
 MEDIAN_BINS = 65_536
 MEDIAN_LEVELS = 2
 
@@ -89,6 +90,8 @@ def histogram_table(df: DataFrame, exclude: Sequence[str] = (), max_bins: int =
     Broadcast tables have one or two rows per numeric column, so the schema bounds them.
     """
     features = numeric_features(df, exclude)
+    if not features:
+        return df.sparkSession.createDataFrame([], HISTOGRAM)
     # Columns travel as their position: four bytes per row instead of a name.
     pairs = F.array(
         *[F.struct(F.lit(i).alias("feature"), F.col(f"`{c}`").cast("double").alias("value")) for i, c in enumerate(features)]

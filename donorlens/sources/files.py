@@ -70,6 +70,16 @@ def first_named(paths: Sequence[str], word: str) -> str | None:
     return next((p for p in paths if word in _name(p)), None)
 
 
+def read_first_named(
+    spark: SparkSession, folder: str, word: str, schema: T.StructType, sep: str = ";", exclude: str | None = None
+) -> DataFrame:
+    """The folder's first file whose name contains ``word`` (and not ``exclude`` in any case), or an empty table."""
+    paths = csv_paths(spark, folder)
+    candidates = split_by_token(paths, exclude)[1] if exclude else paths
+    path = first_named(candidates, word)
+    return read_csv(spark, path, schema, sep) if path else spark.createDataFrame([], schema)
+
+
 def _name(path: str) -> str:
     return path.rsplit("/", 1)[-1]
 

@@ -119,3 +119,5 @@ def test_histogram_of_table_columns(spark):
 def test_histogram_leaves_out_constants_texts_and_excluded(spark):
     df = spark.createDataFrame([(1, 5, "a", True, 1.0), (2, 5, "b", False, 2.0)], "x int, same int, t string, f boolean, no double")
     assert {r["feature"] for r in profiling.histogram_table(df, exclude=["no"]).collect()} == {"x"}
+    assert profiling.histogram_table(df.select("t", "f")).collect() == []
+    assert profiling.histogram_table(df.limit(0)).collect() == []

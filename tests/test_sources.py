@@ -61,6 +61,22 @@ def test_read_by_name_fills_missing_columns(spark, landing):
     assert files.read_by_name(spark, []).count() == 0
 
 
+def test_read_first_named(spark, landing):
+    assert rows(files.read_first_named(spark, landing, "Платежи", TWO)) == [(10, "p")]
+    assert rows(files.read_first_named(spark, landing, "USERS", TWO, exclude="users")) == []
+    assert files.read_first_named(spark, landing, "nothing", TWO).schema == TWO
+
+
+def test_unreadable_file_is_skipped(spark, landing):
+    import gzip
+
+    broken = gzip.compress(b"id;name\n77;x\n" * 1000)[:50]
+    with open(f"{landing}/broken_users.csv.gz", "wb") as f:
+        f.write(broken)
+    users, _ = files.read_routed(spark, landing, "users", TWO)
+    assert sorted(r["id"] for r in users.collect()) == [1, 2, 3]
+
+
 def test_union_by_name(spark):
     left, right = spark.sql("SELECT 1 AS a, 'x' AS b"), spark.sql("SELECT 2.5D AS c, 3 AS a")
     assert rows(files.union_all([left, right])) == [(1, "x", None), (3, None, 2.5)]
