@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,56 +78,42 @@ def numeric_features(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
 
 
 HISTOGRAM = "feature string, bucket bigint, lo double, hi double, n bigint, median double, mean double"
-MEDIAN_BINS = 65_536
-MEDIAN_LEVELS = 2
+FINE_BINS = 65_536
 
 
 def histogram_table(df: DataFrame, exclude: Sequence[str] = (), max_bins: int = 20) -> DataFrame:
     """(feature, bucket, lo, hi, n, median, mean) for every numeric column with more than one distinct value.
 
     Each column gets ``min(max_bins, distinct values, null included)`` equal-width buckets between its minimum and
-    maximum. The table is shuffled once, as (feature, value, count); everything else is computed from that.
-    Broadcast tables have one or two rows per numeric column, so the schema bounds them.
+    maximum; NaN counts as null. Values are never shuffled: every step scans them and keeps at most ``FINE_BINS`` groups
+    per column and task. Broadcast tables have one or two rows per numeric column, so the schema bounds them.
     """
     features = numeric_features(df, exclude)
     if not features:
         return df.sparkSession.createDataFrame([], HISTOGRAM)
-    # Columns travel as their position: four bytes per row instead of a name.
-    pairs = F.array(
-        *[F.struct(F.lit(i).alias("feature"), F.col(f"`{c}`").cast("double").alias("value")) for i, c in enumerate(features)]
+    numbers = [F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in features]
+    cells = df.select(
+        F.inline(F.array(*[F.struct(F.lit(i).alias("feature"), x.alias("value")) for i, x in enumerate(numbers)]))
+    ).where(F.col("value").isNotNull())
+    known = _feature_stats(df, numbers, cells, max_bins)
+
+    value, lo, hi, bins = F.col("value"), F.col("lo"), F.col("hi"), F.col("bins")
+    bucket = F.least(F.width_bucket(value, lo, hi, bins), bins)
+    fine = (
+        cells.join(F.broadcast(known.select("feature", "lo", "hi", "bins")), "feature")
+        .groupBy("feature", bucket.alias("bucket"), _bin(value, lo, hi).alias("bin"))
+        .agg(F.count("*").alias("n"), F.min("value").alias("a"), F.max("value").alias("b"))
     )
-    value, n = F.col("value"), F.col("n")
-    counts = df.select(F.inline(pairs)).where(value.isNotNull()).groupBy("feature", "value").agg(F.count("*").alias("n"))
-
-    distinct = F.col("_distinct") + F.when(F.col("has_null"), 1).otherwise(0)
-    stats = (
-        counts.groupBy("feature")
-        .agg(
-            F.min("value").alias("_lo"),
-            F.max("value").alias("_hi"),
-            F.sum("n").alias("_rows"),
-            F.sum(value * n).alias("_sum"),
-            F.count("*").alias("_distinct"),
-        )
-        .where(F.col("_distinct") > 1)
-        .join(F.broadcast(_null_flags(df, features)), "feature")
-        .withColumn("_bins", F.least(F.lit(max_bins), distinct).cast("int"))
-    )
-    bucket = F.least(F.width_bucket(value, F.col("_lo"), F.col("_hi"), F.col("_bins")), F.col("_bins"))
-    per_feature = stats.select("feature", "_lo", "_hi", "_bins", ratio(F.col("_sum"), F.col("_rows")).alias("mean"))
-    buckets = (
-        counts.join(F.broadcast(per_feature), "feature")
-        .groupBy("feature", "_lo", "_hi", "_bins", "mean", bucket.alias("bucket"))
-        .agg(F.sum("n").alias("n"))
-    )
-    width = (F.col("_hi") - F.col("_lo")) / F.col("_bins")
+    buckets = fine.groupBy("feature", "bucket").agg(F.sum("n").alias("n"))
+    width = (hi - lo) / bins
     return (
-        buckets.join(F.broadcast(_medians(counts, stats)), "feature")
+        buckets.join(F.broadcast(known), "feature")
+        .join(F.broadcast(_medians(cells, fine, known)), "feature")
         .select(
             F.element_at(F.array(*[F.lit(c) for c in features]), F.col("feature") + 1).alias("feature"),
             F.col("bucket").cast("bigint").alias("bucket"),
-            (F.col("_lo") + width * (F.col("bucket") - 1)).alias("lo"),
-            (F.col("_lo") + width * F.col("bucket")).alias("hi"),
+            (lo + width * (F.col("bucket") - 1)).alias("lo"),
+            (lo + width * F.col("bucket")).alias("hi"),
             "n",
             "median",
             "mean",
@@ -136,40 +122,78 @@ def histogram_table(df: DataFrame, exclude: Sequence[str] = (), max_bins: int =
     )
 
 
-def _null_flags(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    flags = df.agg(*[F.max(F.col(f"`{c}`").isNull()).alias(f"f{i}") for i, c in enumerate(features)])
-    rows = [F.struct(F.lit(i).alias("feature"), F.col(f"f{i}").alias("has_null")) for i in range(len(features))]
-    return flags.select(F.inline(F.array(*rows)))
+def _bin(value: Column, a: Column, b: Column) -> Column:
+    """Position of a value among ``FINE_BINS`` equal parts of [a, b]; all 0 if the range is one point."""
+    return F.when(b > a, F.floor((value - a) / (b - a) * FINE_BINS)).otherwise(F.lit(0))
 
 
-def _medians(counts: DataFrame, stats: DataFrame) -> DataFrame:
-    """Exact median per feature from (feature, value, n) without sorting a whole feature in one task.
+def _feature_stats(df: DataFrame, numbers: Sequence[Column], cells: DataFrame, max_bins: int) -> DataFrame:
+    """(feature, lo, hi, rows, mean, bins), one row per column that has more than one distinct value.
 
-    The range that holds the two middle ranks is narrowed ``MEDIAN_LEVELS`` times to one of ``MEDIAN_BINS`` bins; only
-    the distinct values of the last bin are ranked one by one.
+    Distinct values are counted exactly only where there may be fewer than ``max_bins``: values are hashed to 64 slots,
+    and n occupied slots prove that there are at least n values.
     """
-    lower = F.floor((F.col("_rows") + 1) / 2)
-    upper = F.floor(F.col("_rows") / 2) + 1
-    ranks = F.inline(F.array(F.struct(lower.alias("rank")), F.struct(upper.alias("rank"))))
-    ranges = stats.select(
-        "feature", F.col("_lo").alias("a"), F.col("_hi").alias("b"), F.lit(0).cast("bigint").alias("below"), ranks
-    ).distinct()
-    value, a, b = F.col("value"), F.col("a"), F.col("b")
-    position = F.when(b > a, F.floor((value - a) / (b - a) * MEDIAN_BINS)).otherwise(F.lit(0))
+
+    def slots(x: Column) -> Column:
+        slot = F.pmod(F.xxhash64(x), F.lit(64)).cast("int")
+        return F.bit_or(F.when(x.isNotNull(), F.call_function("shiftleft", F.lit(1).cast("bigint"), slot)))
+
+    measures = {
+        "lo": F.min,
+        "hi": F.max,
+        "rows": F.count,
+        "total": F.sum,
+        "slots": slots,
+        "has_null": lambda x: F.coalesce(F.max(x.isNull()), F.lit(False)),
+    }
+    wide = df.agg(*[f(x).alias(f"{name}{i}") for i, x in enumerate(numbers) for name, f in measures.items()])
+    per_feature = [
+        F.struct(F.lit(i).alias("feature"), *[F.col(f"{name}{i}").alias(name) for name in measures])
+        for i in range(len(numbers))
+    ]
+    stats = wide.select(F.inline(F.array(*per_feature))).where(F.col("lo") < F.col("hi"))
+    unsure = stats.where(F.bit_count("slots") < max_bins).select("feature")
+    exact = (
+        cells.join(F.broadcast(unsure), "feature")
+        .distinct()
+        .groupBy("feature")
+        .agg(F.count("*").alias("n_distinct"))
+    )
+    distinct = F.col("n_distinct") + F.when(F.col("has_null"), 1).otherwise(0)
+    return stats.join(exact, "feature", "left").select(
+        "feature",
+        "lo",
+        "hi",
+        "rows",
+        ratio(F.col("total"), F.col("rows")).alias("mean"),
+        F.least(F.lit(max_bins), F.coalesce(distinct, F.lit(max_bins))).cast("int").alias("bins"),
+    )
+
+
+def _medians(cells: DataFrame, fine: DataFrame, known: DataFrame) -> DataFrame:
+    """Exact median per feature without sorting or shuffling its values.
+
+    ``fine`` tells which bin holds each of the two middle ranks. The bin, narrowed to the values it really holds, is
+    binned once more, and only the distinct values of the last bin are ranked one by one.
+    """
+    rows = F.col("rows")
+    ranks = known.select("feature", F.explode(F.array(F.floor((rows + 1) / 2), F.floor(rows / 2) + 1)).alias("rank"))
 
     def holding(spans: DataFrame, order: str) -> DataFrame:
-        """The one row per feature and rank where the running count passes the rank."""
+        """The span of each feature and rank where the running count passes the rank; ``below`` rows come before."""
         so_far = F.sum("n").over(Window.partitionBy("feature", "rank").orderBy(order))
         counted = spans.withColumn("below", F.col("below") + so_far - F.col("n"))
         return counted.where((F.col("below") < F.col("rank")) & (F.col("below") + F.col("n") >= F.col("rank")))
 
-    for _ in range(MEDIAN_LEVELS):
-        bins = (
-            counts.join(F.broadcast(ranges), "feature")
-            .where(value.between(a, b))
-            .groupBy("feature", "rank", "below", position.alias("bin"))
-            .agg(F.sum("n").alias("n"), F.min("value").alias("a"), F.max("value").alias("b"))
-        )
-        ranges = holding(bins, "bin").select("feature", "a", "b", "below", "rank")
-    last = counts.join(F.broadcast(ranges), "feature").where(value.between(a, b))
-    return holding(last, "value").groupBy("feature").agg((F.sum("value") / F.count("*")).alias("median"))
+    def inside(ranges: DataFrame) -> DataFrame:
+        ranges = ranges.select("feature", "rank", "below", "a", "b")
+        return cells.join(F.broadcast(ranges), "feature").where(F.col("value").between(F.col("a"), F.col("b")))
+
+    first = fine.join(F.broadcast(ranks.distinct()), "feature").withColumn("below", F.lit(0).cast("bigint"))
+    finer = (
+        inside(holding(first, "a"))
+        .groupBy("feature", "rank", "below", _bin(F.col("value"), F.col("a"), F.col("b")).alias("bin"))
+        .agg(F.count("*").alias("n"), F.min("value").alias("a"), F.max("value").alias("b"))
+    )
+    values = inside(holding(finer, "a")).groupBy("feature", "rank", "below", "value").agg(F.count("*").alias("n"))
+    return holding(values, "value").groupBy("feature").agg((F.sum("value") / F.count("*")).alias("median"))
