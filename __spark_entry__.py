@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -31,6 +32,13 @@ from donorlens.schemas import PAID  # noqa: E402
 from donorlens.sources import files, sample_tables  # noqa: E402
 from donorlens.sources.sample_tables import NO_SOURCE, SPINE_MONTHS, SPINE_START, TOP_K, YEARS, table  # noqa: E402
 
+# The corpus operators are an optional part.
+llm_queries = corpus_pipeline = None
+if importlib.util.find_spec("donorlens.llm"):
+    from donorlens.llm import queries as llm_queries
+if importlib.util.find_spec("corpus_pipeline"):
+    import corpus_pipeline
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 SPINE = Spine(SPINE_START, SPINE_MONTHS)
@@ -62,7 +70,11 @@ def _with_events(metric: Callable[..., DataFrame]) -> Query:
 
 
 def queries() -> dict[str, Query]:
+    extra = dict(llm_queries.QUERIES) if llm_queries else {}
+    if corpus_pipeline:
+        extra["pipeline"] = corpus_pipeline.run
     return {
+        **extra,
         # users
         "unique_action_users": _of_actions(users.unique_action_users),
         "unique_donors": _of_donations(users.unique_donors),
@@ -217,4 +229,7 @@ def _segment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    extra = dict(llm_queries.ORACLE) if llm_queries else {}
+    if corpus_pipeline and corpus_pipeline.ORACLE_SQL:
+        extra["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return {**ORACLE, **extra}

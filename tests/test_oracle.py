@@ -17,10 +17,11 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(oracle.ORACLE) <= set(queries())
+    assert set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(oracle.ORACLE))
 def test_matches_duckdb(spark, con, name):
     assert difference(queries()[name](spark, SF_DIR), con, oracle_sql()[name]) is None
 
