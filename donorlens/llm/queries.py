@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from donorlens.llm import exact_dedup
+from donorlens.llm import exact_dedup, pii, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,12 +15,23 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(pii.find_pii(_read(spark, sf_dir, "documents")))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = url_filter.HOST_RULES + url_filter.PATTERNS
+    return url_filter.filter_urls(_read(spark, sf_dir, "pages"), rules)
+
+
 QUERIES: dict[str, Query] = {
+    "op4_pii": op4_pii,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_url_filter": op7_url_filter,
 }
 
 ORACLE: dict[str, str] = {
@@ -36,4 +47,33 @@ ORACLE: dict[str, str] = {
                sha256(t) AS text_sha256
         FROM d
     """,
+    "op7_url_filter": r"""
+        WITH u AS (
+            SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), a AS (
+            SELECT page_id,
+                   translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM u
+        ), rules (r, host_part, path_part) AS (
+            VALUES ('com/', 'com', '/'), ('example.com/en/', 'example.com', '/en/'), ('net/es/', 'net', '/es/'),
+                   ('net/fr/', 'net', '/fr/'), ('www.example.com/en/', 'www.example.com', '/en/')
+        ), patterns (p) AS (
+            VALUES ('ads-track'), ('casino-win'), ('adserver'), ('doubleclick'), ('xxx'), ('porn'), ('wp-login.php'),
+                   ('cart/checkout')
+        ), judged AS (
+            SELECT *,
+                   (SELECT max_by(r, length(r)) FROM rules
+                    WHERE (host = host_part OR ends_with(host, '.' || host_part)) AND starts_with(path, path_part)) AS rule,
+                   (SELECT max_by('^' || p || '^', length(p)) FROM patterns
+                    WHERE regexp_matches(host || path,
+                          '(?:[^A-Za-z0-9%_-]|^)' || replace(p, '.', '[.]') || '(?:[^A-Za-z0-9%_-]|$)')) AS fitting
+            FROM a
+        )
+        SELECT page_id, host, path, rule,
+               CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+                    WHEN fitting IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+               CASE WHEN rule IS NULL THEN fitting END AS pattern
+        FROM judged
+    """,
 }
