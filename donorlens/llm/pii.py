@@ -10,6 +10,7 @@ search linear in texts that are one long run.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -104,6 +105,11 @@ def _confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """`of(value)` with `value` computed once, however often `of` uses it inside other lambdas."""
+    return F.transform(F.array(value), of)[0]
+
+
 def _placed(between: Column, matches: Column) -> Column:
     """Array of (match, start, end, before, after): the matches with their places and the text around them.
 
@@ -114,10 +120,23 @@ def _placed(between: Column, matches: Column) -> Column:
     pairs = F.arrays_zip(
         F.slice(between, F.lit(1), n).alias("before"), matches.alias("match"), F.slice(between, F.lit(2), n).alias("after")
     )
-    size = lambda p: F.char_length(p["before"]) + F.char_length(p["match"])
-    chunks = F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int"))
-    part = lambda c: F.slice(pairs, c * CHUNK + 1, F.lit(CHUNK))
-    sums = F.transform(chunks, lambda c: F.aggregate(part(c), F.lit(0), lambda total, p: total + size(p)))
+    return _bound(pairs, _placed_pairs)
+
+
+def _size(pair: Column) -> Column:
+    return F.char_length(pair["before"]) + F.char_length(pair["match"])
+
+
+def _placed_pairs(pairs: Column) -> Column:
+    chunks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / CHUNK).cast("int")),
+        lambda c: F.slice(pairs, c * CHUNK + 1, F.lit(CHUNK)),
+    )
+    return _bound(chunks, _placed_chunks)
+
+
+def _placed_chunks(chunks: Column) -> Column:
+    sums = F.transform(chunks, lambda chunk: F.aggregate(chunk, F.lit(0), lambda total, p: total + _size(p)))
     offsets = F.aggregate(
         sums,
         F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
@@ -126,7 +145,7 @@ def _placed(between: Column, matches: Column) -> Column:
     )
 
     def step(state: Column, p: Column) -> Column:
-        start, end = state["at"] + F.char_length(p["before"]), state["at"] + size(p)
+        start, end = state["at"] + F.char_length(p["before"]), state["at"] + _size(p)
         found = F.struct(
             p["match"].alias("match"),
             start.alias("start"),
@@ -137,10 +156,10 @@ def _placed(between: Column, matches: Column) -> Column:
         return F.struct(end.alias("at"), F.array_append(state["found"], found).alias("found"))
 
     none = F.array().cast("array<struct<match:string,start:int,end:int,before:string,after:string>>")
-    of_chunk = lambda chunk: F.aggregate(
-        part(chunk["c"]), F.struct(chunk["at"].alias("at"), none.alias("found")), step, lambda state: state["found"]
+    of_chunk = lambda c: F.aggregate(
+        c["pairs"], F.struct(c["at"].alias("at"), none.alias("found")), step, lambda state: state["found"]
     )
-    return F.flatten(F.transform(F.arrays_zip(chunks.alias("c"), offsets.alias("at")), of_chunk))
+    return F.flatten(F.transform(F.arrays_zip(chunks.alias("pairs"), offsets.alias("at")), of_chunk))
 
 
 def _spans(kind: Kind, text: Column) -> Column:

@@ -23,10 +23,11 @@ def shared_folder(spark: SparkSession) -> str:
     return current.get()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, rebalance: bool = True) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it again: its lineage ends there, so a lost executor
-    costs a read, not a recomputation."""
+    costs a read, not a recomputation. `rebalance` evens out the files and keeps small tables to a few."""
     spark = df.sparkSession
+    df = df.hint("rebalance") if rebalance else df
     path = f"{shared_folder(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
