@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from donorlens.llm import exact_dedup, pii, url_filter
+from donorlens.llm import exact_dedup, mixing, pii, quality, secret_scan, sharding, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,10 +15,19 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents")
+    return quality.score(documents, quality.fit(documents, _read(spark, sf_dir, "labels")))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(pii.find_pii(_read(spark, sf_dir, "documents")))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(_read(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"))
 
@@ -28,12 +37,79 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_read(spark, sf_dir, "pages"), rules)
 
 
+#: Target weights of the mixture; sources weigh the same.
+WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents"), WEIGHTS)
+
+
+def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.kd_shards(_read(spark, sf_dir, "documents"), shards=8)
+
+
 QUERIES: dict[str, Query] = {
+    "op3_quality": op3_quality,
     "op4_pii": op4_pii,
+    "op5_secrets": op5_secrets,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_url_filter": op7_url_filter,
+    "op8_mixing": op8_mixing,
+    "op9_kd_sharding": op9_kd_sharding,
 }
 
+def _fill_sql(name: str, parent: str, keys: list[str], weight: str) -> str:
+    """One level of the budgets: `name` from the budgets of `parent`."""
+    columns, group = ", ".join(keys), ", ".join(keys[:-1]) or "0"
+    joined = f"JOIN {parent} USING ({group})" if keys[:-1] else f"CROSS JOIN {parent}"
+    return f"""
+        {name}_a AS (SELECT {columns}, capacity, weight, budget
+                     FROM (SELECT {columns}, sum(supply)::HUGEINT * 4 AS capacity, {weight} AS weight FROM leaves GROUP BY ALL)
+                     {joined}),
+        {name}_b AS (SELECT *,
+                            coalesce(sum(capacity) OVER (PARTITION BY {group} ORDER BY capacity::DOUBLE / weight, {columns}
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+                            sum(weight) OVER (PARTITION BY {group} ORDER BY capacity::DOUBLE / weight, {columns}
+                                ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+                     FROM {name}_a),
+        {name}_c AS (SELECT *, capacity * rest <= (budget - before) * weight AS is_full FROM {name}_b),
+        {name} AS (SELECT {columns},
+                          CASE WHEN is_full THEN capacity
+                               ELSE (budget - coalesce(sum(capacity) FILTER (is_full) OVER (PARTITION BY {group}), 0)) * weight
+                                    // sum(weight) FILTER (NOT is_full) OVER (PARTITION BY {group}) END AS budget
+                   FROM {name}_c)"""
+
+
+def _case(column: str, weights: dict[str, int]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items()) + " ELSE 1 END"
+
+
+_MIX_SQL = f"""
+    WITH docs AS (
+        SELECT doc_id,
+               CASE WHEN regexp_extract(source, '([0-9]{{1,9}})$', 1) = '' THEN 'other'
+                    ELSE 'd' || (regexp_extract(source, '([0-9]{{1,9}})$', 1)::INT % 4) END AS domain,
+               lang, source, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS n_tokens
+        FROM documents
+    ), leaves AS (SELECT domain, lang, source, sum(n_tokens)::HUGEINT AS supply FROM docs GROUP BY ALL),
+    root AS (SELECT least(sum(supply) * 600 // 1000, sum(supply) * 4) AS budget FROM leaves),
+    {_fill_sql("l1", "root", ["domain"], _case("domain", WEIGHTS["domain"]))},
+    {_fill_sql("l2", "l1", ["domain", "lang"], _case("lang", WEIGHTS["lang"]))},
+    {_fill_sql("l3", "l2", ["domain", "lang", "source"], "1")},
+    plan AS (SELECT domain, lang, source, (budget // supply)::BIGINT AS epochs, (budget % supply)::BIGINT AS rest
+             FROM l3 JOIN leaves USING (domain, lang, source) WHERE supply > 0),
+    ordered AS (
+        SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('mix:' || epochs || ':' || doc_id), doc_id
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+        FROM docs JOIN plan USING (domain, lang, source)
+    )
+    SELECT doc_id, domain, lang, source, n_tokens, epochs AS epoch FROM ordered WHERE before < rest
+    UNION ALL
+    SELECT doc_id, domain, lang, source, n_tokens, unnest(generate_series(0, epochs - 1)) FROM ordered WHERE epochs > 0
+"""
+
+
 ORACLE: dict[str, str] = {
     "op6_exact_dedup": """
         WITH d AS (
@@ -76,4 +152,5 @@ ORACLE: dict[str, str] = {
                CASE WHEN rule IS NULL THEN fitting END AS pattern
         FROM judged
     """,
+    "op8_mixing": _MIX_SQL,
 }
