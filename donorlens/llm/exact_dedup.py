@@ -12,11 +12,9 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from donorlens.llm.skew import attach
 from donorlens.llm.store import shuffle_partitions, written
 
-#: A class of more than one in so many rows counts as hot; there are fewer such classes than this.
-HOT_SHARES = 1000
-
 
 def folded(text: Column) -> Column:
     """Null as empty, A-Z in lower case, all else as it is."""
@@ -59,25 +57,8 @@ def exact_dedup(
         # Different contents share a digest, so the content has to go along as part of the key.
         joined = rows.join(winners, ["digest", "content"])
     else:
-        joined = _join_classes(rows.drop("content"), classes.drop("contents"), total or 0)
+        joined = attach(rows.drop("content"), classes.drop("contents"), "digest", "group_size", total or 0)
     copy = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy("keep_id"))
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (copy == 1)
     return joined.select("doc_id", "keep_id", "group_size", stays.alias("kept"), "text_sha256")
 
-
-def _join_classes(rows: DataFrame, classes: DataFrame, total: int) -> DataFrame:
-    """Give each row its class. Hot classes, at most HOT_SHARES rows, are broadcast; their rows take no part in the join."""
-    is_hot = F.col("group_size") * HOT_SHARES > total
-    hot = classes.where(is_hot).toDF("hot_digest", "hot_id", "hot_size")
-    cold = classes.where(~is_hot).toDF("cold_digest", "cold_id", "cold_size")
-    found = F.col("hot_size").isNotNull()
-    spread = F.xxhash64("doc_id").cast("string")  # equals no digest; spreads the rows that need no partner
-    marked = rows.join(F.broadcast(hot), F.col("digest") == F.col("hot_digest"), "left")
-    marked = marked.withColumn("join_key", F.when(found, spread).otherwise(F.col("digest")))
-    joined = marked.join(cold, F.col("join_key") == F.col("cold_digest"), "left")
-    return joined.select(
-        "doc_id",
-        "text_sha256",
-        F.when(found, F.col("hot_id")).otherwise(F.col("cold_id")).alias("keep_id"),
-        F.coalesce("hot_size", "cold_size").alias("group_size"),
-    )

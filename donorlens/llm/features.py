@@ -98,14 +98,13 @@ def _substrings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     out = (sums[ends] - sums[starts]) * _DOWN[starts % _BLOCK]
     crossing = np.flatnonzero(starts // _BLOCK != (ends - 1) // _BLOCK)
     for i in crossing:
-        s, e = int(starts[i]), int(ends[i])
-        part = _OF_BYTE[data[s:e]]
-        total, scale = np.uint64(0), np.uint64(1)
+        part = _OF_BYTE[data[starts[i] : ends[i]]]
+        total, scale = 0, 1
         for at in range(0, len(part), _BLOCK):
             block = part[at : at + _BLOCK]
-            total += np.sum(block * _UP[: len(block)], dtype=np.uint64) * scale
-            scale = scale * _UP[-1] * np.uint64(_BASE)
-        out[i] = total
+            total += int(np.sum(block * _UP[: len(block)], dtype=np.uint64)) * scale
+            scale = scale * int(_UP[-1]) * _BASE % (1 << 64)
+        out[i] = total % (1 << 64)
     return _mix(out + (ends - starts).astype(np.uint64) * _ODD)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from donorlens.llm import exact_dedup, mixing, pii, quality, secret_scan, sharding, url_filter
+from donorlens.llm import exact_dedup, mixing, ngram_join, pii, quality, secret_scan, sharding, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(_read(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _read(spark, sf_dir, "documents")
     return quality.score(documents, quality.fit(documents, _read(spark, sf_dir, "labels")))
@@ -50,6 +54,7 @@ def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_ngram_join": op2_ngram_join,
     "op3_quality": op3_quality,
     "op4_pii": op4_pii,
     "op5_secrets": op5_secrets,

@@ -37,18 +37,22 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def summed_vectors(vectors: DataFrame, size: int, dtype: str = "int64") -> np.ndarray:
+def summed_vectors(vectors: DataFrame, size: int, dtype: str = "int64", leaf: str = "int32") -> np.ndarray:
     """Sum the byte vectors in the only column of `vectors`, each of `size` numbers, in a tree of small merges.
 
-    `size` is a fixed parameter of the caller, so each merge and the result on the driver are bounded.
+    `size` is a fixed parameter of the caller, so each merge and the result on the driver are bounded. The vectors are of
+    type `leaf`, sums of type `dtype`.
     """
     column = vectors.columns[0]
 
+    def numbers(value: memoryview) -> np.ndarray:
+        return np.frombuffer(value, leaf if len(value) == size * np.dtype(leaf).itemsize else dtype)
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype)
         for batch in batches:
             for value in batch.column(0):
-                total += np.frombuffer(value.as_buffer(), dtype)
+                total += numbers(memoryview(value.as_buffer()))
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=[column])
 
     parts = vectors.rdd.getNumPartitions()
@@ -57,5 +61,5 @@ def summed_vectors(vectors: DataFrame, size: int, dtype: str = "int64") -> np.nd
         vectors = vectors.repartition(parts).mapInArrow(merge, vectors.schema)
     total = np.zeros(size, dtype)
     for row in vectors.toLocalIterator():
-        total += np.frombuffer(row[0], dtype)
+        total += numbers(memoryview(row[0]))
     return total
