@@ -8,6 +8,8 @@ import pyarrow as pa
 #: White space of the contracts: the space and the bytes 9 to 13. UTF-8 uses these bytes for nothing else.
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: All ASCII that is no letter or digit.
+NO_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -48,17 +50,19 @@ def pieces(texts: pa.Array, most: int = 8 << 20):
         at = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(
+    data: np.ndarray, offsets: np.ndarray, lower: bool = True, between: np.ndarray = _SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start and end (in bytes), 64-bit hash, and first word of each text (one more entry than texts).
 
-    Words are runs of other characters than white space, A-Z lower-cased. A hash is a polynomial in an odd number over
+    Words are runs of other bytes than those `between` them (white space), A-Z lower-cased. A hash is a polynomial in an odd number over
     random numbers for the bytes, modulo 2^64, taken as a difference of running sums.
     """
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     if lower:
         data = _LOWER[data]
-    solid = ~_SPACE[data]
+    solid = ~between[data]
     begins = np.zeros(len(data) + 1, bool)  # where a text begins, a word can't go on
     begins[offsets] = True
     before = np.empty(len(data), bool)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from donorlens.llm import decontaminate, exact_dedup, mixing, ngram_join, pii, quality, secret_scan, sharding, url_filter
+from donorlens.llm import decontaminate, exact_dedup, html_extract, mixing, ngram_join, pii, quality, secret_scan, sharding, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_read(spark, sf_dir, "pages"), rules)
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_read(spark, sf_dir, "pages"))
+
+
 #: Target weights of the mixture; sources weigh the same.
 WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op7_url_filter": op7_url_filter,
     "op8_mixing": op8_mixing,
     "op9_kd_sharding": op9_kd_sharding,
+    "op10_html_extract": op10_html_extract,
 }
 
 def _fill_sql(name: str, parent: str, keys: list[str], weight: str) -> str:
