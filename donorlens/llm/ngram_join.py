@@ -15,9 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StringType, StructField, StructType
 
 from donorlens.llm.components import connected_components
 from donorlens.llm.features import _mix, buffers, pieces, shingles, words
@@ -293,6 +294,37 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(_verified, "a string, b string, linked boolean").where("linked").select("a", "b")
 
 
+def _named(place: int):
+    """All columns, and the name of each row's set: empty without shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [f"{_digest(s, _SEEDS[0]):016X}{_digest(s, _SEEDS[1]):016X}" if len(s) else "" for s in _sets(batch.column(place))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string())], names=[*batch.schema.names, "_set"])
+
+    return run
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `df`, with all their columns, without those that have a smaller id in their component.
+
+    Rows without words stay. Of rows that repeat the smallest id and the set, one stays.
+    """
+    profiled = components(df, id_col, text_col)
+    first = profiled.where((F.col("n") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    key = F.concat_ws(":", "name", F.col("doc_id").cast("string"))
+    counts = written(first.groupBy(key.alias("_kept")).agg(F.count(F.lit(1)).alias("n")), "join-kept")
+    schema = StructType([*df.schema.fields, StructField("_set", StringType())])
+    rows = df.mapInArrow(_named(df.columns.index(text_col)), schema)
+    # The id is part of the key, so a large group doesn't meet in one task; rows without words have no partner.
+    own = F.when(F.col("_set") != "", F.concat_ws(":", "_set", rows[id_col].cast("string")))
+    rows = rows.withColumn("_key", F.coalesce(own, F.concat(F.lit("-"), F.xxhash64(id_col, F.rand(1)).cast("string"))))
+    kept = rows.join(counts.select("_kept"), F.col("_key") == F.col("_kept"), "left").where("_set = '' or _kept is not null")
+    if not counts.where("n > 1").isEmpty():
+        kept = kept.withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).where("_copy = 1")
+    return kept.select(*df.columns)
+
+
 def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, text_copies.
 
@@ -302,6 +334,13 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     themselves as component. Null ids are larger than any other; a component of null ids has a null id. Repeated rows link
     with each other. An empty table gives an empty result. Other columns are not read.
     """
+    return components(df, id_col, text_col).select(
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce("text_copies", F.lit(0)).alias("text_copies")
+    )
+
+
+def components(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per input row: doc_id, n, name (of its set), component_id, text_copies (null without shingles)."""
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
@@ -334,9 +373,5 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     facts = written(rooted.join(ids, "root").select("name", "component_id", "text_copies"), "join-classes")
     total = facts.agg(F.sum("text_copies")).first()[0] or 0
     full = attach(docs, facts, "name", "text_copies", total)
-    return full.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.coalesce("text_copies", F.lit(0)).alias("text_copies"),
-    )
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return full.select("doc_id", "n", "name", own.alias("component_id"), "text_copies")
