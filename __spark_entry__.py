@@ -15,7 +15,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from checks.oracle import ORACLE  # noqa: E402
 from donorlens.functions import segments  # noqa: E402
 from donorlens.functions.periods import Spine  # noqa: E402
-from donorlens.operators import cleaning, pivots, profiling  # noqa: E402
+from donorlens.operators import cleaning, histograms, pivots, profiling  # noqa: E402
 from donorlens.plans import (  # noqa: E402
     activity,
     campaign,
@@ -156,6 +156,7 @@ def queries() -> dict[str, Query]:
         "value_counts": lambda s, d: profiling.value_counts(table(s, d, "lineitem"), "l_returnflag"),
         "row_delta": _row_delta,
         "histogram_table": _histogram_table,
+        "histogram_of_times": _histogram_of_times,
         "duplicate_column_check": _duplicate_column_check,
         "coerce_types": _coerce_types,
         "drop_empty_columns": _drop_empty_columns,
@@ -178,18 +179,23 @@ def _row_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _histogram_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = ["l_orderkey", "l_partkey", "l_suppkey"]
-    bins = profiling.histogram_table(table(spark, sf_dir, "lineitem"), exclude=keys)
+    others = ["l_orderkey", "l_partkey", "l_suppkey", "l_shipdate"]
+    bins = histograms.histogram_table(table(spark, sf_dir, "lineitem"), exclude=others)
     # Doubles summed in another order differ in their last digits.
     return bins.withColumn("mean", F.round("mean", 4))
 
 
+def _histogram_of_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histograms.histogram_table(table(spark, sf_dir, "orders").select("o_orderdate")).withColumn("mean", F.round("mean", 4))
+
+
 def _duplicate_column_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     quantity = F.col("l_quantity")
     return cleaning.duplicate_check(
         lines.select(
-            quantity.cast("bigint").alias("quantity"),
+            # A fraction, which the whole number of the copy never equals.
+            (quantity + F.when(F.col("l_linenumber") == 6, 0.5).otherwise(0)).alias("quantity"),
             F.when(F.col("l_returnflag") != "R", quantity + F.when(F.col("l_linenumber") == 7, 1).otherwise(0)).alias("copy"),
         ),
         "quantity",

@@ -38,23 +38,21 @@ def month_label(month_start: str | Column) -> Column:
     return F.date_format(_col(month_start), "yyyy-MM")
 
 
-def week_of_year(date: str | Column) -> Column:
-    """Monday-based week number 0..53; days before the year's first Monday are week 0 (not the ISO week)."""
-    return F.floor((F.dayofyear(date) + 6 - F.weekday(date)) / 7).cast("int")
-
-
 def days_between(start: str | Column, end: str | Column) -> Column:
     """Fractional days from ``start`` to ``end``."""
     return F.timestamp_diff("MICROSECOND", _col(start), _col(end)) / F.lit(MICROS_PER_DAY)
 
 
+def moment(at: dt.datetime) -> Column:
+    """A wall-clock time as a literal. The text form keeps the driver's time zone out of it."""
+    return F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def in_years(ts: str, years: Sequence[int]) -> Column:
     """Rows whose timestamp falls in one of ``years``, as ranges the parquet scan can prune on."""
 
-    def first_of(y: int) -> Column:
-        return F.lit(dt.datetime(y, 1, 1)).cast("timestamp_ntz")
-
-    spans = [(F.col(ts) >= first_of(a)) & (F.col(ts) < first_of(b + 1)) for a, b in _runs(years)]
+    first_of = [(moment(dt.datetime(a, 1, 1)), moment(dt.datetime(b + 1, 1, 1))) for a, b in _runs(years)]
+    spans = [(F.col(ts) >= begin) & (F.col(ts) < end) for begin, end in first_of]
     return reduce(operator.or_, spans) if spans else F.lit(False)
 
 

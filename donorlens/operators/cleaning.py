@@ -12,10 +12,17 @@ from pyspark.sql import functions as F
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
+EXACT = "decimal(38,15)"
+
+
+def number(c: Column, dtype: str = "string") -> Column:
+    """A number or its text as a decimal; null if it is not a number or too large."""
+    return (F.when(c.rlike(NUMBER), c.try_cast(EXACT)) if dtype == "string" else c).try_cast(EXACT)
+
+
 def whole_number(c: Column, dtype: str = "string") -> Column:
     """A number or its text as BIGINT, fraction cut off; null if it is not a number or too large."""
-    number = F.when(c.rlike(NUMBER), c.try_cast("decimal(38,15)")) if dtype == "string" else c
-    return number.try_cast("bigint")
+    return (number(c) if dtype == "string" else c).try_cast("bigint")
 
 
 def drop_columns(df: DataFrame, columns: Sequence[str], strict: bool = False) -> DataFrame:
@@ -35,9 +42,9 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
 
 
 def duplicate_check(df: DataFrame, column: str, candidate: str) -> DataFrame:
-    """One row: over rows where ``candidate`` has a value, how many differ from ``column`` as whole numbers."""
+    """One row: over rows where ``candidate`` has a value, in how many its whole number differs from ``column`` as it is."""
     dtypes = dict(df.dtypes)
-    differs = ~whole_number(F.col(column), dtypes[column]).eqNullSafe(whole_number(F.col(candidate), dtypes[candidate]))
+    differs = ~number(F.col(column), dtypes[column]).eqNullSafe(whole_number(F.col(candidate), dtypes[candidate]).cast(EXACT))
     return df.where(F.col(candidate).isNotNull()).agg(
         F.count("*").alias("compared"), F.count_if(differs).alias("different")
     )
@@ -49,8 +56,16 @@ def drop_if_duplicate(df: DataFrame, column: str, candidate: str) -> DataFrame:
     return df.drop(candidate) if different == 0 else df
 
 
+def lost_values(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """The share of each column's values that ``after`` has as null. Two aggregations of one row each."""
+    if not columns:
+        return {}
+    had, has = (df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in columns]).first() for df in (before, after))
+    return {c: (had[c] - has[c]) / had[c] if had[c] else 0.0 for c in columns}
+
+
 def to_timestamps(df: DataFrame, columns: Sequence[str], fmt: str | None = None) -> DataFrame:
-    """Text to timestamps; what cannot be parsed becomes null."""
+    """Text to timestamps, in the format ``fmt`` if given; what cannot be parsed becomes null."""
 
     def parsed(c: str) -> Column:
         if fmt is None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,17 +18,14 @@ def top_bottom_limit(df: DataFrame, value: str, key: str, k: int, label: str = "
     return top.unionByName(bottom)
 
 
-def top_bottom_rank(
-    df: DataFrame, value: str, key: str, k: int, label: str = "category", size: Column | None = None
-) -> DataFrame:
+def top_bottom_rank(df: DataFrame, value: str, key: str, k: int, label: str = "category") -> DataFrame:
     """The k highest rows labelled ``top`` and the k lowest labelled ``bottom``, each row once, ``top`` first.
 
-    ``size`` is the row count the bottom is measured from (all rows by default). For aggregated tables only: the
-    ranking runs in one partition.
+    For aggregated tables only: the ranking runs in one partition.
     """
     whole = Window.partitionBy()
     ranked = df.withColumn(
         "_rank", F.row_number().over(whole.orderBy(F.desc_nulls_last(value), F.asc_nulls_first(key)))
-    ).withColumn("_size", (F.count("*") if size is None else size).over(whole))
+    ).withColumn("_size", F.count("*").over(whole))
     kept = ranked.where((F.col("_rank") <= k) | (F.col("_rank") > F.col("_size") - k))
     return kept.withColumn(label, F.when(F.col("_rank") <= k, "top").otherwise("bottom")).drop("_rank", "_size")

@@ -41,7 +41,7 @@ def top_channel_orders(
     """Each year's top k sources with paid donations and average check over the action x donation pairs of their users.
 
     The pairs are never built: per user they number n_actions * n_donations, so both sides are counted per user first
-    and the counts are multiplied.
+    and the counts are multiplied, as decimals of 38 digits. A number of orders beyond a BIGINT is an error.
     """
     acted = _sourced(actions, sentinels).groupBy("customer_id", "_year", "source").agg(F.count("*").alias("n_actions"))
     paid_price = numbers.when_status(PAID, F.col("total_price"))
@@ -50,15 +50,18 @@ def top_channel_orders(
         F.count(paid_price).alias("n_priced"),
         F.coalesce(F.sum(paid_price), F.lit(0)).alias("sum_paid"),
     )
-    weight = F.col("n_actions")
-    paid_sum = F.sum(weight.cast("decimal(10,0)") * F.col("sum_paid"))
+    weight = F.col("n_actions").cast("decimal(19,0)")
+    pairs = lambda n: F.sum(weight * F.col(n).cast("decimal(18,0)"))
+    # Cents as whole numbers, so that the product keeps all its digits.
+    cents = (F.col("sum_paid") * 100).cast("decimal(19,0)")
+    paid_sum = (F.sum(weight * cents) / F.lit(100)).cast("decimal(38,2)")
     per_source = (
         acted.join(gave, "customer_id")
         .groupBy("_year", "source")
         .agg(
             F.count("*").alias("user_count"),
-            F.sum(weight * F.col("n_paid")).alias("total_paid_orders"),
-            numbers.money_mean(paid_sum, F.sum(weight * F.col("n_priced"))).alias("avg_check_per_user"),
+            pairs("n_paid").cast("bigint").alias("total_paid_orders"),
+            numbers.money_mean(paid_sum, pairs("n_priced")).alias("avg_check_per_user"),
         )
     )
     return (

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,38 +32,49 @@ ORDER_TIMES = ["OrderFirstActionDateTimeUtc"]
 
 @dataclass
 class Report:
-    """What cleaning changed; the tables are lazy."""
+    """What cleaning changed. The tables are lazy and read what was loaded; ``skipped_files`` could not be read."""
 
     removed_columns: list[str]
     changed_types: list[str]
     null_rates: DataFrame
     row_delta: DataFrame
+    skipped_files: list[str] = field(default_factory=list)
 
 
-def report(before: DataFrame, after: DataFrame, name: str) -> Report:
+def report(before: DataFrame, after: DataFrame, name: str, skipped: Sequence[str] = ()) -> Report:
     return Report(
         profiling.removed_columns(before, after),
         profiling.changed_types(before, after),
         profiling.null_rates(after),
         profiling.row_delta(before, after, name),
+        list(skipped),
     )
 
 
-def clean_actions(raw: DataFrame, strict: bool = True) -> DataFrame:
-    """``strict`` makes a missing channel-copy column an error."""
+def _timed(df: DataFrame, columns: Sequence[str], fmt: str | None, max_lost: float) -> DataFrame:
+    """``columns`` as timestamps; an error if a column loses more than ``max_lost`` of its values."""
+    timed = cleaning.to_timestamps(df, [c for c in columns if c in df.columns], fmt)
+    lost = cleaning.lost_values(df, timed, [c for c in columns if c in df.columns]) if max_lost < 1 else {}
+    if bad := {c: share for c, share in lost.items() if share > max_lost}:
+        raise ValueError(f"times that cannot be read, as shares of the values: {bad}; another format may be needed")
+    return timed
+
+
+def clean_actions(raw: DataFrame, strict: bool = True, fmt: str | None = None, max_lost: float = 1.0) -> DataFrame:
+    """``strict`` makes a missing channel-copy column an error; ``fmt`` is the format of the times."""
     named = cleaning.drop_empty_columns(cleaning.drop_columns(raw, ACTION_NAMES_UNUSED))
     kept = cleaning.drop_columns(named, ACTION_CHANNEL_COPY, strict=strict)
-    timed = cleaning.to_timestamps(kept, [c for c in ACTION_TIMES if c in kept.columns])
+    timed = _timed(kept, ACTION_TIMES, fmt, max_lost)
     return cleaning.to_integers(timed, [c for c in ACTION_INTEGERS if c in kept.columns])
 
 
-def clean_donations(raw: DataFrame, strict: bool = True) -> DataFrame:
-    """``strict`` makes a missing unused column an error."""
+def clean_donations(raw: DataFrame, strict: bool = True, fmt: str | None = None, max_lost: float = 1.0) -> DataFrame:
+    """``strict`` makes a missing unused column an error; ``fmt`` is the format of the times."""
     filled = cleaning.drop_empty_columns(raw)
     if {LINE_PRICE, LINE_BASE_PRICE} <= set(filled.columns):
-        filled = cleaning.drop_if_duplicate(cleaning.to_integers(filled, [LINE_PRICE]), LINE_PRICE, LINE_BASE_PRICE)
+        filled = cleaning.drop_if_duplicate(filled, LINE_PRICE, LINE_BASE_PRICE)
     kept = cleaning.drop_columns(filled, ORDER_UNUSED, strict=strict)
-    return cleaning.to_timestamps(kept, [c for c in ORDER_TIMES if c in kept.columns])
+    return _timed(kept, ORDER_TIMES, fmt, max_lost)
 
 
 def load(
@@ -73,19 +85,32 @@ def load(
     actions_table: str = "customers",
     donations_table: str = "orders",
     strict: bool = True,
+    fmt: str | None = None,
+    max_lost: float = 0.5,
+    skip_unreadable: bool = False,
 ) -> dict[str, Report]:
     """Read the export folder, clean both datasets, replace the analytics tables and return the reports.
 
     Files whose name contains ``actions_token`` (any case) are actions; the first other file whose name contains
-    ``orders_word`` holds the donations.
+    ``orders_word`` holds the donations. The tables get the model's columns and every other cleaned one. ``fmt`` is the
+    format of the times; a time column that loses more than ``max_lost`` of its values is an error. A file that cannot be
+    read is an error too, or left out as a whole and named in the report with ``skip_unreadable``.
+
+    The exports are parsed once, into a staging table of text columns; cleaning and reports read that.
     """
     action_files, others = files.split_by_token(files.csv_paths(spark, folder), actions_token)
     orders_file = files.first_named(others, orders_word)
-    raw_actions = files.read_by_name(spark, action_files)
-    raw_donations = files.read_by_name(spark, [orders_file] if orders_file else [])
-    actions, donations = clean_actions(raw_actions, strict), clean_donations(raw_donations, strict)
-    tables.load_datasets(to_actions(actions), to_donations(donations), actions_table, donations_table)
-    return {
-        actions_table: report(raw_actions, actions, actions_table),
-        donations_table: report(raw_donations, donations, donations_table),
-    }
+    stages, reports = [], {}
+    sides = (
+        (actions_table, action_files, clean_actions, to_actions),
+        (donations_table, [orders_file] if orders_file else [], clean_donations, to_donations),
+    )
+    for table, paths, clean, model in sides:
+        text, skipped = files.read_files(spark, paths, skip_unreadable=skip_unreadable)
+        raw = tables.staged(text, f"{table}_staged") if text.columns else text
+        cleaned = clean(raw, strict, fmt, max_lost)
+        stages.append((table, model(cleaned)))
+        reports[table] = report(raw, cleaned, table, skipped)
+    for table, rows in stages:
+        tables.overwrite_table(rows, table)
+    return reports

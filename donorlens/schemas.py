@@ -25,7 +25,6 @@ ACTIONS = T.StructType(
 
 DONATIONS = T.StructType(
     [
-        T.StructField("order_id", T.LongType()),
         T.StructField("first_action_id", T.LongType()),
         T.StructField("website_id", T.LongType()),
         T.StructField("customer_id", T.LongType()),
@@ -62,7 +61,10 @@ DONATION_COLUMNS = {
 
 
 def _conform(df: DataFrame, columns: dict[str, str], schema: T.StructType) -> DataFrame:
-    """Rename to model names and cast; columns the export lacks (dropped as all-null) become null."""
+    """Rename to model names and cast; columns the export lacks (dropped as all-null) become null.
+
+    All other columns follow under their own names. A name that is a model name already is an error.
+    """
     source = {model: export for export, model in columns.items()}
     dtypes = dict(df.dtypes)
 
@@ -74,7 +76,12 @@ def _conform(df: DataFrame, columns: dict[str, str], schema: T.StructType) -> Da
             return whole_number(F.col(name), dtypes[name])
         return F.col(name).try_cast(f.dataType)
 
-    return df.select(*[field(f).alias(f.name) for f in schema.fields])
+    used = {source.get(f.name, f.name) for f in schema.fields}
+    others = [c for c in df.columns if c not in used]
+    taken = {f.name.lower() for f in schema.fields}
+    if clash := [c for c in others if c.lower() in taken]:
+        raise ValueError(f"columns named like model columns: {clash}")
+    return df.select(*[field(f).alias(f.name) for f in schema.fields], *[F.col(f"`{c}`") for c in others])
 
 
 def to_actions(raw: DataFrame) -> DataFrame:

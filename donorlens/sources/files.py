@@ -5,9 +5,12 @@ Files are picked by name inside one distributed read; the driver lists names onl
 
 from __future__ import annotations
 
+import csv
 import datetime as dt
+import re
 from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,10 +18,20 @@ from pyspark.sql import types as T
 
 
 def read_csv(
-    spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None, sep: str = ";", **options: str
+    spark: SparkSession,
+    path: str | Sequence[str],
+    schema: T.StructType | None = None,
+    sep: str = ";",
+    multi_line: bool = True,
+    **options: str,
 ) -> DataFrame:
-    """Delimited text with a header. Without ``schema`` types are inferred, which costs one more pass over the data."""
-    reader = spark.read.option("sep", sep).option("header", True).options(**options)
+    """Delimited text with a header. Without ``schema`` types are inferred, which costs one more pass over the data.
+
+    Quotes inside a quoted value are doubled. ``multi_line`` allows line breaks there, at the price that a file is read by
+    one task; switch it off for large files without them. A header that is not the schema's is an error.
+    """
+    options = {"enforceSchema": "false", **options}
+    reader = spark.read.options(sep=sep, header=True, escape='"', multiLine=multi_line, **options)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return reader.csv(path if isinstance(path, str) else list(path))
 
@@ -43,20 +56,28 @@ def list_csv_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_routed(
-    spark: SparkSession, folder: str, token: str, schema: T.StructType, sep: str = ";"
+    spark: SparkSession, folder: str, token: str, schema: T.StructType, sep: str = ";", skip_unreadable: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """All ``.csv`` files of a folder in two tables: names that contain ``token`` in any case, and the others.
 
-    One read serves both; the file-name filter prunes files before they are opened, and unreadable files are skipped.
-    Columns are read by position, so all files must share ``schema``; see ``read_by_name`` for files that differ.
+    Columns are matched by name; see ``read_files`` for files that cannot be read.
     """
-    rows = read_csv(spark, folder, schema, sep, pathGlobFilter="*.csv", ignoreCorruptFiles="true")
-    return rows.where(name_contains(token)), rows.where(~name_contains(token))
+    sides = split_by_token(csv_paths(spark, folder), token)
+    both = [typed(read_files(spark, paths, sep, skip_unreadable)[0], schema) for paths in sides]
+    return both[0], both[1]
+
+
+def typed(text: DataFrame, schema: T.StructType) -> DataFrame:
+    """Text columns as the schema's names and types; what cannot be converted is null, and so are columns that are missing."""
+    return text.select(
+        *[(F.col(f"`{f.name}`") if f.name in text.columns else F.lit(None)).try_cast(f.dataType).alias(f.name) for f in schema.fields]
+    )
 
 
 def csv_paths(spark: SparkSession, folder: str) -> list[str]:
-    """Paths of the folder's ``.csv`` files in name order. The list is as long as the folder has files."""
-    return [row["path"] for row in list_csv_files(spark, folder).orderBy("name").select("path").toLocalIterator()]
+    """Paths of the folder's ``.csv`` files in name order, empty ones included. The list is as long as the folder has files."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).inputFiles()
+    return sorted((unquote(path) for path in listed), key=_name)
 
 
 def split_by_token(paths: Sequence[str], token: str) -> tuple[list[str], list[str]]:
@@ -77,26 +98,68 @@ def read_first_named(
     paths = csv_paths(spark, folder)
     candidates = split_by_token(paths, exclude)[1] if exclude else paths
     path = first_named(candidates, word)
-    return read_csv(spark, path, schema, sep) if path else spark.createDataFrame([], schema)
+    return typed(read_by_name(spark, [path] if path else [], sep), schema)
 
 
 def _name(path: str) -> str:
     return path.rsplit("/", 1)[-1]
 
 
-def read_by_name(spark: SparkSession, paths: Sequence[str], sep: str = ";") -> DataFrame:
-    """Files with headers of their own as one table of text columns, matched by name, missing ones null.
+def headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, str | None]:
+    """The first line of each file; None for a file that is empty or not UTF-8. One distributed pass over all files."""
+    lines = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("line"),
+        "value",
+        F.is_valid_utf8("value").alias("valid"),
+    )
+    found = lines.groupBy("path").agg(F.min_by("value", "line").alias("header"), F.every("valid").alias("valid"))
+    by_name = {_decoded(r["path"]): r["header"] if r["valid"] else None for r in found.toLocalIterator()}
+    return {p: by_name.get(_decoded(p)) for p in paths}
+
+
+def _decoded(path: str) -> str:
+    return re.sub("^file:/+", "/", unquote(path))
 
-    Files with equal headers share one read, so the plan grows with the number of layouts and not of files.
+
+def _columns(header: str, sep: str) -> tuple[str, ...]:
+    """Column names of a header line; a name that comes again gets a number."""
+    names: list[str] = []
+    for name in next(csv.reader([header.removeprefix("\ufeff")], delimiter=sep)):
+        n = sum(other == name or re.fullmatch(re.escape(name) + r"\.[0-9]+", other) is not None for other in names)
+        names.append(f"{name}.{n}" if name in names else name)
+    return tuple(names)
+
+
+def read_files(
+    spark: SparkSession, paths: Sequence[str], sep: str = ";", skip_unreadable: bool = False
+) -> tuple[DataFrame, list[str]]:
+    """Files with headers of their own as one table of text columns, and the paths that were left out.
+
+    Columns are matched by name, missing ones are null. Files with equal headers share one read, so the plan grows with the
+    number of layouts and jobs do not grow with the number of files. Empty files and files that are not UTF-8 are an error,
+    or left out as a whole with ``skip_unreadable``; an error of the storage always fails the read.
     """
     layouts: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        header = tuple(spark.read.option("sep", sep).option("header", True).csv(path).columns)
-        layouts.setdefault(header, []).append(path)
+    unreadable = []
+    for path, header in headers(spark, paths).items() if paths else ():
+        if header:
+            layouts.setdefault(_columns(header, sep), []).append(path)
+        else:
+            unreadable.append(path)
+    if unreadable and not skip_unreadable:
+        raise ValueError(f"files that are empty or not UTF-8: {unreadable[:10]} ({len(unreadable)} in all)")
     if not layouts:
-        return spark.createDataFrame([], T.StructType([]))
+        return spark.createDataFrame([], T.StructType([])), unreadable
     as_text = [T.StructType([T.StructField(c, T.StringType()) for c in header]) for header in layouts]
-    return union_all([read_csv(spark, same, schema, sep) for schema, same in zip(as_text, layouts.values())])
+    # The headers have just been read; names that had to be numbered differ from those in the file.
+    parts = [read_csv(spark, same, schema, sep, enforceSchema="true") for schema, same in zip(as_text, layouts.values())]
+    return union_all(parts), unreadable
+
+
+def read_by_name(spark: SparkSession, paths: Sequence[str], sep: str = ";") -> DataFrame:
+    """The table of ``read_files``; a file that cannot be read is an error."""
+    return read_files(spark, paths, sep)[0]
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
@@ -108,8 +171,9 @@ def read_modified_after(
     spark: SparkSession, folder: str, since: dt.datetime, schema: T.StructType, sep: str = ";"
 ) -> DataFrame:
     """Only files changed after ``since`` (in the session time zone)."""
-    stamp = since.strftime("%Y-%m-%dT%H:%M:%S")
-    return read_csv(spark, folder, schema, sep, pathGlobFilter="*.csv", modifiedAfter=stamp)
+    stamp = F.lit(since.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
+    changed = list_csv_files(spark, folder).where(F.col("modified") > stamp).orderBy("name").select("path")
+    return typed(read_by_name(spark, [row["path"] for row in changed.toLocalIterator()], sep), schema)
 
 
 def newest_versions(files: DataFrame, name: str = "name", modified: str = "modified") -> DataFrame:
@@ -119,8 +183,11 @@ def newest_versions(files: DataFrame, name: str = "name", modified: str = "modif
 
 
 def read_newest(spark: SparkSession, folders: Sequence[str], schema: T.StructType, sep: str = ";") -> DataFrame:
-    """Rows of the newest copy of every file name found in ``folders``; older copies are skipped."""
+    """Rows of the newest copy of every file name found in ``folders``; older copies are skipped.
+
+    The driver holds the list of paths that are read, as Spark itself does for any read.
+    """
     listed = reduce(DataFrame.unionByName, [list_csv_files(spark, folder) for folder in folders])
     newest = newest_versions(listed).select("path")
     paths = [row["path"] for row in newest.toLocalIterator()]
-    return read_csv(spark, paths, schema, sep) if paths else spark.createDataFrame([], schema)
+    return typed(read_by_name(spark, paths, sep), schema)

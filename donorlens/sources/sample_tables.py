@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from donorlens.functions.periods import moment
 from donorlens.schemas import FAILED, MONEY, NOT_PAID, PAID
 
 YEARS = [1995, 1996, 1997, 1998]
@@ -27,9 +28,8 @@ def donations(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(code.eqNullSafe("F"), PAID).otherwise(
         F.when(code.eqNullSafe("O"), NOT_PAID).otherwise(F.when(code.eqNullSafe("P"), FAILED))
     )
-    begin, end = (F.lit(moment).cast("timestamp_ntz") for moment in CAMPAIGN)
+    begin, end = (moment(at) for at in CAMPAIGN)
     return table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("order_id"),
         F.col("o_orderkey").alias("first_action_id"),
         F.col("o_orderkey").alias("website_id"),
         F.col("o_custkey").alias("customer_id"),

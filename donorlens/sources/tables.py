@@ -25,6 +25,12 @@ def overwrite_path(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Replace the table ``name`` by the rows and read them from there."""
+    overwrite_table(df, name)
+    return df.sparkSession.table(name)
+
+
 def load_datasets(
     actions: DataFrame, donations: DataFrame, actions_table: str = "customers", donations_table: str = "orders"
 ) -> None:

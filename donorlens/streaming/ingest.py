@@ -23,8 +23,12 @@ def checkpoint_folder(spark: SparkSession, name: str) -> str:
 
 
 def new_files(spark: SparkSession, folder: str, schema: T.StructType, token: str | None = None, sep: str = ";") -> DataFrame:
-    """A stream of the rows of every ``.csv`` file in ``folder``, optionally only of names that contain ``token``."""
-    rows = spark.readStream.schema(schema).option("sep", sep).option("header", True).option("pathGlobFilter", "*.csv").csv(folder)
+    """A stream of the rows of every ``.csv`` file in ``folder``, optionally only of names that contain ``token``.
+
+    A header that is not the schema's is an error.
+    """
+    options = {"sep": sep, "header": True, "escape": '"', "multiLine": True, "enforceSchema": False, "pathGlobFilter": "*.csv"}
+    rows = spark.readStream.schema(schema).options(**options).csv(folder)
     return rows.where(name_contains(token)) if token else rows
 
 

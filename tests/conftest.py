@@ -46,7 +46,7 @@ def donations(spark):
         for i, row in enumerate(rows, 1):
             customer, ts, price, status, campaign, recurrent = (*row, *(None, 100, "Paid", False, False)[len(row) - 1 :])
             money = None if price is None else Decimal(str(price))
-            full.append((i, i, i, customer, when(ts), money, status, campaign, recurrent))
+            full.append((i, i, customer, when(ts), money, status, campaign, recurrent))
         return spark.createDataFrame(full, DONATIONS)
 
     return build

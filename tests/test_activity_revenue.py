@@ -8,12 +8,6 @@ from donorlens.plans import activity, conversion, revenue
 from .conftest import rows
 
 
-def test_week_of_year_matches_python(spark):
-    days = spark.sql("SELECT explode(sequence(DATE '1995-01-01', DATE '2026-12-31')) AS d")
-    for r in days.select("d", periods.week_of_year("d").alias("w")).collect():
-        assert r["w"] == int(r["d"].strftime("%W")), r["d"]
-
-
 def test_spine():
     spine = periods.Spine("2021-11", 4)
     assert spine.labels == ["2021-11", "2021-12", "2022-01", "2022-02"]

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from donorlens.operators import cleaning, profiling
+from donorlens.operators import cleaning, histograms, profiling
 from donorlens.sources import sample_tables
 
 from .conftest import SF_DIR, rows
@@ -86,7 +86,7 @@ def check_histogram(df, feature, max_bins=20):
     values = [float(r[0]) for r in df.select(feature).collect() if r[0] is not None]
     n_bins = min(max_bins, df.select(feature).distinct().count())
     want, edges = np.histogram(values, bins=n_bins)
-    got = profiling.histogram_table(df.select(feature), max_bins=max_bins).collect()
+    got = histograms.histogram_table(df.select(feature), max_bins=max_bins).collect()
     assert {r["bucket"]: r["n"] for r in got} == {i + 1: n for i, n in enumerate(want) if n}
     for r in got:
         assert r["feature"] == feature
@@ -118,6 +118,42 @@ def test_histogram_of_table_columns(spark):
 
 def test_histogram_leaves_out_constants_texts_and_excluded(spark):
     df = spark.createDataFrame([(1, 5, "a", True, 1.0), (2, 5, "b", False, 2.0)], "x int, same int, t string, f boolean, no double")
-    assert {r["feature"] for r in profiling.histogram_table(df, exclude=["no"]).collect()} == {"x"}
-    assert profiling.histogram_table(df.select("t", "f")).collect() == []
-    assert profiling.histogram_table(df.limit(0)).collect() == []
+    assert {r["feature"] for r in histograms.histogram_table(df, exclude=["no"]).collect()} == {"x"}
+    assert histograms.histogram_table(df.select("t", "f")).collect() == []
+    assert histograms.histogram_table(df.limit(0)).collect() == []
+
+
+def test_duplicate_column_keeps_fractions(spark):
+    prices = spark.createDataFrame([("99.50", "99.70"), ("10.00", "10.40")], "price string, base string")
+    assert rows(cleaning.duplicate_check(prices, "price", "base")) == [(2, 1)]
+    assert cleaning.drop_if_duplicate(prices, "price", "base").columns == ["price", "base"]
+
+
+def test_histogram_heavy_tail(spark, monkeypatch):
+    """Two outliers put all other values into one equal-width bin; the range of the median still gets small."""
+    monkeypatch.setattr(histograms, "MAX_RANKED", 500)
+    df = spark.range(200_000).select(F.when(F.col("id") == 0, 1e18).when(F.col("id") == 1, 1e12).otherwise(F.col("id")).alias("x"))
+    numbers = [histograms.as_number(df, "x")]
+    features = histograms._features(df, ["x"], numbers, 20)
+    histograms._counted(df, numbers, features, 20)
+    (f,) = histograms.narrowed(df, numbers, features)
+    assert f.inside <= 500 and f.below < f.ranks[0] and f.ranks[1] <= f.below + f.inside
+    got = histograms.histogram_table(df).collect()
+    assert {r["n"] for r in got} == {199_999, 1} and {r["median"] for r in got} == {100_001.5}
+
+
+def test_histogram_of_one_frequent_value(spark, monkeypatch):
+    monkeypatch.setattr(histograms, "MAX_RANKED", 500)
+    df = spark.range(50_000).select(F.when(F.col("id") < 40_000, 7.0).otherwise(F.col("id").cast("double")).alias("x"))
+    assert {r["median"] for r in histograms.histogram_table(df).collect()} == {7.0}
+
+
+def test_histogram_of_infinities_times_and_too_many_bins(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (float("inf"),), (float("nan"),)], "x double")
+    assert sum(r["n"] for r in histograms.histogram_table(df).collect()) == 2
+    times = spark.sql("SELECT DATE'2021-01-01' AS d, TIMESTAMP_NTZ'2021-01-01 00:00:01' AS t UNION ALL SELECT DATE'2021-01-03', NULL UNION ALL SELECT NULL, TIMESTAMP_NTZ'2021-01-01 00:00:02'")
+    got = {(r["feature"], r["bucket"]): r for r in histograms.histogram_table(times).collect()}
+    assert got["d", 1]["median"] == dt.datetime(2021, 1, 2, tzinfo=dt.timezone.utc).timestamp()
+    assert got["t", 1]["lo"] + 1 == got["t", 3]["hi"]
+    with pytest.raises(ValueError):
+        histograms.histogram_table(df, max_bins=65)

@@ -26,7 +26,7 @@ def test_repeat_payers(spark, donations):
         (None, "2021-02-01"),
     )
     assert rows(recurring.repeat_payers_non_recurrent(d)) == [(1,)]
-    same_action = d.withColumn("first_action_id", d.order_id * 0)
+    same_action = d.withColumn("first_action_id", d.website_id * 0)
     assert rows(recurring.repeat_payers_non_recurrent(same_action)) == [(0,)]
 
 

@@ -67,14 +67,53 @@ def test_read_first_named(spark, landing):
     assert files.read_first_named(spark, landing, "nothing", TWO).schema == TWO
 
 
-def test_unreadable_file_is_skipped(spark, landing):
-    import gzip
-
-    broken = gzip.compress(b"id;name\n77;x\n" * 1000)[:50]
-    with open(f"{landing}/broken_users.csv.gz", "wb") as f:
-        f.write(broken)
-    users, _ = files.read_routed(spark, landing, "users", TWO)
+def test_unreadable_files_fail_or_are_named(spark, landing):
+    for name, content in (("broken_users.csv", b"id;name\n77;\xff\xfe\x80\n"), ("empty_users.csv", b"")):
+        with open(f"{landing}/{name}", "wb") as f:
+            f.write(content)
+    paths = files.csv_paths(spark, landing)
+    with pytest.raises(ValueError, match="broken_users"):
+        files.read_by_name(spark, paths)
+    with pytest.raises(ValueError, match="empty_users"):
+        files.read_routed(spark, landing, "users", TWO)
+    users, _ = files.read_routed(spark, landing, "users", TWO, skip_unreadable=True)
     assert sorted(r["id"] for r in users.collect()) == [1, 2, 3]
+    table, skipped = files.read_files(spark, paths, skip_unreadable=True)
+    assert [p.rsplit("/", 1)[-1] for p in skipped] == ["broken_users.csv", "empty_users.csv"]
+    assert table.count() == 5
+
+
+def test_header_is_matched_by_name(spark, tmp_path):
+    (tmp_path / "swapped.csv").write_text("name;id\ny;2\n")
+    assert rows(files.read_first_named(spark, str(tmp_path), "swapped", TWO)) == [(2, "y")]
+    with pytest.raises(Exception, match="header"):
+        files.read_csv(spark, str(tmp_path / "swapped.csv"), TWO).collect()
+
+
+def test_quotes_separators_and_line_breaks(spark, tmp_path):
+    text = 'id;name\n1;"Fund ""Good"" one"\n2;"a;b"\n3;"two\nlines"\n'
+    (tmp_path / "quoted.csv").write_text(text)
+    want = [(1, 'Fund "Good" one'), (2, "a;b"), (3, "two\nlines")]
+    assert sorted(rows(files.read_csv(spark, str(tmp_path / "quoted.csv"), TWO))) == want
+    table = files.read_by_name(spark, files.csv_paths(spark, str(tmp_path)))
+    assert sorted(rows(table)) == [(str(i), name) for i, name in want]
+
+
+def test_jobs_do_not_grow_with_files(spark, tmp_path):
+    def jobs(n):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        for i in range(n):
+            (folder / f"Users_{i:02}.csv").write_text(f"id;{'name' if i % 2 else 'other'}\n{i};x\n")
+        group = str(uuid.uuid4())
+        spark.sparkContext.setJobGroup(group, "")
+        try:
+            assert files.read_by_name(spark, files.csv_paths(spark, str(folder))).count() == n
+        finally:
+            spark.sparkContext._jsc.sc().clearJobGroup()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(50) <= jobs(6) + 1
 
 
 def test_union_by_name(spark):
@@ -161,12 +200,15 @@ def exports(tmp_path):
 def test_load_exports(spark, exports):
     reports = etl.load(spark, exports, "users", "Orders", "actions_loaded", "donations_loaded")
     loaded = spark.table("actions_loaded").orderBy("customer_id")
-    assert rows(loaded) == [
+    assert loaded.columns[4:] == ["CustomerActionCreationDateTimeUtc", "CustomerActionChannelIdsMindboxId"]
+    assert rows(loaded.select(*loaded.columns[:4])) == [
         (1, dt.datetime(2021, 1, 1, 10), "site", "ads"),
         (2, None, "site", "none"),
         (3, dt.datetime(2021, 2, 1, 10), "app", None),
     ]
-    gifts = spark.table("donations_loaded").orderBy("customer_id").drop("order_id").collect()
+    gifts = spark.table("donations_loaded").orderBy("customer_id").collect()
+    assert [g["OrderLinePriceOfLine"] for g in gifts] == ["100", "200"]
+    assert "order_id" not in gifts[0]
     assert [float(g["total_price"]) for g in gifts] == [100.5, 200.0]
     assert gifts[0]["order_ts"] == dt.datetime(2021, 1, 5, 12, 30, 0, 500000)
     assert [(g["is_campaign"], g["is_recurrent"]) for g in gifts] == [(True, False), (None, True)]
@@ -183,3 +225,28 @@ def test_missing_orders_file(spark, exports):
         etl.load(spark, exports, "users", "Nothing", "actions_x", "donations_x")
     etl.load(spark, exports, "users", "Nothing", "actions_x", "donations_x", strict=False)
     assert spark.table("donations_x").count() == 0
+
+
+def test_day_first_times(spark, exports, tmp_path):
+    day_first = tmp_path / "day_first"
+    day_first.mkdir()
+    for name, text in (("Users_1.csv", ACTIONS_2), ("Orders.csv", ORDERS)):
+        (day_first / name).write_text(
+            text.replace("2021-02-01 10:00:00", "31.12.2021 10:00:00").replace("2021-02-01 10:00:01", "31.12.2021 10:00:01")
+            .replace("2021-01-05 12:30:00.5", "05.01.2021 12:30:00").replace("2021-01-06 12:30:00", "06.01.2021 12:30:00")
+        )
+    with pytest.raises(ValueError, match="times that cannot be read"):
+        etl.load(spark, str(day_first), "users", "Orders", "actions_d", "donations_d")
+    etl.load(spark, str(day_first), "users", "Orders", "actions_d", "donations_d", fmt="dd.MM.yyyy HH:mm:ss")
+    assert spark.table("actions_d").first()["action_ts"] == dt.datetime(2021, 12, 31, 10)
+    assert sorted(r["order_ts"] for r in spark.table("donations_d").collect()) == [dt.datetime(2021, 1, d, 12, 30) for d in (5, 6)]
+
+
+def test_load_names_skipped_files(spark, exports):
+    with open(f"{exports}/Users_9.csv", "wb"):
+        pass
+    with pytest.raises(ValueError, match="Users_9"):
+        etl.load(spark, exports, "users", "Orders", "actions_s", "donations_s")
+    reports = etl.load(spark, exports, "users", "Orders", "actions_s", "donations_s", skip_unreadable=True)
+    assert [p.rsplit("/", 1)[-1] for p in reports["actions_s"].skipped_files] == ["Users_9.csv"]
+    assert spark.table("actions_s").count() == 3
