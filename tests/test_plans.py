@@ -5,6 +5,7 @@ import re
 import pytest
 
 from __spark_entry__ import queries
+from checks.oracle import ORACLE
 
 from .conftest import SF_DIR
 
@@ -15,7 +16,7 @@ def plan_of(spark, name):
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {name: plan_of(spark, name) for name in queries()}
+    return {name: plan_of(spark, name) for name in ORACLE}
 
 
 def test_no_python_and_no_cartesian_product(plans):
@@ -66,3 +67,11 @@ def test_filters_reach_the_scan(plans):
 def test_top_k_per_group_is_cut_before_the_shuffle(plans):
     assert "WindowGroupLimit" in plans["top_channels_by_year"]
     assert "TakeOrderedAndProject" in plans["top_bottom_retention"]
+
+
+def test_hot_keys_take_no_scan_of_their_own(spark):
+    """The rows of hot users, those of others, and the counts behind both."""
+    df = queries()["avg_days_first_to_second"](spark, SF_DIR)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert len(re.findall(r"(?<!Reused)FileScan", final)) <= 3
