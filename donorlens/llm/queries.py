@@ -6,12 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from donorlens.llm import decontaminate, exact_dedup, html_extract, mixing, ngram_join, pii, quality, secret_scan, sharding, url_filter
+from donorlens.llm import (
+    decontaminate,
+    exact_dedup,
+    html_extract,
+    mixing,
+    ngram_join,
+    pii,
+    quality,
+    secret_scan,
+    sharding,
+    url_filter,
+)
+from donorlens.llm.store import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, where they don't find it by PYTHONPATH."""
+    root = Path(__file__).resolve().parents[2]
+    sc = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_has_donorlens", False):
+        return
+    # The driver's own copy; Spark hands it to the executors.
+    sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='llm-package-')}/donorlens", "zip", root, "donorlens"))
+    sc._has_donorlens = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; only where none is named (local tests) a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
