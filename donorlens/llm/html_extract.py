@@ -24,7 +24,7 @@ from donorlens.llm.url_filter import host_and_path
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!?\?[^>]*>?|<![^>]*>?"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|svg|iframe|textarea|select|button|title)\b.*?(?:</\1\s*>|\Z)"
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)>?""",
     re.DOTALL | re.IGNORECASE,
 )
@@ -36,7 +36,7 @@ CONTAINERS = frozenset("html body div section article main nav header footer asi
 ENDS_ITSELF = frozenset("p li dt dd tr td th".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 #: Parts of a page that are not its text, by element or by a word of class, id or role.
-NOT_TEXT = frozenset("nav footer aside form menu dialog button head fieldset".split())
+NOT_TEXT = frozenset("nav footer aside form menu dialog head fieldset".split())
 NOT_TEXT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored banner promo cookie cookies consent notice notices "
     "comment comments disqus sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing social "
@@ -59,7 +59,7 @@ class Element:
 
 def _element(tag: str, attributes: str, inside_text: bool) -> Element:
     words = []
-    for m in ATTRIBUTE.finditer(attributes) if attributes and tag in CONTAINERS else ():
+    for m in ATTRIBUTE.finditer(attributes) if attributes else ():
         words += re.findall(r"[a-z]+|[0-9]+", (m[2] or m[3] or m[4] or "").lower())
     skipped = tag in NOT_TEXT or (tag == "header" and not inside_text) or not NOT_TEXT_WORDS.isdisjoint(words)
     names = sorted({w for w in words if not w.isdigit()})
@@ -95,7 +95,7 @@ def parse(page: str) -> Element:
                 if open_[k].tag in CONTAINERS and tag in BLOCKS:
                     break
             continue
-        if open_[-1].tag == "p" or (tag in ENDS_ITSELF and open_[-1].tag == tag) or (tag == "body" and open_[-1].tag == "head"):
+        if open_[-1].tag == "p" or (tag in ENDS_ITSELF and open_[-1].tag == tag) or open_[-1].tag == "head":
             close(len(open_) - 1)
         element = _element(tag, m[4], in_text > 0)
         if len(open_) > MAX_DEPTH:

@@ -31,6 +31,11 @@ def test_parts_that_are_no_text():
     assert main_text(PAGE, None) == "Head & line\n\nOne two <three> four\n\nFive\n\nsix\n\nseven"
 
 
+def test_open_heads_buttons_and_marked_blocks():
+    page = '<head><title>T</title><p>Text<button>Share</button> on<ul class="menu"><li>Home</ul><p class="notice">Old<p>End'
+    assert main_text(page, None) == "Text on\n\nEnd"
+
+
 def test_wrappers_align():
     one = wrapper_of(parse("<body><div class=top><p>a</p></div><div class=main><p>long text here</p><p>and more</p></div></body>"))
     two = wrapper_of(parse("<body><div class=main><p>another long text</p></div><div class=end><p>b</p></div></body>"))
