@@ -37,7 +37,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(texts: pa.Array, most: int = 8 << 20):
+def pieces(texts: pa.Array, most: int = 2 << 20):
     """Cut a column into runs of rows of at most `most` bytes (or one row), to bound the memory of what follows."""
     lengths = np.diff(buffers(texts)[1])
     at = 0

@@ -5,8 +5,10 @@ fixed number of hash buckets give a global order in which rare ones come first.
 share a shingle among the first of each (the prefix). So entities meet on the shingles of their prefixes; of those that meet, length
 and positions rule out most; the rest are verified once on their sets, after a bound on their suffixes.
 
-The result is components, so not all pairs are needed where many entities meet on one shingle: first each of them meets
-the middle one only; after that those meet that are not yet in one component. That loses no link between components.
+The result is components, so not all pairs are needed where many entities meet on one shingle. There, a signature of each
+set (parities of its counts in 1024 hash ranges) bounds the difference of two sets from below, as a suffix filter does. First
+each entity meets one or two others that pass; after that, all those that pass and are not yet in one component. That loses
+no link between components.
 """
 
 from __future__ import annotations
@@ -23,19 +25,23 @@ from pyspark.sql.types import StringType, StructField, StructType
 from donorlens.llm.components import connected_components
 from donorlens.llm.features import _mix, buffers, pieces, shingles, words
 from donorlens.llm.skew import attach
-from donorlens.llm.store import shuffle_partitions, summed_vectors, written
+from donorlens.llm.store import summed_vectors, written
 
 WORDS = 5
 #: Documents link when NUMERATOR / DENOMINATOR of the union is shared.
 NUMERATOR, DENOMINATOR = 75, 100
 COUNT_BITS = 20
 #: Groups of up to so many entities meet all at once.
-SMALL_GROUP = 8
-#: Bytes of prefix entries that one task sorts.
-TASK_BYTES = 48 << 20
+SMALL_GROUP = 4
+SIGNATURE_BITS = 1024
+#: Bytes of prefix entries that one task sorts. Fewer parts leave more entries of one set side by side, which pack better.
+TASK_BYTES = 64 << 20
+MIN_PARTS = 12
 #: Hash ranges in which the suffix filter counts.
 RANGES = 32
 MAP_BITS = 23
+#: Bytes of a shingle that verification compares.
+KEPT = 6
 ENTRY = np.dtype([("shingle", "<u8"), ("entity", "<u8"), ("n", "<u4"), ("place", "<u4")])
 
 
@@ -57,6 +63,9 @@ def _digest(shingle_set: np.ndarray, seed: int) -> int:
 _SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
 
 
+MEMBER = np.dtype([*ENTRY.descr, ("signature", "<u8", SIGNATURE_BITS // 64), ("root", "<u8")])
+
+
 def needed(nx, ny):
     """The least intersection of sets of these sizes that link: share x union = share x (nx + ny - intersection)."""
     return -(-NUMERATOR * (nx + ny) // (NUMERATOR + DENOMINATOR))
@@ -68,24 +77,32 @@ def prefix_sizes(n):
     return n - least + 1, n - needed(n, n) + 1
 
 
+def signature(shingle_set: np.ndarray) -> bytes:
+    """Parity of the number of shingles in each of SIGNATURE_BITS ranges: sets that differ in k shingles differ in k bits at most."""
+    counts = np.bincount((shingle_set & np.uint64(SIGNATURE_BITS - 1)).astype(np.int64), minlength=SIGNATURE_BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
 def _profiled(id_type: pa.DataType):
     """Per document the size and digests of its set; at the end a row with n = -1 and the counts per bucket."""
-    names = ["doc_id", "n", "d1", "d2", "counts"]
-    types = [id_type, pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["doc_id", "n", "d1", "d2", "signature", "counts"]
+    types = [id_type, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNT_BITS, np.int64)
         for batch in batches:
-            n, d1, d2 = [], [], []
+            n, d1, d2, signatures = [], [], [], []
             for s in _sets(batch.column(1)):
                 n.append(len(s))
                 d1.append(_digest(s, _SEEDS[0]))
                 d2.append(_digest(s, _SEEDS[1]))
+                signatures.append(signature(s))
                 np.add.at(counts, (s >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
             digests = [pa.array(np.array(d, np.uint64).view(np.int64)) for d in (d1, d2)]
-            columns = [batch.column(0), pa.array(n, pa.int64()), *digests, pa.nulls(len(n), pa.binary())]
+            columns = [batch.column(0), pa.array(n, pa.int64()), *digests, pa.array(signatures, pa.binary())]
+            columns.append(pa.nulls(len(n), pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, names=names)
-        last = [None, -1, 0, 0, counts.astype(np.int32).tobytes()]
+        last = [None, -1, 0, 0, None, counts.astype(np.int32).tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(last, types, strict=True)], names=names)
 
     return run
@@ -157,11 +174,6 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = end
 
 
-def _groups(block: np.ndarray) -> Iterator[np.ndarray]:
-    cuts = np.flatnonzero(np.diff(block["shingle"]) != 0) + 1
-    yield from np.split(block, cuts)
-
-
 def _passing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Which pairs the prefix, length and positional filters leave; x is the smaller set of each."""
     nx, ny = x["n"].astype(np.int64), y["n"].astype(np.int64)
@@ -172,60 +184,132 @@ def _passing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return in_prefix & (nx >= alpha) & (most >= alpha)
 
 
-def _pairs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _ordered(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     swap = (x["n"] > y["n"]) | ((x["n"] == y["n"]) & (x["entity"] > y["entity"]))
-    small, large = np.where(swap, y, x), np.where(swap, x, y)
-    keep = _passing(small, large) & (small["entity"] != large["entity"])
+    return np.where(swap, y, x), np.where(swap, x, y)
+
+
+def _pairs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    small, large = _ordered(x, y)
+    keep = _passing(small, large)
     return np.stack([small["entity"][keep], large["entity"][keep]], 1)
 
 
 def _emit(found: list[np.ndarray]) -> pa.RecordBatch:
-    pairs = np.unique(np.concatenate([np.zeros((0, 2), np.uint64), *found]), axis=0)
+    pairs = np.concatenate([np.zeros((0, 2), np.uint64), *found])
+    if len(pairs):
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        pairs = pairs[np.concatenate([[True], (np.diff(pairs[:, 0]) != 0) | (np.diff(pairs[:, 1]) != 0)])]
     return pa.RecordBatch.from_arrays(
         [pa.array(pairs[:, 0].copy().view(np.int64)), pa.array(pairs[:, 1].copy().view(np.int64))], names=["a", "b"]
     )
 
 
-def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of small groups; of others, each with the middle one."""
+def _bounds(shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    begins = np.flatnonzero(np.concatenate([[True], np.diff(shingle) != 0]))
+    return begins, np.diff(np.concatenate([begins, [len(shingle)]]))
+
+
+def _small_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of small groups, all groups of one size at once."""
     for batch in batches:
         for value in batch.column(0):
+            entries = np.frombuffer(value.as_buffer(), ENTRY)
+            begins, sizes = _bounds(entries["shingle"])
             found = []
-            for group in _groups(np.frombuffer(value.as_buffer(), ENTRY)):
-                if len(group) <= SMALL_GROUP:
-                    i, j = np.triu_indices(len(group), 1)
-                    found.append(_pairs(group[i], group[j]))
-                else:
-                    middle = np.repeat(group[len(group) // 2 : len(group) // 2 + 1], len(group))
-                    found.append(_pairs(group, middle))
+            for size in range(2, SMALL_GROUP + 1):
+                groups = begins[sizes == size]
+                found += [_pairs(entries[groups + i], entries[groups + j]) for i in range(size) for j in range(i + 1, size)]
             yield _emit(found)
 
 
+def _within_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs with sizes and signatures those whose sets may be near enough."""
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u8").reshape(batch.num_rows, -1) for k in (4, 5))
+        total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+        keep = np.bitwise_count(a ^ b).sum(1).astype(np.int64) <= total - 2 * needed(total, 0)
+        yield batch.select([0, 1]).filter(pa.array(keep))
+
+
 def _large_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for value in batch.column(0):
-            large = [g for g in _groups(np.frombuffer(value.as_buffer(), ENTRY)) if len(g) > SMALL_GROUP]
-            if large:
-                rows = np.concatenate(large)
-                as_long = lambda c: pa.array(rows[c].astype(np.uint64).view(np.int64))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([as_long(c) for c in ENTRY.names], names=list(ENTRY.names))
-
-
-def _cross_pairs(key: tuple, table: pa.Table) -> pa.Table:
-    """The pairs of one large group that lie in different components. All of one component come as one run."""
-    rows = np.empty(table.num_rows, ENTRY)
-    for c in ENTRY.names:
-        rows[c] = table.column(c).to_numpy().view(np.uint64)
-    roots = np.unique(np.array(table.column("root").to_pylist(), object).astype(str), return_inverse=True)[1]
-    order = np.argsort(roots, kind="stable")
-    rows, roots = rows[order], roots[order]
-    cuts = np.flatnonzero(np.diff(roots)) + 1
-    found = []
-    for at, end in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(rows)]]), strict=True):
-        # Each member of this component against all that come after it.
-        for i in range(at, end) if end < len(rows) else ():
-            found.append(_pairs(np.repeat(rows[i : i + 1], len(rows) - end), rows[end:]))
-    return pa.Table.from_batches([_emit(found)])
+            entries = np.frombuffer(value.as_buffer(), ENTRY)
+            _, sizes = _bounds(entries["shingle"])
+            rows = entries[np.repeat(sizes > SMALL_GROUP, sizes)]
+            as_long = lambda c: pa.array(rows[c].astype(np.uint64).view(np.int64))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([as_long(c) for c in ENTRY.names], names=list(ENTRY.names))
+
+
+def _member_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Whole groups of rows that come in order of their shingle: shingle, entity, n, place, signature, root."""
+    rest = np.zeros(0, MEMBER)
+    for batch in batches:
+        rows = np.empty(batch.num_rows, MEMBER)
+        for k, c in enumerate(ENTRY.names):
+            rows[c] = batch.column(k).to_numpy().view(np.uint64)
+        rows["signature"] = np.frombuffer(b"".join(batch.column(4).to_pylist()), "<u8").reshape(len(rows), -1)
+        rows["root"] = batch.column(5).to_numpy().view(np.uint64)
+        rows = np.concatenate([rest, rows])
+        if len(rows):
+            begins, _ = _bounds(rows["shingle"])
+            rest = rows[begins[-1] :]
+            yield np.split(rows[: begins[-1]], begins[1:-1]) if begins[-1] else []
+    if len(rest):
+        yield [rest]
+
+
+def _near(group: np.ndarray, i: int, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the members `among` those that may link with member i by all filters, and by how many bits they differ."""
+    one = np.repeat(group[i : i + 1], len(among))
+    small, large = _ordered(one, group[among])
+    bits = np.bitwise_count(group["signature"][among] ^ group["signature"][i]).sum(1).astype(np.int64)
+    total = one["n"].astype(np.int64) + group["n"][among]
+    keep = _passing(small, large) & (bits <= total - 2 * needed(total, 0))
+    return among[keep], bits[keep]
+
+
+def _named_pairs(group: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    small, large = _ordered(np.repeat(group[i : i + 1], len(others)), group[others])
+    return np.stack([small["entity"], large["entity"]], 1)
+
+
+def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of large groups: a member and all it may link with, then one that is left, and so on; each also with the nearest of
+    those before. So a group of m members gives 2 m pairs at most."""
+    for groups in _member_groups(batches):
+        found = []
+        for group in groups:
+            left = np.ones(len(group), bool)
+            everyone = np.arange(len(group))
+            while left.any():
+                i = int(left.argmax())
+                left[i] = False
+                near, bits = _near(group, i, everyone[everyone != i])
+                found.append(_named_pairs(group, i, near[left[near]]))
+                before = ~left[near]
+                if before.any():
+                    found.append(_named_pairs(group, i, near[before][[bits[before].argmin()]]))
+                left[near] = False
+        yield _emit(found)
+
+
+def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of large groups: all pairs that may link and lie in different components."""
+    for groups in _member_groups(batches):
+        found = []
+        for group in groups:
+            roots, of, sizes = np.unique(group["root"], return_inverse=True, return_counts=True)
+            if len(roots) == 1:
+                continue
+            rows = np.argsort(of == sizes.argmax(), kind="stable")  # the largest component last
+            group, of = group[rows], of[rows]
+            for i in range(len(group) - int(sizes.max())):
+                others = np.arange(i + 1, len(group))
+                near, _ = _near(group, i, others[of[i + 1 :] != of[i]])
+                found.append(_named_pairs(group, i, near))
+        yield _emit(found)
 
 
 def _set_rows(wanted: np.ndarray):
@@ -243,7 +327,7 @@ def _set_rows(wanted: np.ndarray):
                 key = (entity, _digest(s, _SEEDS[1]))
                 if key not in seen:
                     seen.add(key)
-                    out.append((*key, s.tobytes()))
+                    out.append((*key, s.view(np.uint8).reshape(-1, 8)[:, 8 - KEPT :].tobytes()))
             as_long = lambda k: pa.array(np.array([r[k] for r in out], np.uint64).view(np.int64))  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays(
                 [as_long(0), as_long(1), pa.array([r[2] for r in out], pa.binary())], names=["entity", "other", "shingles"]
@@ -259,6 +343,13 @@ def _bit_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["bits"])
 
 
+def _unpacked(kept: memoryview) -> np.ndarray:
+    """Sorted shingles from their upper KEPT bytes."""
+    out = np.zeros((len(kept) // KEPT, 8), np.uint8)
+    out[:, 8 - KEPT :] = np.frombuffer(kept, np.uint8).reshape(-1, KEPT)
+    return out.view("<u8").ravel()
+
+
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
     """Whether two sorted sets link. The suffix filter first: in each range of hashes they share the lesser count at most."""
     alpha = needed(len(x), len(y))
@@ -274,7 +365,7 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [[np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(k)] for k in (2, 3)]
+        sets = [[_unpacked(memoryview(v.as_buffer())) for v in batch.column(k)] for k in (2, 3)]
         linked = pa.array([similar(x, y) for x, y in zip(*sets, strict=True)], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), linked], names=["a", "b", "linked"])
 
@@ -288,12 +379,24 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         wanted |= np.frombuffer(row[0], np.uint8)
     sets = texts.mapInArrow(_set_rows(wanted), "entity long, other long, shingles binary")
     name = F.concat(F.lpad(F.hex("entity"), 16, "0"), F.lpad(F.hex("other"), 16, "0"))
-    sets = written(sets.select("entity", name.alias("name"), "shingles").dropDuplicates(["entity", "name"]), "join-sets")
+    # Dealt by entity once: for dropping repeated sets and for both joins.
+    sets = sets.select("entity", name.alias("name"), "shingles").repartition("entity").dropDuplicates(["entity", "name"])
     left, right = (sets.select(F.col("entity").alias(k), F.col("name").alias(f"name_{k}"), F.col("shingles").alias(f"set_{k}")) for k in "ab")
     rows = pairs.join(left, "a").join(right, "b").select("name_a", "name_b", "set_a", "set_b")
     return rows.mapInArrow(_verified, "a string, b string, linked boolean").where("linked").select("a", "b")
 
 
+def _joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links: the components' roots are the vertices of a smaller graph."""
+    root_of = lambda c: labels.select(F.col("vertex").alias(c), F.col("root").alias(f"root_{c}"))
+    edges = links.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+    edges = edges.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).where("a != b")
+    upper = connected_components(written(edges.distinct(), "join-edges")).toDF("at", "top")
+    known = labels.join(upper, F.col("root") == F.col("at"), "left").select("vertex", F.coalesce("top", "root").alias("root"))
+    alone = upper.join(labels.select("vertex"), F.col("at") == F.col("vertex"), "left_anti").toDF("vertex", "root")
+    return written(known.union(alone), "join-labels")
+
+
 def _named(place: int):
     """All columns, and the name of each row's set: empty without shingles."""
 
@@ -341,32 +444,42 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def components(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per input row: doc_id, n, name (of its set), component_id, text_copies (null without shingles)."""
-    spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
     texts = rows.select("text")
     profile = _profiled(to_arrow_type(df.schema[id_col].dataType))
-    profiles = rows.mapInArrow(profile, f"doc_id {kind}, n long, d1 long, d2 long, counts binary")
-    profiles = written(profiles, "join-profiles", False)
+    profiles = rows.mapInArrow(profile, f"doc_id {kind}, n long, d1 long, d2 long, signature binary, counts binary")
+    profiles = written(profiles, "join-profiles")
     counts = summed_vectors(profiles.where("n = -1").select("counts"), 1 << COUNT_BITS)
     docs = profiles.where("n >= 0").select(
         "doc_id", "n", F.concat(F.lpad(F.hex("d1"), 16, "0"), F.lpad(F.hex("d2"), 16, "0")).alias("name")
     )
-    parts = max(shuffle_partitions(spark), int(counts.sum()) // 4 * ENTRY.itemsize // TASK_BYTES)
+    parts = max(MIN_PARTS, int(counts.sum()) // 4 * ENTRY.itemsize // TASK_BYTES)
     blocks = texts.mapInArrow(_prefix_entries(_order(counts), parts), "part long, block binary")
     groups = written(blocks.repartition(parts, "part").mapInArrow(_grouped, "groups binary"), "join-groups")
-    pairs = written(groups.mapInArrow(_first_pairs, "a long, b long").distinct(), "join-pairs")
+    members = groups.mapInArrow(_large_members, "shingle long, entity long, n long, place long")
+    signatures = profiles.where("n > 0").select(F.col("d1").alias("entity"), F.col("n").alias("size"), "signature")
+    signatures = signatures.dropDuplicates(["entity"])
+    members = written(members.join(signatures.drop("size"), "entity").select(*ENTRY.names, "signature"), "join-members")
+
+    def met(rows: DataFrame, how) -> DataFrame:
+        return rows.repartition("shingle").sortWithinPartitions("shingle", "entity").mapInArrow(how, "a long, b long")
+
+    first = met(members.withColumn("root", F.col("entity")), _first_pairs)
+    small = groups.mapInArrow(_small_pairs, "a long, b long").distinct()
+    small = small.join(signatures.toDF("a", "size_a", "signature_a"), "a").join(signatures.toDF("b", "size_b", "signature_b"), "b")
+    small = small.select("a", "b", "size_a", "size_b", "signature_a", "signature_b").mapInArrow(_within_signatures, "a long, b long")
+    pairs = written(small.union(first).distinct(), "join-pairs")
     links = written(_links(pairs, texts), "join-links")
-    labels = written(connected_components(links), "join-labels")
-    large = groups.mapInArrow(_large_members, "shingle long, entity long, n long, place long")
-    by_entity = labels.select(F.conv(F.substring("vertex", 1, 16), 16, -10).cast("long").alias("entity"), "root")
-    members = large.join(by_entity.dropDuplicates(["entity"]), "entity", "left")
-    members = members.withColumn("root", F.coalesce("root", F.hex("entity")))
-    cross = members.groupBy("shingle").applyInArrow(_cross_pairs, "a long, b long").distinct()
-    cross = written(cross.join(pairs, ["a", "b"], "left_anti"), "join-cross")
+    labels = connected_components(links)
+    root = F.conv(F.substring("root", 1, 16), 16, -10).cast("long")
+    by_entity = labels.select(F.conv(F.substring("vertex", 1, 16), 16, -10).cast("long").alias("entity"), root.alias("root"))
+    placed = members.join(by_entity.dropDuplicates(["entity"]), "entity", "left")
+    placed = placed.select(*ENTRY.names, "signature", F.coalesce("root", "entity").alias("root"))
+    cross = met(placed, _cross_pairs).distinct().join(pairs, ["a", "b"], "left_anti")
+    cross = written(cross, "join-cross")
     if not cross.isEmpty():
-        links = written(links.union(_links(cross, texts)), "join-links")
-        labels = connected_components(links)
+        labels = _joined_labels(labels, _links(cross, texts))
     classes = docs.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("text_copies"))
     rooted = classes.join(labels.withColumnRenamed("vertex", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
