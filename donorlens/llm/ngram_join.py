@@ -421,7 +421,8 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = df.mapInArrow(_named(df.columns.index(text_col)), schema)
     # The id is part of the key, so a large group doesn't meet in one task; rows without words have no partner.
     own = F.when(F.col("_set") != "", F.concat_ws(":", "_set", rows[id_col].cast("string")))
-    rows = rows.withColumn("_key", F.coalesce(own, F.concat(F.lit("-"), F.xxhash64(id_col, F.rand(1)).cast("string"))))
+    spread = F.xxhash64(*(c for c, kind in df.dtypes if kind in ("string", "bigint", "int", "double")))
+    rows = rows.withColumn("_key", F.coalesce(own, F.concat(F.lit("-"), spread.cast("string"))))
     kept = rows.join(counts.select("_kept"), F.col("_key") == F.col("_kept"), "left").where("_set = '' or _kept is not null")
     if not counts.where("n > 1").isEmpty():
         kept = kept.withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).where("_copy = 1")

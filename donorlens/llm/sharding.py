@@ -12,11 +12,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from donorlens.llm.skew import attach
 from donorlens.llm.store import written
 
 BINS = 2048
 #: A cut is near enough when the bin that holds it has less than one in so many of the node's bytes.
 PRECISION = 4000
+#: Equal texts stay in one shard unless they make up more than one in so many of a shard's bytes.
+HEAVY = 50
 #: Rows whose slots one task numbers.
 BUCKET_ROWS = 50_000
 TIE_TOP = (1 << 63) - 1
@@ -61,9 +64,9 @@ def kd_shards(
 
     `size` is the UTF-8 bytes of the text plus 1; null counts as empty. Shards are as near in bytes as the largest rows at
     the cuts allow (law `bytes`); `slot` numbers a shard's rows from 0; `grown_shard` is null. The number of shards is
-    given, or the bytes divided by `target_bytes`. Rows that agree in a dimension go by text and then id, so equal texts
-    stay together unless a cut falls among them. Null metadata comes first; a dimension that the table lacks is left out. Rows that
-    repeat an id and a text are not told apart and go to one shard. An empty table gives an empty result; shards may
+    given, or the bytes divided by `target_bytes`. Equal texts (by CRC-32 and 64-bit hash) share the least of their metadata
+    and stay in one shard, unless they are more than a 1 / HEAVY of it; then ids divide them. Null metadata comes first; a
+    dimension that the table lacks is left out. Rows that repeat an id and a text go to one shard. An empty table gives an empty result; shards may
     stay empty where there are fewer rows than shards.
     """
     text = F.coalesce(df[text_col], F.lit(""))
@@ -73,19 +76,28 @@ def kd_shards(
     ]
     columns = [f"dim_{i}" for i in range(len(names))] or ["tie"]
     crc = F.crc32(text.cast("binary"))
-    tie = F.shiftleft(crc, 31).bitwiseOR(F.xxhash64(df[id_col]).bitwiseAND(F.lit(0x7FFFFFFF)))
-    points = written(
+    rows = written(
         df.select(
             df[id_col].alias("doc_id"),
             (F.octet_length(text) + 1).cast("long").alias("size"),
             crc.alias("text_crc32"),
-            tie.alias("tie"),
+            F.xxhash64(text).alias("hash"),
             *(c.alias(f"dim_{i}") for i, c in enumerate(coordinates)),
-        ),
-        "kd-points",
+        ).withColumn("content", F.concat_ws(":", "text_crc32", "hash")),
+        "kd-rows",
     )
-    total = points.agg(F.sum("size")).first()[0] or 0
+    total, n_rows = rows.agg(F.sum("size"), F.count(F.lit(1))).first()
+    total = total or 0
     shards = shards or max(1, -(-total // target_bytes))
+    least = [F.min(f"dim_{i}").alias(f"dim_{i}") for i in range(len(names))]
+    groups = rows.groupBy("content").agg(F.count(F.lit(1)).alias("copies"), F.sum("size").alias("weight"), *least)
+    own = rows.select("doc_id", "size", "text_crc32", "hash", "content")
+    divided = F.col("weight").cast("double") * (HEAVY * shards) > total
+    low = F.when(divided, F.xxhash64("doc_id")).otherwise(F.col("hash")).bitwiseAND(F.lit(0x7FFFFFFF))
+    tie = F.shiftleft("text_crc32", 31).bitwiseOR(low)
+    placed = attach(own, written(groups, "kd-groups"), "content", "copies", n_rows)
+    dimensions = [f"dim_{i}" for i in range(len(names))]
+    points = written(placed.select("doc_id", "size", "text_crc32", tie.alias("tie"), *dimensions), "kd-points")
     root = Node(0, shards)
     extent = None
     while total and any(leaf.count > 1 for leaf in root.leaves()):

@@ -44,3 +44,19 @@ def test_target_bytes_and_edges(spark):
     assert collected(kd_shards(documents(spark, []), shards=8)) == []
     few = kd_shards(documents(spark, [(None, "a"), (None, "a"), (1, None)]), shards=8).collect()
     assert len(few) == 3
+
+
+def test_equal_texts_stay_together(spark):
+    """Copies differ in lang and source; a group that is too heavy for one shard is divided."""
+    rows = [(i, f"text {i % 700} " + "y" * 40, f"l{i % 3}", f"s{i % 11}", 50) for i in range(2100)]
+    rows += [(9000 + i, "z" * 60, "l1", "s1", 60) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = kd_shards(docs, shards=8).collect()
+    check([(r[0], r[1]) for r in rows], got, 8)
+    text = {r[0]: r[1] for r in rows}
+    shards = {}
+    for r in got:
+        shards.setdefault(text[r["doc_id"]], set()).add(r["shard"])
+    assert all(len(s) == 1 for t, s in shards.items() if t[0] == "t") and len(shards["z" * 60]) > 1
+    sizes = [sum(r["size"] for r in got if r["shard"] == k) for k in range(8)]
+    assert max(sizes) <= 1.1 * min(sizes)
