@@ -373,10 +373,8 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Verify each pair of entities once: (a, b) as names of sets, those that link."""
     ids = pairs.select("a").union(pairs.select("b"))
-    size = 1 << (MAP_BITS - 3)
-    wanted = np.zeros(size, np.uint8)
-    for row in ids.mapInArrow(_bit_map, "bits binary").toLocalIterator():
-        wanted |= np.frombuffer(row[0], np.uint8)
+    maps = ids.mapInArrow(_bit_map, "bits binary")
+    wanted = summed_vectors(maps, 1 << (MAP_BITS - 3), "uint8", "uint8", np.bitwise_or)
     sets = texts.mapInArrow(_set_rows(wanted), "entity long, other long, shingles binary")
     name = F.concat(F.lpad(F.hex("entity"), 16, "0"), F.lpad(F.hex("other"), 16, "0"))
     # Dealt by entity once: for dropping repeated sets and for both joins.

@@ -50,8 +50,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def summed_vectors(vectors: DataFrame, size: int, dtype: str = "int64", leaf: str = "int32") -> np.ndarray:
-    """Sum the byte vectors in the only column of `vectors`, each of `size` numbers, in a tree of small merges.
+def summed_vectors(vectors: DataFrame, size: int, dtype: str = "int64", leaf: str = "int32", combine=np.add) -> np.ndarray:
+    """Sum (or else `combine`) the byte vectors in the only column of `vectors`, each of `size` numbers, in a tree of merges.
 
     `size` is a fixed parameter of the caller, so each merge and the result on the driver are bounded. The vectors are of
     type `leaf`, sums of type `dtype`.
@@ -65,7 +65,7 @@ def summed_vectors(vectors: DataFrame, size: int, dtype: str = "int64", leaf: st
         total = np.zeros(size, dtype)
         for batch in batches:
             for value in batch.column(0):
-                total += numbers(memoryview(value.as_buffer()))
+                combine(total, numbers(memoryview(value.as_buffer())), out=total)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=[column])
 
     parts = vectors.rdd.getNumPartitions()
@@ -74,5 +74,5 @@ def summed_vectors(vectors: DataFrame, size: int, dtype: str = "int64", leaf: st
         vectors = vectors.repartition(parts).mapInArrow(merge, vectors.schema)
     total = np.zeros(size, dtype)
     for row in vectors.toLocalIterator():
-        total += numbers(memoryview(row[0]))
+        combine(total, numbers(memoryview(row[0])), out=total)
     return total
