@@ -25,7 +25,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from donorlens.llm.components import connected_components
 from donorlens.llm.features import _mix, buffers, pieces, shingles, words
 from donorlens.llm.skew import attach
-from donorlens.llm.store import summed_vectors, written
+from donorlens.llm.store import small_batches, summed_vectors, written
 
 WORDS = 5
 #: Documents link when NUMERATOR / DENOMINATOR of the union is shared.
@@ -35,7 +35,7 @@ COUNT_BITS = 20
 SMALL_GROUP = 4
 SIGNATURE_BITS = 1024
 #: Bytes of prefix entries that one task sorts. Fewer parts leave more entries of one set side by side, which pack better.
-TASK_BYTES = 64 << 20
+TASK_BYTES = 32 << 20
 MIN_PARTS = 12
 #: Hash ranges in which the suffix filter counts.
 RANGES = 32
@@ -443,6 +443,7 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def components(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per input row: doc_id, n, name (of its set), component_id, text_copies (null without shingles)."""
+    small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
     texts = rows.select("text")

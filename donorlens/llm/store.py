@@ -25,6 +25,18 @@ def ship_package(spark: SparkSession) -> None:
     sc._has_donorlens = True
 
 
+#: Bytes of texts that go to a Python worker at a time.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches to BATCH_BYTES in this session: texts are long, and a batch exists in several copies."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, f"{64 << 20}b").rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; only where none is named (local tests) a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
