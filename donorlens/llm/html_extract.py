@@ -42,6 +42,13 @@ NOT_TEXT_WORDS = frozenset(
     "comment comments disqus sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing social "
     "related newsletter subscribe signup popup modal toolbar widget search pagination complementary contentinfo".split()
 )
+#: A class, id or role with one of these words tells of a state, a layout or a topic, not of the element's part of the page.
+STATE_WORDS = frozenset(
+    "no not non without with has have is hide hidden show open opened closed enabled disabled allowed active layout category "
+    "tag topic format status template".split()
+)
+#: Elements that no word makes less than text. Words don't hide an article longer than all others either.
+ALWAYS_TEXT = frozenset("html body main".split())
 #: Containers nested deeper than this are taken as part of the one above.
 MAX_DEPTH = 100
 #: A container goes on to its child while the child holds this share of its text.
@@ -49,26 +56,59 @@ MOST = 0.6
 
 
 class Element:
-    """A node of a page: children are elements and texts. `label` is what wrappers compare."""
+    """A node of a page: children are elements and texts. `label` is what wrappers compare, `by_word` whether only a word
+    of class, id or role has it skipped."""
 
-    __slots__ = ("children", "label", "skipped", "tag")
+    __slots__ = ("by_word", "children", "label", "skipped", "tag")
 
-    def __init__(self, tag: str, label: str, skipped: bool):
-        self.tag, self.label, self.skipped, self.children = tag, label, skipped, []
+    def __init__(self, tag: str, label: str, skipped: bool, by_word: bool = False):
+        self.tag, self.label, self.skipped, self.by_word, self.children = tag, label, skipped, by_word, []
 
 
-def _element(tag: str, attributes: str, inside_text: bool) -> Element:
-    words = []
+def _element(tag: str, attributes: str, inside_text: bool, by_words: bool) -> Element:
+    words, marked = [], False
     for m in ATTRIBUTE.finditer(attributes) if attributes else ():
-        words += re.findall(r"[a-z]+|[0-9]+", (m[2] or m[3] or m[4] or "").lower())
-    skipped = tag in NOT_TEXT or (tag == "header" and not inside_text) or not NOT_TEXT_WORDS.isdisjoint(words)
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            own = re.findall(r"[a-z]+|[0-9]+", name)
+            marked = marked or (not NOT_TEXT_WORDS.isdisjoint(own) and STATE_WORDS.isdisjoint(own))
+            words += own
+    skipped = tag in NOT_TEXT or (tag == "header" and not inside_text)
+    by_word = by_words and marked and not skipped and tag not in ALWAYS_TEXT
     names = sorted({w for w in words if not w.isdigit()})
-    return Element(tag, ".".join([tag, *names]) if tag in CONTAINERS else "block", skipped)
+    return Element(tag, ".".join([tag, *names]) if tag in CONTAINERS else "block", skipped or by_word, by_word)
+
+
+def _size_of(element: Element) -> int:
+    """Characters of an element's text, without skipped parts inside it."""
+    return sum(len(c.strip()) if isinstance(c, str) else 0 if c.skipped else _size_of(c) for c in element.children)
 
 
-def parse(page: str) -> Element:
-    """The page as a tree of containers, blocks and texts; inline elements leave only their text."""
-    root = Element("", "", False)
+def _unhide(root: Element) -> None:
+    """No word hides the body, the main element or the page's longest article, nor what they stand in."""
+    best: tuple[int, list[Element]] = (0, [])
+    todo: list[tuple[Element, list[Element]]] = [(root, [])]
+    while todo:
+        element, hidden = todo.pop()
+        if element.tag in ("body", "main"):
+            for e in hidden:
+                e.skipped = e.by_word = False
+            hidden = []
+        elif element.tag == "article":
+            size = _size_of(element)
+            # Of articles of one size, the one that no word hides stands for both.
+            if size > best[0] or (size == best[0] and not hidden):
+                best = size, hidden
+        for child in element.children:
+            if not isinstance(child, str) and (child.by_word or not child.skipped):
+                todo.append((child, [*hidden, child] if child.by_word else hidden))
+    for e in best[1]:
+        e.skipped = e.by_word = False
+
+
+def parse(page: str, by_words: bool = True) -> Element:
+    """The page as a tree of containers, blocks and texts; inline elements leave only their text. Without `by_words`, only
+    elements tell what is no text."""
+    root, hides, texts = Element("", "", False), False, False
     open_, at, in_text = [root], 0, 0
 
     def close(index: int) -> None:
@@ -97,15 +137,18 @@ def parse(page: str) -> Element:
             continue
         if open_[-1].tag == "p" or (tag in ENDS_ITSELF and open_[-1].tag == tag) or open_[-1].tag == "head":
             close(len(open_) - 1)
-        element = _element(tag, m[4], in_text > 0)
+        element = _element(tag, m[4], in_text > 0, by_words)
+        hides, texts = hides or element.by_word, texts or tag in ("body", "main", "article")
         if len(open_) > MAX_DEPTH:
-            element = Element(tag, "block", element.skipped)
+            element = Element(tag, "block", element.skipped, element.by_word)
         open_[-1].children.append(element)
         if tag not in VOID and len(open_) <= MAX_DEPTH:
             open_.append(element)
             in_text += tag in ("article", "main")
     if at < len(page):
         open_[-1].children.append(page[at:])
+    if hides and texts:
+        _unhide(root)
     return root
 
 
@@ -243,6 +286,10 @@ def main_text(page: str | None, path: list[str] | None) -> str:
     if not any(blocks_of := [blocks(e) for e in found]):
         # The host's wrapper has another place for the text: the page is its own wrapper.
         blocks_of = [blocks(e) for e in _at(root, main_path(wrapper_of(root)))]
+    if not any(blocks_of):
+        # Words may have hidden all of the text.
+        root = parse(page, by_words=False)
+        blocks_of = [blocks(e) for e in _at(root, main_path(wrapper_of(root)))]
     return "\n\n".join(b for part in blocks_of for b in part)
 
 

@@ -36,6 +36,26 @@ def test_open_heads_buttons_and_marked_blocks():
     assert main_text(page, None) == "Text on\n\nEnd"
 
 
+def test_words_of_state_and_containers_of_the_text_hide_nothing():
+    text = "<p>One two three</p>"
+    for page in (
+        f'<body class="no-sidebar"><article>{text}</article></body>',
+        f'<body class="sidebar search">{text}</body>',
+        f'<body><article class="post comments-open">{text}</article></body>',
+        f'<body><article class="post category-social">{text}</article></body>',
+        f'<body><article class="related">{text}</article></body>',
+        f'<body><div id=content class="with-sidebar">{text}</div></body>',
+        f'<body><div class="banner"><main role="search">{text}</main></div></body>',
+        f'<body><div class="page sidebar"><div><article>{text}</article></div></div></body>',
+        f'<body><div class="page sidebar"><div>{text}</div></div></body>',
+        f'<body><article>{text}<div class="related"><article class=card>Other</article></div></article></body>',
+        f'<body><article>{text}</article><div class="comments"><article class=comment>First!</article></div></body>',
+    ):
+        assert main_text(page, None) == "One two three", page
+    page = f'<body><div class="page sidebar"><p class="ad">Buy</p>{text}</div><footer>End</footer></body>'
+    assert "One two three" in main_text(page, None) and "End" not in main_text(page, None)
+
+
 def test_wrappers_align():
     one = wrapper_of(parse("<body><div class=top><p>a</p></div><div class=main><p>long text here</p><p>and more</p></div></body>"))
     two = wrapper_of(parse("<body><div class=main><p>another long text</p></div><div class=end><p>b</p></div></body>"))
