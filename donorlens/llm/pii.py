@@ -5,7 +5,8 @@ Everything is a DataFrame expression. A pattern's matches come from `regexp_extr
 
 The patterns are the plain ones of the contract with possessive quantifiers and a look-behind that lets a match begin
 only where a run of its characters begins (or where the match before ended, `\\G`). That changes no match, but keeps the
-search linear in texts that are one long run.
+search linear in texts that are one long run. An IBAN may be followed by capitals and digits that look like more of it, so its
+pattern proposes beginnings only, and mod-97 tests what is behind them up to the country's length.
 """
 
 from __future__ import annotations
@@ -51,10 +52,39 @@ KINDS = (
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", 0.7, "card|visa|master|credit|payment|iban", True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, "phone|tel|call|mobile|fax", True, "+"),
     # The kinds that the method adds.
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.7, "iban|bank|account", False),
+    # The beginning of an IBAN; the group is the text behind it, with room for 34 spaced characters and for context.
+    Kind(
+        "iban",
+        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11}[\s\S]{0,130}))",
+        0.7,
+        "iban|bank|account",
+        False,
+    ),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, "ssn|social|security", False, "-"),
 )
 
+#: Characters of an IBAN by country; those of other codes have 15 to 34.
+IBAN_COUNTRIES = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FK FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST",
+    26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU YE",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
+
 
 def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
@@ -100,8 +130,6 @@ def _confirmed(kind: str, match: Column) -> Column:
         return F.when(F.length(digits).between(13, 19), luhn(digits)).otherwise(False)
     if kind == "phone":
         return F.length(digits).between(9, 15)
-    if kind == "iban":
-        return F.when(F.length(F.regexp_replace(match, r"\x20", "")).between(15, 34), mod97(match)).otherwise(False)
     return F.lit(True)
 
 
@@ -162,6 +190,45 @@ def _placed_chunks(chunks: Column) -> Column:
     return F.flatten(F.transform(F.arrays_zip(chunks.alias("pairs"), offsets.alias("at")), of_chunk))
 
 
+def _iban_at_start(text: Column) -> Column:
+    """The IBAN that a text begins with, or null: of its country's length or, for other codes, the longest that passes."""
+    known = F.create_map(*(F.lit(x) for n, codes in IBAN_COUNTRIES.items() for code in codes.split() for x in (code, n)))
+    length = F.try_element_at(known, F.left(text, F.lit(2)))
+    lengths = F.when(length.isNull(), F.sequence(F.lit(34), F.lit(15), F.lit(-1))).otherwise(F.array(length))
+
+    def prefix(n: Column) -> Column:
+        pattern = F.concat(F.lit(r"^((?:\x20?[A-Z0-9]){"), n.cast("string"), F.lit("})(?![A-Za-z0-9])"))
+        return F.call_function("regexp_extract", text, pattern, F.lit(1))
+
+    return F.get(F.filter(F.transform(lengths, prefix), lambda p: F.when(p != "", mod97(p)).otherwise(False)), F.lit(0))
+
+
+def _ibans(kind: Kind, text: Column, placed: Column) -> Column:
+    """Matches as `_placed` gives them, from the beginnings of IBANs; none begins inside the one before."""
+
+    def whole(pair: Column) -> Column:
+        return _bound(F.concat(pair["head"]["match"], pair["behind"]), lambda t: with_text(pair["head"], t))
+
+    def with_text(head: Column, t: Column) -> Column:
+        return _bound(_iban_at_start(t), lambda iban: with_iban(head, t, iban))
+
+    def with_iban(head: Column, t: Column, iban: Column) -> Column:
+        size = F.char_length(iban)
+        after = F.split(F.substring(t, size + 1, F.char_length(t)), kind.pattern, 2)[0]
+        return F.struct(
+            iban.alias("match"),
+            head["start"].alias("start"),
+            (head["start"] + size).alias("end"),
+            head["before"].alias("before"),
+            F.left(after, F.lit(CONTEXT)).alias("after"),
+        )
+
+    behind = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(1))
+    found = F.filter(F.transform(F.arrays_zip(placed.alias("head"), behind.alias("behind")), whole), lambda m: m["match"].isNotNull())
+    apart = lambda all_: F.filter(all_, lambda m, i: (i == 0) | (F.get(all_, i - 1)["end"] <= m["start"]))
+    return _bound(found, apart)
+
+
 def _spans(kind: Kind, text: Column) -> Column:
     """Array of (kind, start, end, score), in order of start, of the confirmed matches."""
     matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
@@ -172,6 +239,8 @@ def _spans(kind: Kind, text: Column) -> Column:
         return F.struct(F.lit(kind.name).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), score.alias("score"))
 
     placed = _placed(F.split(text, kind.pattern, -1), matches)
+    if kind.name == "iban":
+        placed = _ibans(kind, text, placed)
     found = F.transform(F.filter(placed, lambda m: _confirmed(kind.name, m["match"])), scored)
     if not kind.base:
         found = F.filter(found, lambda s: s["score"] >= THRESHOLD)

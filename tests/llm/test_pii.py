@@ -86,6 +86,28 @@ def test_added_kinds(spark):
     assert spans[2] == "ssn:4:15" and spans[3] == ""
 
 
+def test_ibans_before_capitals_and_digits(spark):
+    spaced, plain = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000"
+    behind = ["", ".", " Please", " I think", " NOW", " 12 times", " 2024-01-01", "\nThe", " \U0001f600", " DE88 3704 0044 0532 0130 00"]
+    rows = [(2 * i + k, f"\u00e9 {iban}{b}") for i, b in enumerate(behind) for k, iban in enumerate((spaced, plain))]
+    wrong = [f"{plain}The", f"{plain}1 Please", f"X{plain} Please", "DE88 3704 0044 0532 0130 00 Please", "DE89 3704 0044 0532 0130 Please"]
+    rows += [(100 + i, w) for i, w in enumerate(wrong)]
+    # A beginning of another one before it, two side by side, and a code without a known length.
+    rows += [(200, f"AB12 CODE {spaced} The"), (201, f"{plain} GB82 WEST 1234 5698 7654 32 Or"), (202, "ZZ33 WEST 1234 5698 7654 32 Or")]
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["iban"]] for r in find_pii(documents(spark, rows)).collect()}
+    for i in range(2 * len(behind)):
+        assert got[i] == [(2, 2 + len(plain if i % 2 else spaced))], rows[i]
+    assert [got[100 + i] for i in range(len(wrong))] == [[]] * len(wrong)
+    assert got[200] == [(10, 37)] and got[201] == [(0, 22), (23, 50)] and got[202] == [(0, 27)]
+
+
+def test_iban_context_ends_at_the_next_one(spark):
+    iban = "DE89370400440532013000"
+    rows = [(1, f"{iban} Please, my bank"), (2, f"{iban} Or {iban} my bank"), (3, f"{iban} Please")]
+    got = {r["doc_id"]: [s["score"] for s in r["iban"]] for r in find_pii(documents(spark, rows)).collect()}
+    assert got == {1: [1.0], 2: [0.7, 1.0], 3: [0.7]}
+
+
 def test_checksums(spark):
     df = spark.createDataFrame([("4111111111111111", "GB82 WEST 1234 5698 7654 32"), ("4111111111111112", "GB82WEST12345698765433")], "c string, i string")
     assert collected(df.select(luhn(F.col("c")), mod97(F.col("i")))) == [(True, True), (False, False)]
