@@ -49,7 +49,7 @@ STATE_WORDS = frozenset(
 )
 #: Elements that no word makes less than text. Words don't hide an article longer than all others either.
 ALWAYS_TEXT = frozenset("html body main".split())
-#: Containers nested deeper than this are taken as part of the one above.
+#: Elements nested deeper than this leave their blocks to the one above; their end tags are still their own.
 MAX_DEPTH = 100
 #: A container goes on to its child while the child holds this share of its text.
 MOST = 0.6
@@ -109,44 +109,63 @@ def parse(page: str, by_words: bool = True) -> Element:
     """The page as a tree of containers, blocks and texts; inline elements leave only their text. Without `by_words`, only
     elements tell what is no text."""
     root, hides, texts = Element("", "", False), False, False
-    open_, at, in_text = [root], 0, 0
+    # Open elements as (tag, the element that takes what is inside); their places by tag, and the places of containers.
+    open_: list[tuple[str, Element]] = [("", root)]
+    places: dict[str, list[int]] = {}
+    containers = [0]
+    at, in_text, depth = 0, 0, 0
 
     def close(index: int) -> None:
-        nonlocal in_text
-        in_text -= sum(e.tag in ("article", "main") for e in open_[index:])
-        del open_[index:]
+        nonlocal in_text, depth
+        while len(open_) > index:
+            tag, inside = open_.pop()
+            places[tag].pop()
+            if containers[-1] == len(open_):
+                containers.pop()
+            in_text -= tag in ("article", "main")
+            if inside is not open_[-1][1]:
+                depth -= 1
+            elif inside.children:
+                inside.children.append(Element(tag, "block", False))  # what follows is another block
 
     for m in TOKEN.finditer(page):
         if m.start() > at:
-            open_[-1].children.append(page[at : m.start()])
+            open_[-1][1].children.append(page[at : m.start()])
         at = m.end()
         tag = (m[3] or "").lower()
         if not tag:
             continue
         if tag in ("br", "img", "wbr"):
-            open_[-1].children.append(" ")
+            open_[-1][1].children.append(" ")
         if tag not in BLOCKS and tag not in CONTAINERS and tag != "head":
             continue
         if m[2]:
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k].tag == tag:
-                    close(k)
-                    break
-                if open_[k].tag in CONTAINERS and tag in BLOCKS:
-                    break
+            # The end tag of a block doesn't reach beyond the container it stands in.
+            if places.get(tag) and (tag not in BLOCKS or places[tag][-1] > containers[-1]):
+                close(places[tag][-1])
             continue
-        if open_[-1].tag == "p" or (tag in ENDS_ITSELF and open_[-1].tag == tag) or open_[-1].tag == "head":
+        if open_[-1][0] in ("p", "head") or (tag in ENDS_ITSELF and open_[-1][0] == tag):
             close(len(open_) - 1)
         element = _element(tag, m[4], in_text > 0, by_words)
         hides, texts = hides or element.by_word, texts or tag in ("body", "main", "article")
-        if len(open_) > MAX_DEPTH:
+        above = open_[-1][1]
+        # Below the depth an element is an empty block between texts of the one above, unless it is skipped: that one opens
+        # and takes all inside it.
+        deep = depth >= MAX_DEPTH
+        if deep:
             element = Element(tag, "block", element.skipped, element.by_word)
-        open_[-1].children.append(element)
-        if tag not in VOID and len(open_) <= MAX_DEPTH:
-            open_.append(element)
+        if not (deep and above.skipped):
+            above.children.append(element)
+        if tag not in VOID:
+            shared = deep and (above.skipped or not element.skipped)
+            depth += not shared
+            places.setdefault(tag, []).append(len(open_))
+            if tag in CONTAINERS:
+                containers.append(len(open_))
+            open_.append((tag, above if shared else element))
             in_text += tag in ("article", "main")
     if at < len(page):
-        open_[-1].children.append(page[at:])
+        open_[-1][1].children.append(page[at:])
     if hides and texts:
         _unhide(root)
     return root

@@ -56,6 +56,21 @@ def test_words_of_state_and_containers_of_the_text_hide_nothing():
     assert "One two three" in main_text(page, None) and "End" not in main_text(page, None)
 
 
+def test_deep_elements_close_themselves():
+    for n in (10, 98, 99, 100, 101, 150, 5_000):
+        many, end = "<div>" * n, "</div>" * n
+        assert main_text(f"<body><div><article>{many}<p>a</p>b{end}<p>tail</p></article></div><div>No</div>", None) == "a\n\nb\n\ntail"
+        for tag, mark in (("nav", ""), ("form", ""), ("div", " class=ad")):
+            page = f"<body><article><p>a</p>{many}<{tag}{mark}><div>No<p>no</div>no</{tag}>b{end}<p>tail</p></article>"
+            assert main_text(page, None) == "a\n\nb\n\ntail", (n, tag)
+
+
+def test_deep_pages_take_linear_time():
+    n = 100_000
+    assert main_text("<div>" * n + "</section>" * n + "deep", None) == "deep"
+    assert main_text("<article><ul>" + "<li><blockquote>" * n + "a<div>" + "</li>" * n + "b", None) == "a\n\nb"
+
+
 def test_wrappers_align():
     one = wrapper_of(parse("<body><div class=top><p>a</p></div><div class=main><p>long text here</p><p>and more</p></div></body>"))
     two = wrapper_of(parse("<body><div class=main><p>another long text</p></div><div class=end><p>b</p></div></body>"))
