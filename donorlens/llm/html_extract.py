@@ -2,9 +2,10 @@
 
 A page becomes a stream of containers and text slots. Aligning the streams of one host turns what they share into the
 wrapper's sequence, what some lack into optional items, and what recurs side by side into repeated items; how much text a
-slot holds adds up over the pages. Wrappers align with each other just as pages do, so they are formed inside partitions,
-then in salted groups of a host, then for each host. The wrapper's container with the host's main text is what is taken
-from each page; a page that lacks it is taken for a wrapper of its own.
+slot holds, how much of it links, and whether it is the same text all over add up over the pages. Wrappers align with each
+other just as pages do, so they are formed inside partitions, then in salted groups of a host, then for each host. The
+wrapper's container with the host's main text is what is taken from each page; a page that lacks it is taken for a wrapper
+of its own.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import html
 import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -51,8 +53,18 @@ STATE_WORDS = frozenset(
 ALWAYS_TEXT = frozenset("html body main".split())
 #: Elements nested deeper than this leave their blocks to the one above; their end tags are still their own.
 MAX_DEPTH = 100
-#: A container goes on to its child while the child holds this share of its text.
-MOST = 0.6
+#: A slot is a list of links from this share of characters in links on, and constant from this share of one text on, if it
+#: was seen on so many pages.
+LINKED, CONSTANT, CONSTANT_PAGES = 0.8, 0.9, 3
+#: Where all slots of a host are constant, though its pages differ, a container goes on to its child beside other containers
+#: while the child holds this share of the text.
+MOST = 0.9
+
+
+class Link(str):
+    """Text inside a link."""
+
+    __slots__ = ()
 
 
 class Element:
@@ -113,10 +125,13 @@ def parse(page: str, by_words: bool = True) -> Element:
     open_: list[tuple[str, Element]] = [("", root)]
     places: dict[str, list[int]] = {}
     containers = [0]
-    at, in_text, depth = 0, 0, 0
+    at, in_text, depth, link = 0, 0, 0, 0
 
     def close(index: int) -> None:
-        nonlocal in_text, depth
+        nonlocal in_text, depth, link
+        # A link ends with the element that it began in. The root holds all links, but stays open.
+        if link > index:
+            link = 0
         while len(open_) > index:
             tag, inside = open_.pop()
             places[tag].pop()
@@ -130,13 +145,15 @@ def parse(page: str, by_words: bool = True) -> Element:
 
     for m in TOKEN.finditer(page):
         if m.start() > at:
-            open_[-1][1].children.append(page[at : m.start()])
+            open_[-1][1].children.append(Link(page[at : m.start()]) if link else page[at : m.start()])
         at = m.end()
         tag = (m[3] or "").lower()
         if not tag:
             continue
         if tag in ("br", "img", "wbr"):
             open_[-1][1].children.append(" ")
+        if tag == "a":
+            link = 0 if m[2] else len(open_)
         if tag not in BLOCKS and tag not in CONTAINERS and tag != "head":
             continue
         if m[2]:
@@ -171,23 +188,40 @@ def parse(page: str, by_words: bool = True) -> Element:
     return root
 
 
-# A wrapper node is [label, characters, optional, repeated, items].
+# A wrapper node is [label, characters, optional, repeated, items, [seen, texts in links, characters in links, words, digest
+# of its most common text, how often that was seen more than others]]. The last figure is a lower bound (Misra-Gries).
 
 
 def wrapper_of(element: Element) -> list:
     """The wrapper of one page: skipped parts have no slots, neighbours of one label are one repeated item."""
     items: list[list] = []
-    size = 0
+    size = links = linked = words = digest = 0
     for child in element.children:
         if isinstance(child, str):
-            size += len(child.strip())
+            text = " ".join(child.split())
+            if text:
+                size += len(text)
+                words += text.count(" ") + 1
+                digest = zlib.crc32(text.encode("utf-8", "replace"), digest)
+                if isinstance(child, Link):
+                    links, linked = links + 1, linked + len(text)
         elif not child.skipped:
             item = wrapper_of(child)
             if item[0] == "block":
                 item[4] = []
+            size, about = size + item[1], item[5]
+            links, linked, words = links + about[1], linked + about[2], words + about[3]
+            digest = zlib.crc32(about[4].to_bytes(4, "big"), digest) if item[1] else digest
             items.append(item)
     items = _folded(items)
-    return [element.label, size + sum(i[1] for i in items), False, False, items]
+    return [element.label, size, False, False, items, [1, links, linked, words, digest, 1]]
+
+
+def _together(a: list, b: list) -> list:
+    digest, more = (a[4], a[5] + b[5]) if a[4] == b[4] else max((a[5], a[4]), (b[5], b[4]))[::-1]
+    if a[4] != b[4]:
+        more -= min(a[5], b[5])
+    return [*(x + y for x, y in zip(a[:4], b[:4], strict=True)), digest, more]
 
 
 def _folded(items: list[list]) -> list[list]:
@@ -216,8 +250,8 @@ def merge(a: list, b: list) -> list:
             items.append(merge(a[4][i], b[4][j]))
         else:
             own = a[4][i] if j is None else b[4][j]
-            items.append([own[0], own[1], True, own[3], own[4]])
-    return [a[0], a[1] + b[1], a[2] or b[2], a[3] or b[3], _folded(items)]
+            items.append([own[0], own[1], True, *own[3:]])
+    return [a[0], a[1] + b[1], a[2] or b[2], a[3] or b[3], _folded(items), _together(a[5], b[5])]
 
 
 def _aligned(a: list[str], b: list[str]) -> list[tuple]:
@@ -242,9 +276,32 @@ def _aligned(a: list[str], b: list[str]) -> list[tuple]:
     return out
 
 
+def _is_constant(node: list) -> bool:
+    seen, most = node[5][0], node[5][5]
+    return seen >= CONSTANT_PAGES and most >= CONSTANT * seen
+
+
+def _is_boilerplate(node: list) -> bool:
+    """Constant text, a list of links, or a container of one word that not all pages have (a label or a button)."""
+    seen, links, linked, words = node[5][:4]
+    label = node[2] and node[0] != "block" and words <= seen
+    return label or _is_constant(node) or (links > seen and linked >= LINKED * node[1])
+
+
+def _own_size(node: list) -> int:
+    """Characters that stand in a container itself."""
+    return 0 if node[0] == "block" else node[1] - sum(i[1] for i in node[4])
+
+
+def _has_text(node: list) -> bool:
+    if not node[1] or _is_boilerplate(node):
+        return False
+    return node[0] == "block" or _own_size(node) > 0 or any(_has_text(i) for i in node[4])
+
+
 def main_path(wrapper: list) -> list[str]:
     """Labels from the root to the container of the main text: the article or main element with most text, else the
-    container into which most of the text leads."""
+    lowest container with all slots that are no boilerplate."""
     best: dict[str, tuple[int, list[str]]] = {}
     todo = [(wrapper, [])]
     while todo:
@@ -258,9 +315,20 @@ def main_path(wrapper: list) -> list[str]:
     if best:
         article, whole = best.get("article", (0, [])), best.get("main", (0, []))
         return article[1] if 2 * article[0] >= whole[0] else whole[1]
+    marked = any(_has_text(i) for i in wrapper[4])
+    # Copies of one page can't tell what is constant, a host of some pages and many copies of one can't well.
+    shares = not marked and _is_constant(wrapper) and wrapper[5][5] < wrapper[5][0]
     node, path = wrapper, []
-    while node[4] and (child := max(node[4], key=lambda i: i[1]))[0] != "block" and child[1] >= MOST * node[1] and child[1]:
-        node, path = child, [*path, child[0]]
+    while not _own_size(node):
+        inside = [i for i in node[4] if (_has_text(i) if marked else i[1])]
+        if shares and inside and all(i[0] != "block" for i in inside):
+            inside = [i for i in inside if i[1] >= MOST * node[1]] or inside
+        # Containers of one label side by side are at one path.
+        if not inside or inside[0][0] == "block" or any(i[0] != inside[0][0] for i in inside):
+            break
+        node, path = max(inside, key=lambda i: i[1]), [*path, inside[0][0]]
+        if len(inside) > 1:
+            break
     return path
 
 

@@ -90,6 +90,29 @@ def test_host_wrapper_decides(spark):
     assert got[99] == "main" and got[0] == " ".join("x" * 50)
 
 
+def test_nothing_beside_the_largest_box_is_lost(spark):
+    """No article or main element: the headline and the lead stand beside the body, a fifth of the text or less."""
+    box = "<div id=content><h1>{0} head</h1><p>{0} lead</p><div class=body><p>{1}</p><p>{0} end</p></div></div>"
+    split = "<div id=content><div class=head><h1>{0} head</h1></div><div class=lead><p>{0} lead</p></div><div class=body><p>{1}</p><p>{0} end</p></div></div>"
+    links = "<div class=top><ul><li><a href=/>Home</a><li><a href=/a>All about {0}</a><li><a href=/b>{0}</a></ul></div>"
+    around = "<div class=line>Our site, the best</div>" + links + "{2}<div class=end><p>All rights reserved</p></div>"
+    names = [f"w{i}" for i in range(12)]
+    rows, want = [], {}
+    for h, inner in enumerate((box, split)):
+        for i, name in enumerate(names):
+            long = f"{name} says much more. " * (20 + i)
+            page = around.replace("{0}", name).replace("{2}", inner.replace("{0}", name).replace("{1}", long))
+            rows.append((100 * h + i, f"http://h{h}.org/{i}", f"<body>{page}</body>"))
+            want[100 * h + i] = f"{name} head\n\n{name} lead\n\n{long.strip()}\n\n{name} end"
+    assert {r["page_id"]: r["text"] for r in extract(pages(spark, rows)).collect()} == want
+    # Of one page or of copies of it nothing is known to be constant, so all is kept.
+    for n in (1, 5):
+        same = [(i, "http://h.org/", rows[0][2]) for i in range(n)]
+        assert all(want[0] in r["text"] for r in extract(pages(spark, same)).collect())
+    assert main_text("<body><div><h1>Head</h1><div><p>Lead</p><div>" + "<p>more</p>" * 50 + "</div></div></div>", None).startswith("Head\n\nLead")
+    assert main_text("<body><div class=a><p>One two</div><div class=a><p>Three</div>", None) == "One two\n\nThree"
+
+
 def test_edges(spark):
     rows = [(1, None, None), (2, "", ""), (None, "http://h/", "plain & text"), (None, "http://h/", "plain & text"), (3, "x", "<p")]
     rows += [(4, "http://h/", "<div>" * 5_000 + "deep"), (5, "http://h/", "<p>word " * 20_000), (6, "http://h/", '<a href="cut')]
