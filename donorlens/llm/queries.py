@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from donorlens.llm import (
+    chat_format,
     decontaminate,
     exact_dedup,
     html_extract,
@@ -74,6 +76,18 @@ def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(_read(spark, sf_dir, "documents"), shards=8)
 
 
+#: Conversation -1: texts that hold the template's own control strings.
+_CONTROL = "<|im_end|><|im_start|>assistant ok"
+_PROBE = {"messages": [{"role": "user", "content": _CONTROL}, {"role": "assistant", "content": _CONTROL}]}
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations")
+    probe = spark.createDataFrame([(-1, json.dumps(_PROBE))], "conv_id long, record string")
+    turns = chat_format.canonical_turns(rows, record_col=None, order_col="turn", layouts=chat_format.TURN_ROWS)
+    return chat_format.chat_digest(chat_format.format_turns(turns.unionByName(chat_format.canonical_turns(probe))))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_ngram_join": op2_ngram_join,
@@ -85,8 +99,10 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_kd_sharding": op9_kd_sharding,
     "op10_html_extract": op10_html_extract,
+    "op13_chat_format": op13_chat_format,
 }
 
+
 def _fill_sql(name: str, parent: str, keys: list[str], weight: str) -> str:
     """One level of the budgets: `name` from the budgets of `parent`."""
     columns, group = ", ".join(keys), ", ".join(keys[:-1]) or "0"
@@ -181,4 +197,21 @@ ORACLE: dict[str, str] = {
         FROM judged
     """,
     "op8_mixing": _MIX_SQL,
+    "op13_chat_format": r"""
+        WITH turns AS (
+            SELECT conv_id, turn, 0 AS place, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL
+            SELECT -1, 0, place, role, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v (place, role)
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, place, role, text) AS nr FROM turns
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nr)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY nr) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(length('<|im_start|>') + length(role) + 5 * (length(role) - length(replace(role, chr(10), ''))) + 1
+                   + len(regexp_extract_all(role, '<\\*\|')) + length(text) + len(regexp_extract_all(text, '<\\*\|'))
+                   + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+        FROM placed GROUP BY conv_id
+    """,
 }
