@@ -19,6 +19,7 @@ from donorlens.llm import (
     secret_scan,
     sharding,
     url_filter,
+    vector_codes,
 )
 from donorlens.llm.store import ship_package
 
@@ -76,6 +77,10 @@ def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(_read(spark, sf_dir, "documents"), shards=8)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_read(spark, sf_dir, "embeddings"))
+
+
 #: Conversation -1: texts that hold the template's own control strings.
 _CONTROL = "<|im_end|><|im_start|>assistant ok"
 _PROBE = {"messages": [{"role": "user", "content": _CONTROL}, {"role": "assistant", "content": _CONTROL}]}
@@ -99,6 +104,7 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_kd_sharding": op9_kd_sharding,
     "op10_html_extract": op10_html_extract,
+    "op11_vector_codes": op11_vector_codes,
     "op13_chat_format": op13_chat_format,
 }
 
@@ -154,6 +160,40 @@ _MIX_SQL = f"""
 """
 
 
+def _codes_sql() -> str:
+    """Two rounds of k-means on 16 parts, then codes and errors."""
+    steps = []
+    for k in range(3):
+        steps.append(f"""
+        distances{k} AS (SELECT row, p, e, list_sum(list_transform(list_zip(part, entry), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+                         FROM parts JOIN codebook{k} USING (p)),
+        nearest{k} AS (SELECT row, p, min(d) AS d, min_by(e, d * 1000 + e) AS e FROM distances{k} GROUP BY row, p)""")
+        if k < 2:
+            steps.append(f"""
+        means{k} AS (SELECT p, e, list(m ORDER BY i) AS mean
+                     FROM (SELECT p, e, i, floor(sum(x) / count(*))::BIGINT AS m
+                           FROM (SELECT p, e, unnest(part) AS x, generate_subscripts(part, 1) AS i
+                                 FROM nearest{k} JOIN parts USING (row, p)) GROUP BY p, e, i) GROUP BY p, e),
+        codebook{k + 1} AS (SELECT p, e, coalesce(mean, entry) AS entry FROM codebook{k} LEFT JOIN means{k} USING (p, e))""")
+    return f"""
+        WITH kept AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v,
+                   row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS row
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), parts AS (
+            SELECT row, p, v[p * len(v) // 16 + 1 : (p + 1) * len(v) // 16] AS part FROM kept, (SELECT unnest(range(16)) AS p)
+        ), codebook0 AS (SELECT p, row AS e, part AS entry FROM parts WHERE row < 64),
+        {",".join(steps)},
+        coded AS (
+            SELECT row, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM nearest2 GROUP BY row
+        )
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+               (SELECT sha256(string_agg(array_to_string(entry, ','), ',' ORDER BY p, e)) FROM codebook2) AS codebooks_sha256
+        FROM coded JOIN kept USING (row)
+    """
+
+
 ORACLE: dict[str, str] = {
     "op6_exact_dedup": """
         WITH d AS (
@@ -197,6 +237,7 @@ ORACLE: dict[str, str] = {
         FROM judged
     """,
     "op8_mixing": _MIX_SQL,
+    "op11_vector_codes": _codes_sql(),
     "op13_chat_format": r"""
         WITH turns AS (
             SELECT conv_id, turn, 0 AS place, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
