@@ -14,6 +14,7 @@ from donorlens.llm import (
     html_extract,
     mixing,
     ngram_join,
+    phrases,
     pii,
     quality,
     secret_scan,
@@ -81,6 +82,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(_read(spark, sf_dir, "embeddings"))
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(phrases.frequent_phrases(_read(spark, sf_dir, "documents")))
+
+
 #: Conversation -1: texts that hold the template's own control strings.
 _CONTROL = "<|im_end|><|im_start|>assistant ok"
 _PROBE = {"messages": [{"role": "user", "content": _CONTROL}, {"role": "assistant", "content": _CONTROL}]}
@@ -105,6 +110,7 @@ QUERIES: dict[str, Query] = {
     "op9_kd_sharding": op9_kd_sharding,
     "op10_html_extract": op10_html_extract,
     "op11_vector_codes": op11_vector_codes,
+    "op12_phrase_mining": op12_phrase_mining,
     "op13_chat_format": op13_chat_format,
 }
 
@@ -238,6 +244,37 @@ ORACLE: dict[str, str] = {
     """,
     "op8_mixing": _MIX_SQL,
     "op11_vector_codes": _codes_sql(),
+    "op12_phrase_mining": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        totals AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM words GROUP BY lang),
+        places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+        runs AS (SELECT lang, w, i, unnest(range(1, least(5, len(w) - i + 1) + 1)) AS k FROM places),
+        counts AS (
+            SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*)::HUGEINT AS a
+            FROM runs GROUP BY ALL HAVING count(*) >= 100
+        ), several AS (
+            SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM counts WHERE k > 1
+        ), scored AS (
+            SELECT s.lang, s.k, s.phrase, s.a, cut, h.a AS l, t.a AS r, n, 1000 * s.a * n // (h.a * t.a) AS score
+            FROM several s JOIN totals USING (lang)
+            JOIN counts h ON h.lang = s.lang AND h.phrase = array_to_string(w[1 : cut], ' ')
+            JOIN counts t ON t.lang = s.lang AND t.phrase = array_to_string(w[cut + 1 : s.k], ' ')
+        ), least AS (
+            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+        ), kept AS (
+            SELECT * FROM least p
+            WHERE NOT EXISTS (SELECT 1 FROM counts q WHERE q.lang = p.lang AND q.k > p.k AND q.a >= p.a
+                              AND contains(' ' || q.phrase || ' ', ' ' || p.phrase || ' '))
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+               a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+        FROM kept QUALIFY rank <= 2000
+    """,
     "op13_chat_format": r"""
         WITH turns AS (
             SELECT conv_id, turn, 0 AS place, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
