@@ -15,7 +15,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from checks.oracle import ORACLE  # noqa: E402
 from donorlens.functions import segments  # noqa: E402
 from donorlens.functions.periods import Spine  # noqa: E402
-from donorlens.operators import cleaning, histograms, pivots, profiling  # noqa: E402
+from donorlens.operators import cleaning, histograms, observed, pivots, profiling  # noqa: E402
 from donorlens.plans import (  # noqa: E402
     activity,
     campaign,
@@ -29,15 +29,17 @@ from donorlens.plans import (  # noqa: E402
     users,
 )
 from donorlens.schemas import PAID  # noqa: E402
-from donorlens.sources import files, sample_tables  # noqa: E402
+from donorlens.sources import files, sample_tables, tables, versions  # noqa: E402
 from donorlens.sources.sample_tables import NO_SOURCE, SPINE_MONTHS, SPINE_START, TOP_K, YEARS, table  # noqa: E402
+from donorlens.sources.scratch import new_path  # noqa: E402
 
 # The corpus operators are an optional part.
 llm_queries = corpus_pipeline = None
 if importlib.util.find_spec("donorlens.llm"):
     from donorlens.llm import queries as llm_queries
-if importlib.util.find_spec("corpus_pipeline"):
-    import corpus_pipeline
+
+    if importlib.util.find_spec("corpus_pipeline"):
+        import corpus_pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -165,6 +167,25 @@ def queries() -> dict[str, Query]:
         ),
         "union_by_name": _union_by_name,
         "segment_labels": _segment_labels,
+        # whole tables in order
+        "payment_gaps": _of_donations(recurring.payment_gaps),
+        "running_revenue": _of_donations(revenue.running_revenue),
+        "donation_ranks": _of_donations(revenue.donation_ranks),
+        # sources, tables, reports
+        "csv_round_trip": _csv_round_trip,
+        "load_report": _load_report,
+        "published_tables": _published_tables,
+        "sql_with_parameters": _sql_with_parameters,
+        "view_of_payers": _view_of_payers,
+        "drop_columns_lenient": lambda s, d: cleaning.drop_columns(table(s, d, "customer"), ["c_mktsegment", "c_nothing"]),
+        "drop_columns_strict": lambda s, d: cleaning.drop_columns(table(s, d, "part"), ["p_brand"], strict=True),
+        "schema_changes": _schema_changes,
+        "random_customers": lambda s, d: profiling.random_rows(
+            table(s, d, "customer"), ["c_custkey", "c_name", "c_mktsegment"], n=50, seed=7
+        ),
+        "random_orders_by_status": lambda s, d: profiling.random_rows_by(
+            table(s, d, "orders"), "o_orderstatus", ["o_orderkey", "o_custkey"], n=20, seed=7
+        ),
     }
 
 
@@ -214,6 +235,71 @@ def _coerce_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.to_timestamps(cleaning.to_integers(raw, ["number_text", "bad_number"]), ["time_text", "bad_time"])
 
 
+def _text_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as an export has them: texts, of which some are no numbers or times."""
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").cast("string").alias("id"),
+        F.when(F.col("event_id") % 3 != 0, F.col("event_id").cast("string")).alias("id_copy"),
+        F.when(F.col("event_id") % 5 == 0, "n/a").otherwise(F.col("user_id").cast("string")).alias("user"),
+        F.when(F.col("event_id") % 7 != 0, F.col("ts").cast("string")).alias("moment"),
+        F.lit(None).cast("string").alias("note"),
+    )
+
+
+def _load_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reports of a load, from counts that were gathered while its export was staged."""
+    text = _text_export(spark, sf_dir)
+    converted = {"user": cleaning.whole_number(F.col("user")), "moment": cleaning.moment_of("moment")}
+    staged, counts = observed.written(text, new_path(spark, "load-report"), converted, [("id", "id_copy")])
+    filled = cleaning.drop_empty_columns(staged, counts.non_null)
+    kept = cleaning.drop_if_duplicate(filled, "id", "id_copy", counts.different["id", "id_copy"])
+    cleaned = cleaning.to_timestamps(cleaning.to_integers(kept, ["user"]), ["moment"])
+    delta = counts.row_delta(cleaned, "export").select("rows_before", "rows_after")
+    lost = spark.createDataFrame(list(counts.lost().items()), "column string, lost double")
+    profile = counts.profile(cleaned).join(counts.null_rates(cleaned), "column").join(lost, "column", "left")
+    return profile.crossJoin(F.broadcast(delta)).withColumn("lost", F.round("lost", 5))
+
+
+def _published_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Donations and actions, published together twice and read by the pointer."""
+    donations, events = sample_tables.donations(spark, sf_dir), sample_tables.events_as_actions(spark, sf_dir)
+    store = new_path(spark, "published")
+    versions.publish(spark, store, {"donations": donations.where(F.col("status") == PAID), "actions": events})
+    versions.publish(spark, store, {"donations": donations})
+    now = versions.tables(spark, store)
+    payers = now["donations"].groupBy("customer_id").agg(F.count("*").alias("n_donations"))
+    return payers.join(now["actions"].groupBy("customer_id").agg(F.count("*").alias("n_actions")), "customer_id", "full")
+
+
+def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as delimited files, found by name and read again."""
+    customers = table(spark, sf_dir, "customer")
+    folder = new_path(spark, "csv")
+    customers.write.options(sep=";", header=True, escape='"').csv(folder)
+    return files.read_routed(spark, folder, "PART-", customers.schema)[0]
+
+
+def _sql_with_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables.register({"given_orders": table(spark, sf_dir, "orders")})
+    query = """
+        SELECT o_custkey AS customer_id, count(*) AS n_orders, max(o_orderkey) AS last_order
+        FROM IDENTIFIER(:source) WHERE o_totalprice > :least AND o_orderstatus = :status GROUP BY o_custkey
+    """
+    return tables.run_sql(spark, query, {"source": "given_orders", "least": 1000, "status": "F"})
+
+
+def _view_of_payers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    donations = sample_tables.donations(spark, sf_dir)
+    tables.register({"paid_donations": donations.where(F.col("status") == PAID)})
+    return tables.run_sql(spark, "SELECT customer_id, count(*) AS n_paid FROM paid_donations GROUP BY customer_id")
+
+
+def _schema_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = _text_export(spark, sf_dir)
+    after = cleaning.to_timestamps(cleaning.to_integers(cleaning.drop_columns(before, ["note", "id_copy"]), ["user"]), ["moment"])
+    return profiling.schema_changes(before, after)
+
+
 def _drop_empty_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.drop_empty_columns(table(spark, sf_dir, "supplier").withColumn("s_note", F.lit(None).cast("string")))
 

@@ -480,3 +480,52 @@ ORACLE["coerce_types"] = """SELECT event_id, CAST(trunc(value) AS BIGINT) AS num
 ORACLE["drop_empty_columns"] = "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier"
 ORACLE["union_by_name"] = """SELECT c_custkey, c_name, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS c_mktsegment,
   CASE WHEN c_acctbal < 0 THEN c_acctbal END AS c_acctbal FROM customer"""
+
+# whole tables in order
+
+ORACLE["payment_gaps"] = f"""WITH {D}
+SELECT cid AS customer_id, order_id AS first_action_id, ts AS order_ts,
+  round({days("ts", "lag(ts) OVER w")}, 5) AS days_since_previous, round({days("lead(ts) OVER w", "ts")}, 5) AS days_to_next
+FROM d WHERE status = 'Paid' AND cid IS NOT NULL WINDOW w AS (PARTITION BY cid ORDER BY ts, order_id)"""
+ORACLE["running_revenue"] = f"""WITH {D}
+SELECT order_id AS first_action_id, ts AS order_ts, count(*) OVER w AS payments_so_far, {dbl("sum(price) OVER w")} AS revenue_so_far
+FROM d WHERE status = 'Paid' WINDOW w AS (ORDER BY ts, order_id ROWS UNBOUNDED PRECEDING)"""
+ORACLE["donation_ranks"] = f"""WITH {D}
+SELECT order_id AS first_action_id, {dbl("price")} AS total_price,
+  row_number() OVER (ORDER BY price DESC, order_id) AS row_number, rank() OVER (ORDER BY price DESC) AS rank FROM d"""
+
+# sources, tables, reports
+
+_EXPORT = """export AS (
+  SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 3 <> 0 THEN CAST(event_id AS VARCHAR) END AS id_copy,
+    CASE WHEN event_id % 5 = 0 THEN 'n/a' ELSE CAST(user_id AS VARCHAR) END AS user_text,
+    CASE WHEN event_id % 7 <> 0 THEN CAST(ts AS VARCHAR) END AS moment FROM events)"""
+ORACLE["csv_round_trip"] = "SELECT * FROM customer"
+ORACLE["load_report"] = f"""WITH {_EXPORT},
+counted AS (
+  SELECT count(*) AS n, count(id) AS id, count(TRY_CAST(user_text AS BIGINT)) AS u, count(user_text) AS ut,
+    count(TRY_CAST(moment AS TIMESTAMP)) AS m, count(moment) AS mt FROM export),
+columns AS (
+  SELECT 'id' AS "column", 'string' AS dtype, id AS non_null, NULL::BIGINT AS given, n FROM counted
+  UNION ALL SELECT 'user', 'bigint', u, ut, n FROM counted
+  UNION ALL SELECT 'moment', 'timestamp_ntz', m, mt, n FROM counted)
+SELECT "column", dtype, non_null, n - non_null AS missing, round({dbl("n - non_null")} / n * 100, 5) AS null_pct,
+  round({dbl("given - non_null")} / given, 5) AS lost, n AS rows_before, n AS rows_after FROM columns"""
+ORACLE["published_tables"] = """SELECT coalesce(o.id, e.id) AS customer_id, n_donations, n_actions
+FROM (SELECT o_custkey AS id, count(*) AS n_donations FROM orders GROUP BY 1) o
+FULL JOIN (SELECT user_id AS id, count(*) AS n_actions FROM events GROUP BY 1) e ON o.id = e.id"""
+ORACLE["sql_with_parameters"] = """SELECT o_custkey AS customer_id, count(*) AS n_orders, max(o_orderkey) AS last_order
+FROM orders WHERE o_totalprice > 1000 AND o_orderstatus = 'F' GROUP BY o_custkey"""
+ORACLE["view_of_payers"] = "SELECT o_custkey AS customer_id, count(*) AS n_paid FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey"
+ORACLE["drop_columns_lenient"] = "SELECT * EXCLUDE (c_mktsegment) FROM customer"
+ORACLE["drop_columns_strict"] = "SELECT * EXCLUDE (p_brand) FROM part"
+ORACLE["schema_changes"] = f"""WITH {_EXPORT},
+counted AS (SELECT count(id_copy) AS copies, count(user_text) AS users, count(moment) AS moments FROM export)
+SELECT 'id_copy' AS "column", 'removed' AS change, 'string' AS type_before, NULL::VARCHAR AS type_after, copies AS n_values FROM counted
+UNION ALL SELECT 'note', 'removed', 'string', NULL, 0 FROM counted
+UNION ALL SELECT 'user', 'retyped', 'string', 'bigint', users FROM counted
+UNION ALL SELECT 'moment', 'retyped', 'string', 'timestamp_ntz', moments FROM counted"""
+ORACLE["random_customers"] = """SELECT c_custkey, c_name, c_mktsegment FROM customer
+ORDER BY md5('7|=' || c_custkey || coalesce('|=' || c_name, '|') || coalesce('|=' || c_mktsegment, '|')), c_custkey LIMIT 50"""
+ORACLE["random_orders_by_status"] = """SELECT o_orderstatus, o_orderkey, o_custkey FROM orders
+QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('7|=' || o_orderkey || '|=' || o_custkey), o_orderkey) <= 20"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,26 +33,34 @@ def drop_columns(df: DataFrame, columns: Sequence[str], strict: bool = False) ->
     return df.drop(*columns)
 
 
-def drop_empty_columns(df: DataFrame) -> DataFrame:
-    """Drop columns without any value. Runs one aggregation that returns one row; no rows at all drops every column."""
+def drop_empty_columns(df: DataFrame, counts: Mapping[str, int] | None = None) -> DataFrame:
+    """Drop columns without any value; no rows at all drops every column. Runs one aggregation that returns one row, unless the
+    ``counts`` of values are known."""
     if not df.columns:
         return df
-    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns]).first()
+    if counts is None:
+        counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns]).first()
     return df.select(*[F.col(f"`{c}`") for c in df.columns if counts[c] > 0])
 
 
-def duplicate_check(df: DataFrame, column: str, candidate: str) -> DataFrame:
-    """One row: over rows where ``candidate`` has a value, in how many its whole number differs from ``column`` as it is."""
+def differs_from_copy(df: DataFrame, column: str, candidate: str) -> Column:
+    """Whether ``candidate`` has a value whose whole number differs from ``column`` as it is."""
     dtypes = dict(df.dtypes)
     differs = ~number(F.col(column), dtypes[column]).eqNullSafe(whole_number(F.col(candidate), dtypes[candidate]).cast(EXACT))
+    return F.col(candidate).isNotNull() & differs
+
+
+def duplicate_check(df: DataFrame, column: str, candidate: str) -> DataFrame:
+    """One row: over rows where ``candidate`` has a value, in how many its whole number differs from ``column`` as it is."""
     return df.where(F.col(candidate).isNotNull()).agg(
-        F.count("*").alias("compared"), F.count_if(differs).alias("different")
+        F.count("*").alias("compared"), F.count_if(differs_from_copy(df, column, candidate)).alias("different")
     )
 
 
-def drop_if_duplicate(df: DataFrame, column: str, candidate: str) -> DataFrame:
-    """Drop ``candidate`` if it repeats ``column`` wherever it has a value."""
-    different = duplicate_check(df, column, candidate).first()["different"]
+def drop_if_duplicate(df: DataFrame, column: str, candidate: str, different: int | None = None) -> DataFrame:
+    """Drop ``candidate`` if it repeats ``column`` wherever it has a value; ``different``, if known, are the rows where not."""
+    if different is None:
+        different = duplicate_check(df, column, candidate).first()["different"]
     return df.drop(candidate) if different == 0 else df
 
 
@@ -67,12 +75,14 @@ def lost_values(before: DataFrame, after: DataFrame, columns: Sequence[str]) ->
 def to_timestamps(df: DataFrame, columns: Sequence[str], fmt: str | None = None) -> DataFrame:
     """Text to timestamps, in the format ``fmt`` if given; what cannot be parsed becomes null."""
 
-    def parsed(c: str) -> Column:
-        if fmt is None:
-            return F.col(c).try_cast("timestamp_ntz")
-        return F.try_to_timestamp(F.col(c), F.lit(fmt)).cast("timestamp_ntz")
+    return df.withColumns({c: moment_of(c, fmt) for c in columns})
 
-    return df.withColumns({c: parsed(c) for c in columns})
+
+def moment_of(column: str, fmt: str | None = None) -> Column:
+    """A text column as a timestamp, null where it is none."""
+    if fmt is None:
+        return F.col(column).try_cast("timestamp_ntz")
+    return F.try_to_timestamp(F.col(column), F.lit(fmt)).cast("timestamp_ntz")
 
 
 def to_integers(df: DataFrame, columns: Sequence[str], strict: bool = False) -> DataFrame:

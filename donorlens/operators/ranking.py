@@ -21,11 +21,13 @@ def top_bottom_limit(df: DataFrame, value: str, key: str, k: int, label: str = "
 def top_bottom_rank(df: DataFrame, value: str, key: str, k: int, label: str = "category") -> DataFrame:
     """The k highest rows labelled ``top`` and the k lowest labelled ``bottom``, each row once, ``top`` first.
 
-    For aggregated tables only: the ranking runs in one partition.
+    Each end comes from sorted limits, of which a task keeps 2k rows at most; only those 2k lowest rows are numbered in one
+    partition, to leave out what is on top already.
     """
+    low_first = [F.asc_nulls_first(value), F.desc_nulls_last(key)]
+    top = df.orderBy(F.desc_nulls_last(value), F.asc_nulls_first(key)).limit(k).withColumn(label, F.lit("top"))
     whole = Window.partitionBy()
-    ranked = df.withColumn(
-        "_rank", F.row_number().over(whole.orderBy(F.desc_nulls_last(value), F.asc_nulls_first(key)))
-    ).withColumn("_size", F.count("*").over(whole))
-    kept = ranked.where((F.col("_rank") <= k) | (F.col("_rank") > F.col("_size") - k))
-    return kept.withColumn(label, F.when(F.col("_rank") <= k, "top").otherwise("bottom")).drop("_rank", "_size")
+    lowest = df.orderBy(*low_first).limit(2 * k)
+    lowest = lowest.withColumn("_rank", F.row_number().over(whole.orderBy(*low_first))).withColumn("_size", F.count("*").over(whole))
+    bottom = lowest.where((F.col("_rank") <= k) & (F.col("_rank") <= F.col("_size") - k))
+    return top.unionByName(bottom.withColumn(label, F.lit("bottom")).drop("_rank", "_size"))

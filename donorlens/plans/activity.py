@@ -1,8 +1,8 @@
 """Daily, weekly and monthly active donors and stickiness.
 
-Days, weeks and months are counted together, so the raw table is scanned and shuffled once. A day, week or month is
-named by its first day inside the reporting period and packed with its kind into one number; a shuffled row is that
-number and a user.
+A donor's activity in a year or month is a bit map: a bit for each day, week and month of it. Maps merge by OR, so the raw
+rows of a donor, however many, come down to one row of a few numbers per task before the only shuffle of donors; days, weeks
+and months are all counted from it. OR over the donors gives the days, weeks and months that had any donor at all.
 """
 
 from __future__ import annotations
@@ -15,30 +15,50 @@ from donorlens.functions.numbers import ratio
 from donorlens.operators.pivots import with_total
 
 KINDS = ("day", "week", "month")
-UNDATED = -10_000_000  # stands for a null date in span codes; no DATE is that old
+#: Bits of a number that are used.
+WORD = 63
+#: Days of the longest period of each unit.
+DAYS = {"year": 366, "month": 31}
+
+
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
+
+
+def _bit_maps(donations: DataFrame, unit: str) -> DataFrame:
+    """(customer_id, _period, day0, day1..., week, month): the days, weeks and months of the period with a donation.
+
+    A row without a date belongs to the null period, which is one day of one week of one month.
+    """
+    day = F.col("day")
+    start = F.trunc(day, unit)
+    place = F.coalesce(F.datediff(day, start), F.lit(0))
+    week = F.floor(F.datediff(day, F.trunc(start, "week")) / 7).cast("int")
+    days = [
+        F.bit_or(F.when(place.between(i * WORD, (i + 1) * WORD - 1), _bit(place - i * WORD))).alias(f"day{i}")
+        for i in range(-(-DAYS[unit] // WORD))
+    ]
+    weeks = F.bit_or(_bit(F.coalesce(week, F.lit(0)))).alias("week")
+    months = F.bit_or(_bit(F.coalesce(F.month(day) - F.month(start), F.lit(0)))).alias("month")
+    dated = donations.select("customer_id", periods.day("order_ts").alias("day"))
+    return dated.groupBy("customer_id", start.alias("_period")).agg(*days, weeks, months)
 
 
 def _totals(donations: DataFrame, unit: str) -> DataFrame:
     """Per period (``year`` or ``month``): number of active days, weeks and months and the sum of their distinct users."""
-    day = F.col("day")
-    first_days = [day, F.greatest(F.trunc(day, "week"), F.trunc(day, unit)), F.trunc(day, "month")]
-    codes = [F.coalesce(F.unix_date(d), F.lit(UNDATED)) * len(KINDS) + i for i, d in enumerate(first_days)]
-    counts = (
-        donations.select("customer_id", periods.day("order_ts").alias("day"))
-        .select("customer_id", F.explode(F.array(*codes)).alias("code"))
-        .distinct()
-        .groupBy("code")
-        .agg(F.count("customer_id").alias("n"))
-    )
-    kind = F.pmod("code", F.lit(len(KINDS)))
-    first_day = ((F.col("code") - kind) / len(KINDS)).cast("int")
-    spans = counts.select(
-        F.trunc(F.when(first_day != UNDATED, F.date_from_unix_date(first_day)), unit).alias("_period"),
-        *[F.when(kind == i, F.col("n")).alias(name) for i, name in enumerate(KINDS)],
-    )
-    return spans.groupBy("_period").agg(
-        *[F.sum(name).alias(f"{name}_users") for name in KINDS],
-        *[F.count(name).alias(f"{name}_spans") for name in KINDS],
+    maps = _bit_maps(donations, unit)
+    numbers = {kind: [c for c in maps.columns if c.rstrip("0123456789") == kind] for kind in KINDS}
+    known = F.col("customer_id").isNotNull()
+
+    def bits(columns: list[Column]) -> Column:
+        return sum((F.coalesce(F.bit_count(c), F.lit(0)) for c in columns[1:]), F.coalesce(F.bit_count(columns[0]), F.lit(0)))
+
+    return maps.groupBy("_period").agg(
+        *[
+            F.sum(F.when(known, bits([F.col(c) for c in columns])).otherwise(0)).alias(f"{kind}_users")
+            for kind, columns in numbers.items()
+        ],
+        *[bits([F.bit_or(c) for c in columns]).cast("long").alias(f"{kind}_spans") for kind, columns in numbers.items()],
     )
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from donorlens.functions import periods
+from donorlens.operators.ordered import Ordered
 from donorlens.operators import pivots, sets, skew
+from donorlens.operators.ordered import Ordered
 from donorlens.schemas import PAID
 
 
@@ -53,6 +55,24 @@ def repeat_payers_non_recurrent(donations: DataFrame) -> DataFrame:
     return repeat.agg(F.count("*").alias("users_with_repeat_payment"))
 
 
+def payment_gaps(donations: DataFrame, n: int | None = None) -> DataFrame:
+    """Every paid donation of a known user with the days since the user's one before it and until the next.
+
+    Equal times come by ``first_action_id``. Unlike the sums of gaps above this needs the rows in order: they are dealt by
+    ranges of user and time, ``n`` of them, so that a user with a third of all payments spans many tasks.
+    """
+    paid = donations.where(_paid() & F.col("customer_id").isNotNull()).select("customer_id", "order_ts", "first_action_id")
+    rows = Ordered(paid, "customer_id", "order_ts", "first_action_id", n=n)
+    near = rows.neighbours(["customer_id"], previous={"_before": "order_ts"}, following={"_behind": "order_ts"})
+    return near.select(
+        "customer_id",
+        "first_action_id",
+        "order_ts",
+        F.round(periods.days_between("_before", "order_ts"), 5).alias("days_since_previous"),
+        F.round(periods.days_between("order_ts", "_behind"), 5).alias("days_to_next"),
+    )
+
+
 def avg_days_between_payments(donations: DataFrame) -> DataFrame:
     """Mean over users of the mean gap between consecutive paid donations, for users with a paid non-recurrent one.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from donorlens.functions import periods
 from donorlens.functions.numbers import mean, money, money_mean, ratio
+from donorlens.operators.ordered import Ordered
 from donorlens.operators.pivots import with_total
 from donorlens.schemas import PAID
 
@@ -29,6 +30,23 @@ def total_paid_by_year(donations: DataFrame) -> DataFrame:
     )
 
 
+def running_revenue(donations: DataFrame, n: int | None = None) -> DataFrame:
+    """Every paid donation in order of time (equal times by ``first_action_id``) with the number of paid donations and the
+    revenue so far, over the whole table. No task sees more than one of ``n`` ranges of the order."""
+    rows = Ordered(_paid(donations).select("first_action_id", "order_ts", "total_price"), "order_ts", "first_action_id", n=n)
+    return rows.running(revenue="total_price").select(
+        "first_action_id", "order_ts", F.col("row_number").alias("payments_so_far"), money(F.col("revenue")).alias("revenue_so_far")
+    )
+
+
+def donation_ranks(donations: DataFrame, n: int | None = None) -> DataFrame:
+    """Every donation with its place and its rank by price, highest first, over the whole table; equal prices share a rank
+    and are placed by ``first_action_id``."""
+    rows = Ordered(donations.select("first_action_id", "total_price"), ("total_price", "desc"), "first_action_id", n=n)
+    ranked = rows.ranked("total_price")
+    return ranked.select("first_action_id", money(F.col("total_price")).alias("total_price"), "row_number", "rank")
+
+
 def _per_acting_user(donations: DataFrame, actions: DataFrame, period, label: Column) -> DataFrame:
     """Paid revenue per distinct acting user; periods come from the actions."""
     users = actions.groupBy(period("action_ts").alias("_period")).agg(

@@ -22,36 +22,48 @@ def read_csv(
     path: str | Sequence[str],
     schema: T.StructType | None = None,
     sep: str = ";",
-    multi_line: bool = True,
+    multi_line: bool | None = None,
     **options: str,
 ) -> DataFrame:
     """Delimited text with a header. Without ``schema`` types are inferred, which costs one more pass over the data.
 
     Quotes inside a quoted value are doubled. ``multi_line`` allows line breaks there, at the price that a file is read by
-    one task; switch it off for large files without them. A header that is not the schema's is an error.
+    one task. Unless it is given, a pass over the lines finds out whether any value needs it; without such values large files
+    are read by many tasks. A header that is not the schema's is an error.
     """
+    if multi_line is None:
+        multi_line = bool(spark.read.text(path if isinstance(path, str) else list(path)).agg(F.bool_or(_ends_inside_quotes())).first()[0])
     options = {"enforceSchema": "false", **options}
     reader = spark.read.options(sep=sep, header=True, escape='"', multiLine=multi_line, **options)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return reader.csv(path if isinstance(path, str) else list(path))
 
 
+def _ends_inside_quotes() -> Column:
+    """Whether a line of text has an odd number of quotes, so that a value goes on in the next one."""
+    return F.pmod(F.length("value") - F.length(F.replace("value", F.lit('"'))), F.lit(2)) == 1
+
+
 def file_name() -> Column:
     return F.col("_metadata.file_name")
 
 
+def decoded_name() -> Column:
+    return F.url_decode(F.replace(file_name(), F.lit("+"), F.lit("%2B")))
+
+
 def name_contains(token: str, case_sensitive: bool = False) -> Column:
-    name = F.url_decode(F.replace(file_name(), F.lit("+"), F.lit("%2B")))
+    name = decoded_name()
     return name.contains(token) if case_sensitive else F.lower(name).contains(token.lower())
 
 
 def list_csv_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, name, modified) of the folder's files ending in ``.csv`` (lower case), without reading their content."""
+    """(path, name, modified, length) of the folder's files ending in ``.csv`` (lower case), without reading their content."""
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.csv")
         .load(folder)
-        .select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("modificationTime").alias("modified"))
+        .select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("modificationTime").alias("modified"), "length")
     )
 
 
@@ -82,8 +94,10 @@ def csv_paths(spark: SparkSession, folder: str) -> list[str]:
 
 def split_by_token(paths: Sequence[str], token: str) -> tuple[list[str], list[str]]:
     """Paths whose file name contains ``token`` in any case, and the others."""
-    with_token = [p for p in paths if token.lower() in _name(p).lower()]
-    return with_token, [p for p in paths if p not in set(with_token)]
+    sides: tuple[list[str], list[str]] = ([], [])
+    for p in paths:
+        sides[token.lower() not in _name(p).lower()].append(p)
+    return sides
 
 
 def first_named(paths: Sequence[str], word: str) -> str | None:
@@ -105,17 +119,21 @@ def _name(path: str) -> str:
     return path.rsplit("/", 1)[-1]
 
 
-def headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, str | None]:
-    """The first line of each file; None for a file that is empty or not UTF-8. One distributed pass over all files."""
+def headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, tuple[str | None, bool]]:
+    """The first line of each file, None for a file that is empty or not UTF-8, and whether a value has a line break inside
+    quotes. One distributed pass over all files."""
     lines = spark.read.text(list(paths)).select(
         F.col("_metadata.file_path").alias("path"),
         F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("line"),
         "value",
         F.is_valid_utf8("value").alias("valid"),
+        _ends_inside_quotes().alias("open"),
+    )
+    found = lines.groupBy("path").agg(
+        F.min_by("value", "line").alias("header"), F.every("valid").alias("valid"), F.bool_or("open").alias("open")
     )
-    found = lines.groupBy("path").agg(F.min_by("value", "line").alias("header"), F.every("valid").alias("valid"))
-    by_name = {_decoded(r["path"]): r["header"] if r["valid"] else None for r in found.toLocalIterator()}
-    return {p: by_name.get(_decoded(p)) for p in paths}
+    by_name = {_decoded(r["path"]): (r["header"] if r["valid"] else None, r["open"]) for r in found.toLocalIterator()}
+    return {p: by_name.get(_decoded(p), (None, False)) for p in paths}
 
 
 def _decoded(path: str) -> str:
@@ -132,28 +150,32 @@ def _columns(header: str, sep: str) -> tuple[str, ...]:
 
 
 def read_files(
-    spark: SparkSession, paths: Sequence[str], sep: str = ";", skip_unreadable: bool = False
+    spark: SparkSession, paths: Sequence[str], sep: str = ";", skip_unreadable: bool = False, name_as: str | None = None
 ) -> tuple[DataFrame, list[str]]:
     """Files with headers of their own as one table of text columns, and the paths that were left out.
 
     Columns are matched by name, missing ones are null. Files with equal headers share one read, so the plan grows with the
-    number of layouts and jobs do not grow with the number of files. Empty files and files that are not UTF-8 are an error,
+    number of layouts and jobs do not grow with the number of files. Only files in which a quoted value has a line break are
+    read by one task each. ``name_as`` is a column for the file's name. Empty files and files that are not UTF-8 are an error,
     or left out as a whole with ``skip_unreadable``; an error of the storage always fails the read.
     """
-    layouts: dict[tuple[str, ...], list[str]] = {}
+    layouts: dict[tuple[tuple[str, ...], bool], list[str]] = {}
     unreadable = []
-    for path, header in headers(spark, paths).items() if paths else ():
+    for path, (header, multi_line) in headers(spark, paths).items() if paths else ():
         if header:
-            layouts.setdefault(_columns(header, sep), []).append(path)
+            layouts.setdefault((_columns(header, sep), multi_line), []).append(path)
         else:
             unreadable.append(path)
     if unreadable and not skip_unreadable:
         raise ValueError(f"files that are empty or not UTF-8: {unreadable[:10]} ({len(unreadable)} in all)")
     if not layouts:
         return spark.createDataFrame([], T.StructType([])), unreadable
-    as_text = [T.StructType([T.StructField(c, T.StringType()) for c in header]) for header in layouts]
-    # The headers have just been read; names that had to be numbered differ from those in the file.
-    parts = [read_csv(spark, same, schema, sep, enforceSchema="true") for schema, same in zip(as_text, layouts.values())]
+    parts = []
+    for (header, multi_line), same in layouts.items():
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        # The headers have just been read; names that had to be numbered differ from those in the file.
+        part = read_csv(spark, same, schema, sep, multi_line, enforceSchema="true")
+        parts.append(part.select("*", decoded_name().alias(name_as)) if name_as else part)
     return union_all(parts), unreadable
 
 
