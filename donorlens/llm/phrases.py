@@ -6,8 +6,8 @@ though they are not. A border phrase that turns out frequent is a failure: what
 pass has no failures. What is proposed goes to the tasks as a bit map of bounded size. A phrase that its bits let through by
 accident is counted for nothing; none is missed, and every count is of all occurrences.
 
-Up to here phrases are 64-bit hashes. A last pass counts the frequent ones again by their words; from these few rows the
-scores come by joins.
+Phrases are counted as 64-bit hashes. The frequent ones are spelled out from a few documents, those that these don't hold from
+all. From these few rows the scores come by joins.
 """
 
 from __future__ import annotations
@@ -23,12 +23,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from donorlens.llm.features import _mix, buffers, pieces, words
+from donorlens.llm.skew import attach
 from donorlens.llm.store import small_batches, written
 
 #: Words of the longest phrase, the least count of a candidate, and phrases given for each language.
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Share of the rows in the sample, and part of the count expected there from which on a phrase is proposed.
 SHARE, LOWERED = 1 / 8, 0.6
+#: Expected occurrences of the rarest frequent phrases in the documents that phrases are spelled out from first.
+SPELLED = 3
 #: Bits of a map of phrases: a power of two between these, BITS_EACH times the phrases if that lies between.
 LEAST_BITS, MOST_BITS, BITS_EACH = 20, 26, 32
 #: Keys that a task gathers before it combines their counts.
@@ -99,13 +102,18 @@ def _read(texts: pa.Array, langs: list[str]) -> _Piece:
     return _Piece(data, starts, ends, _mix(hashes + np.repeat(salt, np.diff(first))), first, together)
 
 
-def _levels(piece: _Piece, known: BitMap) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def _levels(
+    piece: _Piece, known: BitMap, before: dict[int, np.ndarray] | None = None
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For each length the places where a phrase begins that may be counted, as all its shorter parts are known; the hash of
-    each; and whether it is known itself. All words may be counted."""
+    each; and whether it is known itself. All words may be counted. `before`: places by length that were counted before; what
+    was not counts as known, until its count shows more."""
     keys, places = piece.hashes, np.arange(len(piece.hashes))
     n = len(keys)
     for length in range(1, LONGEST + 1):
         holds = known.holds(keys)
+        if before is not None:
+            holds |= ~np.isin(places, before.get(length, ()), assume_unique=True)
         yield length, places, keys, holds
         at, of_at = places[holds], keys[holds]
         # Both parts are known: this one, and the one that begins a word later.
@@ -127,13 +135,22 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[_Piece, list[str]]]:
         yield _read(texts, langs), langs
 
 
+def _among(keys: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Whether each key is in the sorted array `seen`."""
+    if not len(seen):
+        return np.zeros(len(keys), bool)
+    return seen[np.minimum(np.searchsorted(seen, keys), len(seen) - 1)] == keys
+
+
 def _combined(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     distinct, of_key = np.unique(np.concatenate(keys), return_inverse=True)
     return distinct, np.bincount(of_key, np.concatenate(counts), len(distinct)).astype(np.int64)
 
 
-def _counted(known: BitMap, before: BitMap | None):
-    """Counts (level, key, n) of the known phrases and their border, without those that a pass with `before` has counted."""
+def _counted(known: BitMap, before: BitMap | None, ahead: bool):
+    """Counts (level, key, n) of the known phrases and their border, without those that a pass with `before` has counted; in the
+    first pass also of all words of each language, under level 0.
+    `ahead`: with all longer phrases that these open, as if they were frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: dict[int, tuple[list, list]] = {}
@@ -149,11 +166,15 @@ def _counted(known: BitMap, before: BitMap | None):
             gathered.clear()
 
         for batch in batches:
-            for piece, _ in _pieces(batch):
-                done = {} if before is None else {level: (places, keys) for level, places, keys, _ in _levels(piece, before)}
-                for level, places, keys, _ in _levels(piece, known):
-                    if level in done:
-                        keys = keys[~np.isin(places, done[level][0], assume_unique=True)]
+            for piece, langs in _pieces(batch):
+                if before is None:
+                    lists = gathered.setdefault(0, ([], []))
+                    lists[0].append(np.array([_language_hash(lang) for lang in langs], np.uint64))
+                    lists[1].append(np.diff(piece.first))
+                done = None if before is None else {level: places for level, places, _, _ in _levels(piece, before)}
+                for level, places, keys, _ in _levels(piece, known, done if ahead else None):
+                    if done is not None:
+                        keys = keys[~np.isin(places, done.get(level, ()), assume_unique=True)]
                     distinct, n = np.unique(keys, return_counts=True)
                     lists = gathered.setdefault(level, ([], []))
                     lists[0].append(distinct)
@@ -168,57 +189,82 @@ def _counted(known: BitMap, before: BitMap | None):
 
 
 def mined(rows: DataFrame, least: int, proposed: DataFrame | None = None) -> tuple[DataFrame, int]:
-    """The frequent phrases (level, key, n) of `rows` (lang, text), and how many passes it took. `proposed` (level, key): a
-    sample's. Without it the first pass counts words only, and each further one a word more."""
+    """The frequent phrases (level, key, n) of `rows` (lang, text), with the words of each language under level 0, and how many
+    passes it took. `proposed` (level, key): a
+    sample's. Without it the first pass counts words only, and each further one a word more. With it failures are few, so that
+    a further pass counts all that they may open at once."""
     spark = rows.sparkSession
     known_keys = proposed.select("level", "key") if proposed is not None else spark.createDataFrame([], "level tinyint, key long")
-    bits = min(max(LEAST_BITS, (known_keys.count() * BITS_EACH).bit_length()), MOST_BITS) if proposed is not None else MOST_BITS - 2
+    bits = _bits_for(known_keys.count()) if proposed is not None else MOST_BITS - 2
     known, before, found = BitMap(bits), None, None
     if proposed is not None:
         known = bit_map(known_keys, bits)
     for passes in range(1, LONGEST + 2):
-        counts = rows.mapInArrow(_counted(known, before), "level tinyint, key long, n long")
+        counts = rows.mapInArrow(_counted(known, before, proposed is not None), "level tinyint, key long, n long")
         counts = counts.groupBy("key").agg(F.max("level").alias("level"), F.sum("n").alias("n"))
-        frequent = written(counts.where(F.col("n") >= least).select("level", "key", "n"), "phrase-counts")
+        frequent = written(counts.where((F.col("n") >= least) | (F.col("level") == 0)).select("level", "key", "n"), "phrase-counts")
         found = frequent if found is None else found.union(frequent)
-        failures = frequent.where(F.col("level") < LONGEST).join(known_keys.select("key"), "key", "left_anti")
+        failures = frequent.where(F.col("level").between(1, LONGEST - 1)).join(known_keys.select("key"), "key", "left_anti")
         failures = written(failures.select("level", "key"), "phrase-failures")
-        if failures.isEmpty():
+        if failures.isEmpty() or (proposed is not None and passes > 1):
             break
         known_keys = known_keys.union(failures)
         before, known = known, bit_map(known_keys, bits)
     return found, passes
 
 
-def _texts(known: BitMap):
-    """Counts (lang, words, phrase, n) of the known phrases, and of all words of a language under 0 words."""
+def _spelled(known: BitMap, wanted: BitMap):
+    """(key, lang, words, phrase) of the known phrases that are wanted, and of languages under 0 words; a task gives each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.uint64)
         for batch in batches:
-            counts: dict[tuple[str, int, str], int] = {}
+            rows: dict[int, tuple[str, int, str]] = {}
             for piece, langs in _pieces(batch):
-                of_text = np.diff(piece.first)
-                for lang, n in zip(langs, of_text.tolist(), strict=True):
-                    counts[lang, 0, ""] = counts.get((lang, 0, ""), 0) + n
-                text_of = np.repeat(np.arange(len(langs)), of_text)
-                data = piece.data.tobytes().translate(_LOWER)
-                starts, ends = piece.starts.tolist(), piece.ends.tolist()
+                for lang in set(langs):
+                    key = np.array([_language_hash(lang)], np.uint64)
+                    if wanted.holds(key)[0] and not _among(key, seen)[0]:
+                        rows[int(key[0])] = (lang, 0, "")
+                data = None
                 for level, places, keys, holds in _levels(piece, known):
-                    _, firsts, n = np.unique(keys[holds], return_index=True, return_counts=True)
-                    at = places[holds][firsts]
-                    for i, text, count in zip(at.tolist(), text_of[at].tolist(), n.tolist(), strict=True):
-                        phrase = b" ".join([data[starts[j] : ends[j]] for j in range(i, i + level)]).decode("utf-8", "replace")
-                        key = (langs[text], level, phrase)
-                        counts[key] = counts.get(key, 0) + count
-            columns = zip(*counts) if counts else ([], [], [])
+                    holds = holds & wanted.holds(keys)
+                    distinct, firsts = np.unique(keys[holds], return_index=True)
+                    new = ~_among(distinct, seen)
+                    at = places[holds][firsts[new]]
+                    text_of = np.searchsorted(piece.first, at, side="right") - 1
+                    for key, i, text in zip(distinct[new].tolist(), at.tolist(), text_of.tolist(), strict=True):
+                        data = data or piece.data.tobytes().translate(_LOWER)
+                        ends = zip(piece.starts[i : i + level].tolist(), piece.ends[i : i + level].tolist(), strict=True)
+                        rows[key] = (langs[text], level, b" ".join([data[x:y] for x, y in ends]).decode("utf-8", "replace"))
+            new_keys = np.array(list(rows), np.uint64)
+            seen = np.union1d(seen, new_keys)
+            columns = zip(*rows.values(), strict=True) if rows else ([], [], [])
             kinds = (pa.string(), pa.int8(), pa.string())
             arrays = [pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)]
-            arrays.append(pa.array(list(counts.values()), pa.int64()))
-            yield pa.RecordBatch.from_arrays(arrays, names=["lang", "words", "phrase", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(new_keys.view(np.int64)), *arrays], names=["key", "lang", "words", "phrase"])
 
     return run
 
 
+def _bits_for(n: int) -> int:
+    return min(max(LEAST_BITS, (n * BITS_EACH).bit_length()), MOST_BITS)
+
+
+def spelled_out(found: DataFrame, rows: DataFrame, few: DataFrame) -> DataFrame:
+    """(key, lang, words, phrase) of all keys of `found`; `few` are some of the `rows`, which most phrases occur in."""
+    schema = "key long, lang string, words tinyint, phrase string"
+    keys = found.select("key")
+    known = bit_map(keys, _bits_for(keys.count()))
+    first = few.mapInArrow(_spelled(known, known), schema)
+    first = written(first.groupBy("key").agg(F.min(F.struct("lang", "words", "phrase")).alias("as")), "phrase-texts")
+    missing = written(keys.join(first.select("key"), "key", "left_anti"), "phrase-missing")
+    n = missing.count()
+    if n:
+        rest = rows.mapInArrow(_spelled(known, bit_map(missing, _bits_for(n))), schema).join(missing, "key", "left_semi")
+        first = first.union(written(rest.groupBy("key").agg(F.min(F.struct("lang", "words", "phrase")).alias("as")), "phrase-texts"))
+    return first.select("key", "as.*")
+
+
 def frequent_phrases(
     documents: DataFrame,
     id_col: str = "doc_id",
@@ -237,15 +283,16 @@ def frequent_phrases(
     small_batches(documents.sparkSession)
     lang = F.coalesce(documents[lang_col].cast("string"), F.lit("und")).alias("lang")
     rows = documents.select(lang, documents[text_col].alias("text"))
-    part = F.pmod(F.xxhash64(documents[id_col], documents[text_col]), F.lit(1 << 20)) < int(share * (1 << 20))
-    sample = written(documents.where(part).select(lang, documents[text_col].alias("text")), "phrase-sample")
-    proposed, _ = mined(sample, max(1, int(least * share * LOWERED)))
-    found, _ = mined(rows, least, proposed)
-    keys = found.select("key")
-    bits = min(max(LEAST_BITS, (keys.count() * BITS_EACH).bit_length()), MOST_BITS)
-    counted = rows.mapInArrow(_texts(bit_map(keys, bits)), "lang string, words tinyint, phrase string, n long")
-    counted = counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
-    return written(counted.where((F.col("n") >= least) | (F.col("words") == 0)), "phrases")
+    place = F.pmod(F.xxhash64(documents[id_col], documents[text_col]), F.lit(1 << 20)).alias("place")
+    given = documents.select(lang, documents[text_col].alias("text"), place)
+    few = max(int(share * (1 << 20)), SPELLED * (1 << 20) // least)
+    sample = written(given.where(F.col("place") < few), "phrase-sample")
+    mining = sample.where(F.col("place") < int(share * (1 << 20))).select("lang", "text")
+    proposed, _ = mined(mining, max(1, int(least * share * LOWERED)))
+    found, _ = mined(rows, least, proposed.where("level > 0"))
+    found = written(found, "phrase-found")
+    texts = spelled_out(found, rows, sample.where(F.col("place") < SPELLED * (1 << 20) // least).select("lang", "text"))
+    return written(found.join(texts, "key").select("lang", "words", "phrase", "n"), "phrases")
 
 
 def collocations(frequent: DataFrame, top: int = TOP) -> DataFrame:
@@ -256,8 +303,11 @@ def collocations(frequent: DataFrame, top: int = TOP) -> DataFrame:
     the two in length occurs as often, too. Products are DECIMAL, exact beyond 64 bits.
     """
     of = frequent.select("lang", "phrase", "words", F.col("n").alias("a"))
-    totals = frequent.where("words = 0").select("lang", F.col("n").alias("n"))
     several = of.where("words > 1")
+    # A language may have most of the phrases: its total goes to them by a broadcast.
+    sizes = written(several.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows")), "phrase-langs")
+    totals = frequent.where("words = 0").select("lang", "n").join(sizes, "lang")
+    several = attach(several, totals, "lang", "_rows", sizes.agg(F.sum("_rows")).first()[0] or 0)
     parts = F.split("phrase", " ")
     cuts = several.withColumn("cut", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))
     cuts = cuts.withColumn("head", F.array_join(F.slice(parts, F.lit(1), F.col("cut")), " "))
@@ -266,7 +316,7 @@ def collocations(frequent: DataFrame, top: int = TOP) -> DataFrame:
     rests = of.select("lang", F.col("phrase").alias("rest"), F.col("a").alias("r"))
     wide = {c: F.col(c).cast("decimal(19,0)") for c in "anlr"}
     score = F.call_function("div", F.lit(1000).cast("decimal(4,0)") * wide["a"] * wide["n"], wide["l"] * wide["r"])
-    scored = cuts.join(heads, ["lang", "head"]).join(rests, ["lang", "rest"]).join(totals, "lang")
+    scored = cuts.join(heads, ["lang", "head"]).join(rests, ["lang", "rest"])
     least = scored.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(score.alias("score"), "cut", "l", "r")).alias("least"))
     longer = of.where("words > 2")
     inner = F.explode(
