@@ -15,6 +15,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from donorlens.sources.scratch import delete
+
 POINTERS = "number long, run string, paths string"
 
 
@@ -54,7 +56,7 @@ def publish(
             df.write.partitionBy(*(partition_by or {}).get(name, ())).parquet(new[name])
     except BaseException:
         for path in new.values():
-            _delete(spark, path)
+            delete(spark, path)
         raise
     pointer = spark.createDataFrame([(number + 1, run, json.dumps(paths | new))], POINTERS)
     pointer.coalesce(1).write.mode("append").parquet(f"{store}/_pointers")
@@ -77,10 +79,4 @@ def drop_old(spark: SparkSession, store: str, keep: int = 2) -> list[str]:
     listed = sorted((r["number"], r["run"], r["paths"]) for r in _pointers(spark, store).toLocalIterator())
     kept = {path for _, _, paths in listed[-keep:] for path in json.loads(paths).values()}
     old = sorted({path for _, _, paths in listed[:-keep] for path in json.loads(paths).values()} - kept)
-    return [path for path in old if _delete(spark, path)]
-
-
-def _delete(spark: SparkSession, path: str) -> bool:
-    """Whether there was something to delete, on whatever file system the path names."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return [path for path in old if delete(spark, path)]
