@@ -35,8 +35,8 @@ KEEP = 0.4
 #: Items of one index, singular vectors beyond one for each item, extra ones while iterating, and iterations. With fewer
 #: vectors than items, some items would all but vanish in the projection.
 ITEMS, BEYOND, EXTRA, ROUNDS = 256, 32, 16, 2
-#: The sample that the singular vectors are fitted on: about so many documents, each of at most so many bytes, and all items.
-SAMPLE_DOCS, SAMPLE_BYTES = 4000, 1 << 16
+#: The sample that the singular vectors are fitted on: about so many documents, and all items.
+SAMPLE_DOCS = 4000
 #: A candidate has at least this share of the similarity that the item has with itself.
 CANDIDATE = 0.35
 #: Shares of an item's words in common order: enough alone, and enough if the answer is there too.
@@ -147,12 +147,25 @@ def _active(hashes: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
     return places[same], at[same]
 
 
-def _sums(values: np.ndarray, groups: np.ndarray, size: int) -> np.ndarray:
-    """Sums of rows by group; groups come in order."""
-    out = np.zeros((size, *values.shape[1:]), values.dtype)
-    if len(groups):
-        begins = np.flatnonzero(np.concatenate([[True], np.diff(groups) != 0]))
-        out[groups[begins]] = np.add.reduceat(values, begins, axis=0)
+#: Rows of a matrix that are gathered at a time.
+GATHERED = 1 << 13
+
+
+def _sums(weights: np.ndarray, rows: np.ndarray, matrix: np.ndarray, groups: np.ndarray, size: int) -> np.ndarray:
+    """For each of `size` groups the sum of its weights times their rows of the matrix; groups come in order.
+
+    Groups of one size are multiplied at once: adding up row by row (`reduceat`) takes eighteen times as long."""
+    out = np.zeros((size, matrix.shape[1]), np.result_type(weights, matrix))
+    if not len(groups):
+        return out
+    begins = np.flatnonzero(np.concatenate([[True], np.diff(groups) != 0]))
+    sizes = np.diff(np.append(begins, len(groups)))
+    for n in np.unique(sizes).tolist():
+        same = begins[sizes == n]
+        for at in range(0, len(same), max(1, GATHERED // n)):
+            some = same[at : at + max(1, GATHERED // n)]
+            places = some[:, None] + np.arange(n)
+            out[groups[some]] = np.matmul(weights[places][:, None, :], matrix[rows[places]])[:, 0]
     return out
 
 
@@ -173,9 +186,9 @@ def _multiplied(index: Index, basis: np.ndarray):
                 passage = block[places] // SPAN + text_of  # passages that don't overlap, none with words of two texts
                 passage = np.unique(np.stack([text_of, passage], 1), axis=0, return_inverse=True)[1].ravel()
                 value = index.weights[_bucket(hashes[places])] * scale[text_of]
-                projected = _sums(value[:, None] * basis[terms], passage, passage[-1] + 1)
+                projected = _sums(value, terms, basis, passage, passage[-1] + 1)
                 order = np.argsort(terms, kind="stable")
-                total += _sums(value[order, None] * projected[passage[order]], terms[order], len(basis))
+                total += _sums(value[order], passage[order], projected, terms[order], len(basis))
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
     return run
@@ -189,7 +202,7 @@ def fit(documents: DataFrame, items: list[Item], item_texts: list[str], weights:
     has_term[_bucket(terms)] = weights[_bucket(terms)] > 0
     index = Index(terms, weights, has_term, np.zeros((0, 0)), [])
     share = F.pmod(F.xxhash64("doc_id", F.lit("latent")), F.lit(1 << 40)) < (SAMPLE_DOCS << 40) // max(n_docs, SAMPLE_DOCS)
-    sampled = documents.where(share & (F.octet_length("text") <= SAMPLE_BYTES)).select("text", F.lit(1.0).cast("float").alias("weight"))
+    sampled = documents.where(share & F.col("text").isNotNull()).select("text", F.lit(1.0).cast("float").alias("weight"))
     sampled = written(sampled, "latent-sample")
     each = float(np.sqrt(4 * max(1, min(n_docs, SAMPLE_DOCS)) * 8 / len(items)))
     rows = spark.createDataFrame([(t, each) for t in item_texts], "text string, weight float")
@@ -258,7 +271,7 @@ def _found(hashes: np.ndarray, first: np.ndarray, index: Index) -> Iterator[tupl
     norms = np.bincount(block, weight * weight, minlength=n)
     # Only passages near a term are formed.
     used = np.unique(block[places])
-    sums = _sums(weight[places][:, None] * index.vectors[terms], block[places], n + SPAN)
+    sums = _sums(weight[places], terms, index.vectors, block[places], n + SPAN)
     norms = np.concatenate([norms, np.zeros(SPAN)])
     lengths = np.sqrt(np.einsum("ij,ij->i", sums, sums))
     for span, numbers, columns, least in index.items:

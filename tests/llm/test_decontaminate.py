@@ -1,5 +1,9 @@
 import random
 
+import numpy as np
+import pytest
+
+from donorlens.llm import decontaminate
 from donorlens.llm.decontaminate import clean, contaminated, lcs
 
 from .common import SF_DIR, collected, documents
@@ -78,8 +82,10 @@ def test_short_items_at_all_offsets(spark):
     assert {r["doc_id"] for r in clean(frame, benchmark).collect()} == {i for i, _ in docs} - {i for i, _ in want}
 
 
-def test_recall_against_brute_force_on_documents(spark):
-    """Every place of every text against every item, by the same judgement."""
+@pytest.mark.parametrize("sample_docs", [4000, 40])
+def test_recall_against_brute_force_on_documents(spark, monkeypatch, sample_docs):
+    """Every place of every text against every item, by the same judgement; with all documents in the fit, and with a fifth."""
+    monkeypatch.setattr(decontaminate, "SAMPLE_DOCS", sample_docs)
     docs, benchmark = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "benchmark"))
     got = {(r["doc_id"], r["item_id"]) for r in contaminated(docs, benchmark).collect()}
     split = lambda t: "".join(c if c.isalnum() or ord(c) > 127 else " " for c in t.lower()).split()
@@ -106,3 +112,14 @@ def test_edges(spark):
     assert collected(contaminated(documents(spark, []), benchmark)) == []
     assert collected(contaminated(docs, benchmark.limit(0))) == []
     assert clean(docs, benchmark.limit(0)).count() == 8
+
+
+def test_sums_of_groups():
+    rng = np.random.default_rng(1)
+    matrix = rng.standard_normal((50, 7)).astype(np.float32)
+    groups = np.sort(rng.choice([0, 1, 1, 1, 4, 5, 5, 9], 20_000))
+    rows, weights = rng.integers(0, 50, len(groups)), rng.random(len(groups)).astype(np.float32)
+    want = np.zeros((11, 7))
+    np.add.at(want, groups, weights[:, None] * matrix[rows])
+    assert np.allclose(decontaminate._sums(weights, rows, matrix, groups, 11), want, rtol=1e-3)
+    assert not decontaminate._sums(weights[:0], rows[:0], matrix, groups[:0], 3).any()
