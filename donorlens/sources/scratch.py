@@ -34,7 +34,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """On whatever file system the path names."""
+    files, at = _file_system(spark, path)
+    return files.exists(at)
+
+
 def delete(spark: SparkSession, path: str) -> bool:
     """Whether there was something to delete, on whatever file system the path names."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    files, at = _file_system(spark, path)
+    return files.delete(at, True)

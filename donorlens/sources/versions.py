@@ -11,22 +11,17 @@ import json
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from donorlens.sources.scratch import delete
+from donorlens.sources.scratch import delete, exists
 
 POINTERS = "number long, run string, paths string"
 
 
 def _pointers(spark: SparkSession, store: str) -> DataFrame:
-    try:
-        return spark.read.schema(POINTERS).parquet(f"{store}/_pointers")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], POINTERS)
+    path = f"{store}/_pointers"
+    return spark.read.schema(POINTERS).parquet(path) if exists(spark, path) else spark.createDataFrame([], POINTERS)
 
 
 def current(spark: SparkSession, store: str, number: int | None = None) -> tuple[int, dict[str, str]]:

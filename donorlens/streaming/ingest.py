@@ -12,13 +12,13 @@ is repeated after a failure writes the same partitions again.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from donorlens.sources.files import list_csv_files, name_contains, read_files, typed
+from donorlens.sources.scratch import exists
 
 
 def checkpoint_folder(spark: SparkSession, name: str) -> str:
@@ -62,13 +62,9 @@ def log_changes(spark: SparkSession, folder: str, log: str, token: str | None =
     listed = list_csv_files(spark, folder)
     if token:
         listed = listed.where(F.contains(F.lower("name"), F.lit(token.lower())))
-    try:
-        versions = spark.read.schema(LOG).parquet(log)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not exists(spark, log):
         spark.createDataFrame([], LOG).write.mode("append").parquet(log)
-        versions = spark.read.schema(LOG).parquet(log)
+    versions = spark.read.schema(LOG).parquet(log)
     fields = ("path", "modified", "length")
     last = versions.groupBy("name").agg(F.max_by(F.struct(*fields), F.struct("noticed", "modified")).alias("last"))
     both = listed.join(last, "name", "full" if removed else "left")
