@@ -72,10 +72,12 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
         return []
     raw = text.encode()
     found = []
-    for start, end in _hex_runs(raw):
+    runs = _hex_runs(raw)
+    if runs and len(raw) != len(text):
         # A run is ASCII; only what stands before it can make places of bytes and of code points differ.
-        at = start if len(raw) == len(text) else len(raw[:start].decode())
-        found.append(("hex", at, at + end - start))
+        begun = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80, dtype=np.int64)
+        runs = [(int(begun[start]) - 1, int(begun[start]) - 1 + end - start) for start, end in runs]
+    found += [("hex", start, end) for start, end in runs]
     # Lower-casing bytes touches A-Z alone and so keeps every place.
     hits = [(end + 1 - size, kind) for end, (size, kind) in _automaton().iter(raw.lower().decode())]
     free = {"assign": 0, "access": 0, "checked": 0}

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 from donorlens.llm.secret_scan import checksum62, find_secrets, scan
 
@@ -53,3 +54,11 @@ def test_operator(spark):
     assert (r["n_assign"], r["n_access"], r["n_hex"]) == (1, 0, 0)
     assert r["base_sha256"] == hashlib.sha256(b"assign:2:20").hexdigest()
     assert collected(find_secrets(documents(spark, []))) == []
+
+
+def test_many_runs_take_linear_time():
+    text = "é" + ("a1" * 16 + "é ") * 16_000
+    begin = time.perf_counter()
+    found = scan(text)
+    assert time.perf_counter() - begin < 0.5
+    assert [s[1:] for s in found] == [(1 + 34 * i, 33 + 34 * i) for i in range(16_000)]
