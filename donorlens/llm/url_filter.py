@@ -12,7 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rule lists up to this length are broadcast; longer ones are joined by shuffle.
+from donorlens.llm.skew import attach
+from donorlens.llm.store import written
+
+#: Rule lists up to this length are broadcast; of longer ones only the rules under tokens that very many addresses have, all
+#: others are joined by shuffle. The result is the same.
 MAX_BROADCAST_RULES = 50_000
 TOKEN = "[A-Za-z0-9]+"
 RULE_SCHEMA = "rule string, verdict string, rank int, pattern string, tokens array<string>"
@@ -78,17 +82,30 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
-def _index(rules: DataFrame, addresses: DataFrame) -> DataFrame:
-    """The rules by their rarest token; `token` is null for rules that have none.
+def _index(rules: DataFrame, addresses: DataFrame, small: bool) -> DataFrame:
+    """The rules by their rarest token, and how many addresses have that; `token` is "" for rules that have none.
 
     How often a token occurs is counted over all addresses, but only for the tokens that rules have.
     """
+    sent = F.broadcast if small else lambda df: df
     of_rules = rules.select(F.explode("tokens").alias("token")).distinct()
-    seen = addresses.select(F.explode("tokens").alias("token")).join(F.broadcast(of_rules), "token", "left_semi")
+    seen = addresses.select(F.explode("tokens").alias("token")).join(sent(of_rules), "token", "left_semi")
     counts = seen.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    per_token = rules.select("*", F.explode_outer("tokens").alias("token")).join(F.broadcast(counts), "token", "left")
-    rarest = F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), F.col("token")))
-    return per_token.groupBy("rule", "verdict", "rank", "pattern").agg(rarest.alias("token"))
+    per_token = rules.select("*", F.explode_outer("tokens").alias("token")).join(sent(counts), "token", "left")
+    n = F.coalesce("n", F.lit(0))
+    rarest = F.min_by(F.struct("token", n.alias("n")), F.struct(n, F.col("token"))).alias("of")
+    index = per_token.groupBy("rule", "verdict", "rank", "pattern").agg(rarest)
+    return index.select("rule", "verdict", "rank", "pattern", F.coalesce("of.token", F.lit("")).alias("token"), "of.n")
+
+
+def _by_shuffle(keys: DataFrame, index: DataFrame, n_rows: int) -> DataFrame:
+    """`keys` with the rules of their token. Tokens of more than a thousandth of the rows, "" among them, are broadcast with
+    their rules; a row without any rule keeps its key ""."""
+    rules = F.collect_list(F.struct("rule", "verdict", "rank", "pattern")).alias("rules")
+    n = F.when(F.col("token") == "", F.lit(n_rows)).otherwise(F.max("n")).alias("n")
+    facts = written(index.groupBy("token").agg(rules, n), "url-rules")
+    found = attach(keys, facts, "token", "n", n_rows).where(F.col("rules").isNotNull() | (F.col("token") == ""))
+    return found.select(*keys.columns, F.explode_outer("rules").alias("of")).select(*keys.columns, "of.*")
 
 
 def filter_urls(df: DataFrame, rules: tuple[Rule, ...], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -105,17 +122,15 @@ def filter_urls(df: DataFrame, rules: tuple[Rule, ...], id_col: str = "page_id",
     tokens = F.regexp_extract_all(F.concat("host", "path"), F.lit(TOKEN), F.lit(0))
     addresses = addresses.withColumn("tokens", F.array_distinct(tokens))
     table = rules_table(df.sparkSession, rules)
-    index = _index(table, addresses)
-    if len(rules) <= MAX_BROADCAST_RULES:
-        index = F.broadcast(index)
+    small = len(rules) <= MAX_BROADCAST_RULES
+    index = _index(table, addresses, small)
     # Rules without a token are tried on every address, under the key "".
-    index = index.withColumn("token", F.coalesce("token", F.lit("")))
     keys = F.explode(F.concat(F.col("tokens"), F.array(F.lit(""))))
-    tried = (
-        addresses.withColumn("row", F.monotonically_increasing_id())
-        .select("row", "page_id", "host", "path", keys.alias("token"))
-        .join(index, "token", "left")
-    )
+    keyed = addresses.withColumn("row", F.monotonically_increasing_id()).select("row", "page_id", "host", "path", keys.alias("token"))
+    if small:
+        tried = keyed.join(F.broadcast(index), "token", "left")
+    else:
+        tried = _by_shuffle(keyed, index, addresses.count())
     fits = F.regexp_like(F.concat("host", "path"), F.col("pattern"))
     best = F.max(F.when(fits, F.struct("rank", F.length("rule").alias("size"), "rule", "verdict")))
     # A row's keys lie in one partition, so the map side already leaves one row for each.

@@ -1,4 +1,4 @@
-from donorlens.llm.url_filter import HOST_RULES, PATTERNS, Rule, filter_urls
+from donorlens.llm.url_filter import HOST_RULES, MAX_BROADCAST_RULES, PATTERNS, Rule, filter_urls
 
 from .common import collected
 
@@ -46,8 +46,8 @@ def test_hosts_and_paths(spark):
 
 def test_wildcards_and_rules_without_token(spark):
     rules = (Rule("^shop*buy^", "block"), Rule("ban", "block"), Rule("^a*", "allow"))
-    got = judged(spark, ["http://x/shop/1/buy", "http://x/shopping/buy", "http://x/urban", "http://x/"], rules)
-    assert [g[3] for g in got] == ["block", "allow", "block", "allow"]
+    got = judged(spark, ["http://x/shop/1/buy", "http://x/shopping/buy", "http://x/shop-1", "http://x/urban", "http://x/"], rules)
+    assert [g[3] for g in got] == ["block", "block", "allow", "block", "allow"]
 
 
 def test_repeated_and_empty(spark):
@@ -55,3 +55,14 @@ def test_repeated_and_empty(spark):
     assert len(judged(spark, ["http://net/es/"] * 5)) == 5
     pages = spark.createDataFrame([(None, "http://net/es/")] * 3, "page_id long, url string")
     assert collected(filter_urls(pages, HOST_RULES)) == [(None, "net", "/es/", "net/es/", "block", None)] * 3
+
+
+def test_long_lists_of_rules_give_the_same(spark):
+    """More rules than are broadcast, some under a token that most addresses have, one without any token."""
+    few = (Rule("^www^", "block"), Rule("||x7.example.org/a", "block", 1), Rule("zzz", "block"), Rule("^p12^", "block"))
+    many = few + tuple(Rule(f"^never{i}^", "block") for i in range(50_000))
+    assert len(many) > MAX_BROADCAST_RULES
+    urls = [f"http://{'www.' if i % 3 else ''}x{i % 50}.example.org/a/p{i % 40}" for i in range(600)]
+    urls += ["http://q.org/zzzz", "http://a.net/never77/", "http://a.net/never770000/", None, ""]
+    got = judged(spark, urls, many)
+    assert got == judged(spark, urls, few)[:601] + [("a.net", "/never77/", None, "block"), *judged(spark, urls, few)[602:]]
