@@ -4,8 +4,8 @@ A page becomes a stream of containers and text slots. Aligning the streams of on
 wrapper's sequence, what some lack into optional items, and what recurs side by side into repeated items; how much text a
 slot holds, how much of it links, and whether it is the same text all over add up over the pages. Wrappers align with each
 other just as pages do, so they are formed inside partitions, then in salted groups of a host, then for each host. The
-wrapper's container with the host's main text is what is taken from each page; a page that lacks it is taken for a wrapper
-of its own.
+wrapper's container with the host's main text is what is taken from each page, without the containers in it that the wrapper
+has as constant or as lists of links; a page that lacks it is taken for a wrapper of its own.
 """
 
 from __future__ import annotations
@@ -26,7 +26,10 @@ from donorlens.llm.url_filter import host_and_path
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!?\?[^>]*>?|<![^>]*>?"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|select|button|title)\b.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style)(?![\w:-]).*?(?:</\1\s*>|\Z)"
+    # These end where they close, before another of their kind opens; one that doesn't close hides nothing.
+    r"""|<(noscript|template|svg|iframe|textarea|select|button|title)(?![\w:-])(?:[^>"']|"[^"]*"|'[^']*')*(?<!/)>"""
+    r"(?:(?!<\2(?![\w:-])).)*?</\2\s*>"
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)>?""",
     re.DOTALL | re.IGNORECASE,
 )
@@ -44,11 +47,12 @@ NOT_TEXT_WORDS = frozenset(
     "comment comments disqus sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing social "
     "related newsletter subscribe signup popup modal toolbar widget search pagination complementary contentinfo".split()
 )
-#: A class, id or role with one of these words tells of a state, a layout or a topic, not of the element's part of the page.
-STATE_WORDS = frozenset(
-    "no not non without with has have is hide hidden show open opened closed enabled disabled allowed active layout category "
-    "tag topic format status template".split()
-)
+#: A class, id or role with one of these words says that the other word is lacking, or is a topic.
+OTHER_WORDS = frozenset("no not non without with has have hide hidden category tag topic format template layout".split())
+#: With one of these, it tells of a state of the page; but inside an article, of the element itself.
+STATE_WORDS = OTHER_WORDS | frozenset("is show open opened closed enabled disabled allowed active status".split())
+#: Articles under these words are replies or other articles.
+REPLIES = frozenset("comment comments disqus related".split())
 #: Elements that no word makes less than text. Words don't hide an article longer than all others either.
 ALWAYS_TEXT = frozenset("html body main".split())
 #: Elements nested deeper than this leave their blocks to the one above; their end tags are still their own.
@@ -56,6 +60,8 @@ MAX_DEPTH = 100
 #: A slot is a list of links from this share of characters in links on, and constant from this share of one text on, if it
 #: was seen on so many pages.
 LINKED, CONSTANT, CONSTANT_PAGES = 0.8, 0.9, 3
+#: Items of one wrapper node; the rarest of more than these are put together.
+MOST_ITEMS = 200
 #: Where all slots of a host are constant, though its pages differ, a container goes on to its child beside other containers
 #: while the child holds this share of the text.
 MOST = 0.9
@@ -82,7 +88,8 @@ def _element(tag: str, attributes: str, inside_text: bool, by_words: bool) -> El
     for m in ATTRIBUTE.finditer(attributes) if attributes else ():
         for name in (m[2] or m[3] or m[4] or "").lower().split():
             own = re.findall(r"[a-z]+|[0-9]+", name)
-            marked = marked or (not NOT_TEXT_WORDS.isdisjoint(own) and STATE_WORDS.isdisjoint(own))
+            undone = OTHER_WORDS if inside_text else STATE_WORDS
+            marked = marked or (not NOT_TEXT_WORDS.isdisjoint(own) and undone.isdisjoint(own))
             words += own
     skipped = tag in NOT_TEXT or (tag == "header" and not inside_text)
     by_word = by_words and marked and not skipped and tag not in ALWAYS_TEXT
@@ -96,8 +103,10 @@ def _size_of(element: Element) -> int:
 
 
 def _unhide(root: Element) -> None:
-    """No word hides the body, the main element or the page's longest article, nor what they stand in."""
-    best: tuple[int, list[Element]] = (0, [])
+    """No word hides the body or the main element, nor the page's longest article unless another text is there, nor what these
+    stand in. A hidden article counts as the page's text if no article is visible and less other text than a quarter of it;
+    one under the words of replies only if there is no other text."""
+    visible, articles = 0, []
     todo: list[tuple[Element, list[Element]]] = [(root, [])]
     while todo:
         element, hidden = todo.pop()
@@ -105,16 +114,21 @@ def _unhide(root: Element) -> None:
             for e in hidden:
                 e.skipped = e.by_word = False
             hidden = []
-        elif element.tag == "article":
-            size = _size_of(element)
-            # Of articles of one size, the one that no word hides stands for both.
-            if size > best[0] or (size == best[0] and not hidden):
-                best = size, hidden
+        if element.tag == "article":
+            articles.append((element, hidden))
+        if not hidden:
+            visible += sum(len(c.strip()) for c in element.children if isinstance(c, str))
         for child in element.children:
             if not isinstance(child, str) and (child.by_word or not child.skipped):
                 todo.append((child, [*hidden, child] if child.by_word else hidden))
-    for e in best[1]:
-        e.skipped = e.by_word = False
+    sizes = [(_size_of(element), hidden) for element, hidden in articles]
+    if any(size and not hidden for size, hidden in sizes):
+        return
+    for size, hidden in sorted((x for x in sizes if x[0]), key=lambda x: -x[0])[:1]:
+        reply = any(not REPLIES.isdisjoint(re.findall("[a-z]+", e.label)) for e in hidden)
+        if visible == 0 or (not reply and 4 * visible < size):
+            for e in hidden:
+                e.skipped = e.by_word = False
 
 
 def parse(page: str, by_words: bool = True) -> Element:
@@ -147,23 +161,23 @@ def parse(page: str, by_words: bool = True) -> Element:
         if m.start() > at:
             open_[-1][1].children.append(Link(page[at : m.start()]) if link else page[at : m.start()])
         at = m.end()
-        tag = (m[3] or "").lower()
+        tag = (m[4] or "").lower()
         if not tag:
             continue
         if tag in ("br", "img", "wbr"):
             open_[-1][1].children.append(" ")
         if tag == "a":
-            link = 0 if m[2] else len(open_)
+            link = 0 if m[3] else len(open_)
         if tag not in BLOCKS and tag not in CONTAINERS and tag != "head":
             continue
-        if m[2]:
+        if m[3]:
             # The end tag of a block doesn't reach beyond the container it stands in.
             if places.get(tag) and (tag not in BLOCKS or places[tag][-1] > containers[-1]):
                 close(places[tag][-1])
             continue
         if open_[-1][0] in ("p", "head") or (tag in ENDS_ITSELF and open_[-1][0] == tag):
             close(len(open_) - 1)
-        element = _element(tag, m[4], in_text > 0, by_words)
+        element = _element(tag, m[5], in_text > 0, by_words)
         hides, texts = hides or element.by_word, texts or tag in ("body", "main", "article")
         above = open_[-1][1]
         # Below the depth an element is an empty block between texts of the one above, unless it is skipped: that one opens
@@ -224,6 +238,23 @@ def _together(a: list, b: list) -> list:
     return [*(x + y for x, y in zip(a[:4], b[:4], strict=True)), digest, more]
 
 
+def _bounded(items: list[list]) -> list[list]:
+    """Of more than MOST_ITEMS items those that the fewest pages have become one optional item without a label of its own."""
+    least = 1
+    while len(items) > MOST_ITEMS:
+        rare = [i for i in items if i[5][0] <= least or i[0] == "*"]
+        if rare:
+            about = rare[0][5]
+            for other in rare[1:]:
+                about = _together(about, other[5])
+            first = next(k for k, i in enumerate(items) if i is rare[0])
+            kept = [i for i in items if not (i[5][0] <= least or i[0] == "*")]
+            before = sum(not (i[5][0] <= least or i[0] == "*") for i in items[:first])
+            items = [*kept[:before], ["*", sum(i[1] for i in rare), True, True, [], about], *kept[before:]]
+        least *= 2
+    return items
+
+
 def _folded(items: list[list]) -> list[list]:
     """Runs that recur side by side (of one to three items) become repeated items."""
     for period in (1, 2, 3):
@@ -238,7 +269,7 @@ def _folded(items: list[list]) -> list[list]:
                     merged[3] = True
                     out[-period + k] = merged
         items = out
-    return items
+    return _bounded(items)
 
 
 def merge(a: list, b: list) -> list:
@@ -332,6 +363,32 @@ def main_path(wrapper: list) -> list[str]:
     return path
 
 
+def cut_paths(wrapper: list, path: list[str]) -> list[str]:
+    """Containers below the main text that are boilerplate: constant while what they stand in is not, or lists of links. Each
+    is a path of labels from the main text on, joined by spaces."""
+    node = wrapper
+    for label in path:
+        node = next((i for i in node[4] if i[0] == label), None)
+        if node is None:
+            return []
+    out, todo = [], [(node, "")]
+    while todo:
+        node, at = todo.pop()
+        for item in node[4]:
+            if item[0] in ("block", "*") or not item[1]:
+                continue
+            here = f"{at} {item[0]}".strip()
+            seen, links, linked = item[5][:3]
+            constant = _is_constant(item) and not _is_constant(node)
+            # A label that recurs stands for several slots, of which one may hold text.
+            alone = sum(i[0] == item[0] for i in node[4]) == 1
+            if alone and (constant or (links > seen and linked >= LINKED * item[1])):
+                out.append(here)
+            else:
+                todo.append((item, here))
+    return sorted(out)
+
+
 def _at(element: Element, path: list[str]) -> list[Element]:
     """The elements at a path; at one level all that have the label."""
     found = [element]
@@ -340,8 +397,8 @@ def _at(element: Element, path: list[str]) -> list[Element]:
     return found
 
 
-def blocks(element: Element) -> list[str]:
-    """The texts of an element's blocks, in order, without skipped parts."""
+def blocks(element: Element, cuts: frozenset[str] = frozenset()) -> list[str]:
+    """The texts of an element's blocks, in order, without skipped parts and without the containers at the paths `cuts`."""
     out: list[str] = []
     inline: list[str] = []
 
@@ -351,26 +408,30 @@ def blocks(element: Element) -> list[str]:
             out.append(text)
         inline.clear()
 
-    def walk(e: Element) -> None:
+    def walk(e: Element, at: str | None) -> None:
+        """`at`: the path of labels that leads here, None below a block."""
         for child in e.children:
             if isinstance(child, str):
                 inline.append(child)
             elif not child.skipped:
+                here = None if at is None or child.label == "block" else f"{at} {child.label}".strip()
                 flush()
-                walk(child)
+                if here is None or here not in cuts:
+                    walk(child, here)
                 flush()
 
-    walk(element)
+    walk(element, "")
     flush()
     return out
 
 
-def main_text(page: str | None, path: list[str] | None) -> str:
+def main_text(page: str | None, path: list[str] | None, cuts: list[str] | None = None) -> str:
+    """`path` and `cuts`: where the host's wrapper has the main text, and what of it is boilerplate."""
     if not page:
         return ""
     root = parse(page)
     found = _at(root, path) if path else []
-    if not any(blocks_of := [blocks(e) for e in found]):
+    if not any(blocks_of := [blocks(e, frozenset(cuts or ())) for e in found]) and not any(blocks_of := [blocks(e) for e in found]):
         # The host's wrapper has another place for the text: the page is its own wrapper.
         blocks_of = [blocks(e) for e in _at(root, main_path(wrapper_of(root)))]
     if not any(blocks_of):
@@ -424,15 +485,16 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        paths = [main_path(json.loads(w)) for w in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(paths, pa.list_(pa.string())), batch.column(2)], names=["host", "path", "n_pages"]
-        )
+        wrappers = [json.loads(w) for w in batch.column(1).to_pylist()]
+        paths = [main_path(w) for w in wrappers]
+        cuts = [cut_paths(w, p) for w, p in zip(wrappers, paths, strict=True)]
+        lists = [pa.array(x, pa.list_(pa.string())) for x in (paths, cuts)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *lists, batch.column(2)], names=["host", "path", "cuts", "n_pages"])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(h, p) for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        texts = [main_text(*given) for given in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
         sizes = pa.array([len(t) for t in texts], pa.int64())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], names=["page_id", "url", "text", "n_chars"]
@@ -449,9 +511,9 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     host, _ = host_and_path(df[url_col])
     pages = df.select(df[id_col].alias("page_id"), df[url_col].alias("url"), df[html_col].alias("html"), host.alias("host"))
     paths = written(
-        infer_wrappers(pages).mapInArrow(_paths, "host string, path array<string>, n_pages long"), "html-paths"
+        infer_wrappers(pages).mapInArrow(_paths, "host string, path array<string>, cuts array<string>, n_pages long"), "html-paths"
     )
     total = paths.agg(F.sum("n_pages")).first()[0] or 0
-    rows = attach(pages, paths, "host", "n_pages", total).select("page_id", "url", "html", "path")
+    rows = attach(pages, paths, "host", "n_pages", total).select("page_id", "url", "html", "path", "cuts")
     kind = df.schema[id_col].dataType.simpleString()
     return rows.mapInArrow(_extracted, f"page_id {kind}, url string, text string, n_chars long")

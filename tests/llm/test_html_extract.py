@@ -1,7 +1,9 @@
 import html
+import json
 import re
+import time
 
-from donorlens.llm.html_extract import extract, main_path, main_text, merge, parse, wrapper_of
+from donorlens.llm.html_extract import MOST_ITEMS, extract, main_path, main_text, merge, parse, wrapper_of
 
 from .common import SF_DIR, collected, table
 
@@ -119,3 +121,58 @@ def test_edges(spark):
     got = {(r["page_id"], r["n_chars"]) for r in extract(pages(spark, rows)).collect()}
     assert {(1, 0), (2, 0), (None, 12), (4, 4), (6, 0)} <= got
     assert collected(extract(pages(spark, []))) == []
+
+
+STORY = "A long story about something. " * 20
+
+
+def test_replies_and_related_articles_don_t_replace_the_text():
+    want = STORY.strip()
+    for page in (
+        f'<div id=content><p>{STORY}</p></div><div class="comments"><article class="comment">Nice!</article></div>',
+        f'<article><p>{STORY}</p></article><article class="related"><p>{STORY}{STORY}</p></article>',
+        f'<article><p>{STORY}</p><div class="ad-active">Buy</div><p class="comments-open">Reply</p></article>',
+        f'<div id=content><p>{STORY}</p></div><article class="comment"><p>{STORY}{STORY}</p></article>',
+    ):
+        assert main_text(f"<body>{page}</body>", None) == want, page
+    assert main_text(f'<body><div class=line>By A. B.</div><article class="post sponsored"><p>{STORY}</p></article></body>', None).endswith(want)
+
+
+def test_elements_that_close_themselves_or_never():
+    for middle in ('<svg class="i"/>', "<button-group>", "<svg viewBox='0 0'/>", "<title-card>", "<button/>"):
+        assert main_text(f"<body><article><p>a one</p>{middle}<p>b two</p></article></body>", None) == "a one\n\nb two", middle
+    for open_ in ("<button>", "<select>", "<noscript>", "<title>", "<svg>"):
+        text = main_text(f"<body><article><p>a one</p>{open_}<p>b two</p></article></body>", None)
+        assert text == "a one\n\nb two", open_
+    page = "<p>a<button type=button>Share <b>now</b></button> b<select><option>1</select> c<svg><title>t</title></svg> d"
+    assert main_text(page, None) == "a b c d"
+    assert main_text("<p>a" + "<button>" * 20_000 + "b", None) == "ab"
+
+
+def test_slots_decide_where_names_say_nothing(spark):
+    """Constant boxes and lists of links go, also inside the article, whatever they are called."""
+    page = (
+        "<body><div class=qa>Our site</div><article class=qb><h1>{0} head</h1><div class=qc><span>Read this on our site</span></div>"
+        "<div class=qd><p>{0} text goes on here</p><p>more of {0}</p></div>"
+        "<div class=qe><a href=/1>Go {0}</a> <a href=/2>Then {0} again</a></div></article><div class=qf>All rights</div></body>"
+    )
+    rows = [(i, "http://n.org/", page.replace("{0}", f"w{i}")) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in extract(pages(spark, rows)).collect()}
+    assert got == {i: f"w{i} head\n\nw{i} text goes on here\n\nmore of w{i}" for i in range(12)}
+    # Copies of one page are constant as a whole; nothing is cut.
+    same = [(i, "http://n.org/", rows[0][2]) for i in range(12)]
+    assert all("Read this" in r["text"] and "w0 text goes on" in r["text"] for r in extract(pages(spark, same)).collect())
+
+
+def test_wrappers_stay_small():
+    begin, whole = time.perf_counter(), None
+    for page in range(120):
+        boxes = "".join(f"<div class=c{page}x{chr(97 + k)}><p>text {page} {k}</p></div>" for k in range(20))
+        own = wrapper_of(parse(f"<body><div class=same><p>long text {page} of all</p></div>{boxes}</body>"))
+        whole = merge(whole, own) if whole else own
+    assert len(json.dumps(whole)) < 100_000 and time.perf_counter() - begin < 10
+    assert len(whole[4][0][4]) <= MOST_ITEMS and any(i[0] == "div.same" and i[5][0] == 120 for i in whole[4][0][4])
+    wide = ["<body>" + "".join(f"<div class={a}{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k // 100 % 10]}{'abcdefghij'[k // 1000]}>t</div>" for k in range(2000)) for a in "ab"]
+    begin = time.perf_counter()
+    merge(*(wrapper_of(parse(p)) for p in wide))
+    assert time.perf_counter() - begin < 1
