@@ -25,7 +25,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from donorlens.llm.components import connected_components
 from donorlens.llm.features import _mix, buffers, pieces, shingles, words
 from donorlens.llm.skew import attach
-from donorlens.llm.store import small_batches, summed_vectors, written
+from donorlens.llm.store import small_batches, summed_vectors, trimmed, written
 
 WORDS = 5
 #: Documents link when NUMERATOR / DENOMINATOR of the union is shared.
@@ -40,8 +40,6 @@ MIN_PARTS = 12
 #: Hash ranges in which the suffix filter counts.
 RANGES = 32
 MAP_BITS = 23
-#: Bytes of a shingle that verification compares.
-KEPT = 6
 ENTRY = np.dtype([("shingle", "<u8"), ("entity", "<u8"), ("n", "<u4"), ("place", "<u4")])
 
 
@@ -174,10 +172,8 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = end
 
 
-def _passing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Which pairs the prefix, length and positional filters leave; x is the smaller set of each."""
-    nx, ny = x["n"].astype(np.int64), y["n"].astype(np.int64)
-    px, py = x["place"].astype(np.int64), y["place"].astype(np.int64)
+def _passing(nx: np.ndarray, px: np.ndarray, ny: np.ndarray, py: np.ndarray) -> np.ndarray:
+    """Which pairs the prefix, length and positional filters leave, by sizes and places; x is the smaller set of each."""
     alpha = needed(nx, ny)
     in_prefix = (px < nx - needed(nx, nx) + 1) & (py < ny + (-NUMERATOR * ny // DENOMINATOR) + 1)
     most = np.minimum(px, py) + 1 + np.minimum(nx - px, ny - py) - 1
@@ -191,7 +187,7 @@ def _ordered(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _pairs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     small, large = _ordered(x, y)
-    keep = _passing(small, large)
+    keep = _passing(*(s[c].astype(np.int64) for s in (small, large) for c in ("n", "place")))
     return np.stack([small["entity"][keep], large["entity"][keep]], 1)
 
 
@@ -260,19 +256,32 @@ def _member_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarra
         yield [rest]
 
 
-def _near(group: np.ndarray, i: int, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the members `among` those that may link with member i by all filters, and by how many bits they differ."""
-    one = np.repeat(group[i : i + 1], len(among))
-    small, large = _ordered(one, group[among])
-    bits = np.bitwise_count(group["signature"][among] ^ group["signature"][i]).sum(1).astype(np.int64)
-    total = one["n"].astype(np.int64) + group["n"][among]
-    keep = _passing(small, large) & (bits <= total - 2 * needed(total, 0))
-    return among[keep], bits[keep]
+class _Group:
+    """The members of a group as columns: comparing one with all others is done with whole columns."""
 
+    def __init__(self, rows: np.ndarray):
+        self.n, self.place = rows["n"].astype(np.int64), rows["place"].astype(np.int64)
+        self.entity, self.signature = np.ascontiguousarray(rows["entity"]), np.ascontiguousarray(rows["signature"])
 
-def _named_pairs(group: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
-    small, large = _ordered(np.repeat(group[i : i + 1], len(others)), group[others])
-    return np.stack([small["entity"], large["entity"]], 1)
+    def near(self, i: int, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the members `among` those that may link with member i by all filters, and by how many bits they differ. Lengths
+        and places go first, signatures are compared of what they leave."""
+        n, place = self.n[i], self.place[i]
+        na, pa_ = self.n[among], self.place[among]
+        is_small = (n < na) | ((n == na) & (self.entity[i] < self.entity[among]))
+        nx, ny = np.where(is_small, n, na), np.where(is_small, na, n)
+        px, py = np.where(is_small, place, pa_), np.where(is_small, pa_, place)
+        among = among[_passing(nx, px, ny, py)]
+        bits = np.bitwise_count(self.signature[among] ^ self.signature[i]).sum(1, dtype=np.int64)
+        total = n + self.n[among]
+        keep = bits <= total - 2 * needed(total, 0)
+        return among[keep], bits[keep]
+
+    def pairs(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Names of member i and of each of the others, the smaller set first."""
+        n, entity = self.n[others], self.entity[others]
+        is_small = (self.n[i] < n) | ((self.n[i] == n) & (self.entity[i] <= entity))
+        return np.stack([np.where(is_small, self.entity[i], entity), np.where(is_small, entity, self.entity[i])], 1)
 
 
 def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,17 +289,21 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     those before. So a group of m members gives 2 m pairs at most."""
     for groups in _member_groups(batches):
         found = []
-        for group in groups:
-            left = np.ones(len(group), bool)
-            everyone = np.arange(len(group))
-            while left.any():
-                i = int(left.argmax())
+        for rows in groups:
+            group, left = _Group(rows), np.ones(len(rows), bool)
+            everyone = np.arange(len(rows))
+            for i in range(len(rows)):
+                if not left[i]:
+                    continue
                 left[i] = False
-                near, bits = _near(group, i, everyone[everyone != i])
-                found.append(_named_pairs(group, i, near[left[near]]))
+                near, bits = group.near(i, everyone)
+                near, bits = near[near != i], bits[near != i]
+                if not len(near):
+                    continue
+                found.append(group.pairs(i, near[left[near]]))
                 before = ~left[near]
                 if before.any():
-                    found.append(_named_pairs(group, i, near[before][[bits[before].argmin()]]))
+                    found.append(group.pairs(i, near[before][[bits[before].argmin()]]))
                 left[near] = False
         yield _emit(found)
 
@@ -303,12 +316,13 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             roots, of, sizes = np.unique(group["root"], return_inverse=True, return_counts=True)
             if len(roots) == 1:
                 continue
-            rows = np.argsort(of == sizes.argmax(), kind="stable")  # the largest component last
-            group, of = group[rows], of[rows]
-            for i in range(len(group) - int(sizes.max())):
-                others = np.arange(i + 1, len(group))
-                near, _ = _near(group, i, others[of[i + 1 :] != of[i]])
-                found.append(_named_pairs(group, i, near))
+            order = np.argsort(of == sizes.argmax(), kind="stable")  # the largest component last
+            columns, of = _Group(group[order]), of[order]
+            for i in range(len(order) - int(sizes.max())):
+                others = np.arange(i + 1, len(order))
+                near, _ = columns.near(i, others[of[i + 1 :] != of[i]])
+                if len(near):
+                    found.append(columns.pairs(i, near))
         yield _emit(found)
 
 
@@ -327,7 +341,7 @@ def _set_rows(wanted: np.ndarray):
                 key = (entity, _digest(s, _SEEDS[1]))
                 if key not in seen:
                     seen.add(key)
-                    out.append((*key, s.view(np.uint8).reshape(-1, 8)[:, 8 - KEPT :].tobytes()))
+                    out.append((*key, s.tobytes()))
             as_long = lambda k: pa.array(np.array([r[k] for r in out], np.uint64).view(np.int64))  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays(
                 [as_long(0), as_long(1), pa.array([r[2] for r in out], pa.binary())], names=["entity", "other", "shingles"]
@@ -343,13 +357,6 @@ def _bit_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["bits"])
 
 
-def _unpacked(kept: memoryview) -> np.ndarray:
-    """Sorted shingles from their upper KEPT bytes."""
-    out = np.zeros((len(kept) // KEPT, 8), np.uint8)
-    out[:, 8 - KEPT :] = np.frombuffer(kept, np.uint8).reshape(-1, KEPT)
-    return out.view("<u8").ravel()
-
-
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
     """Whether two sorted sets link. The suffix filter first: in each range of hashes they share the lesser count at most."""
     alpha = needed(len(x), len(y))
@@ -365,7 +372,7 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [[_unpacked(memoryview(v.as_buffer())) for v in batch.column(k)] for k in (2, 3)]
+        sets = [[np.frombuffer(v.as_buffer(), "<u8") for v in batch.column(k)] for k in (2, 3)]
         linked = pa.array([similar(x, y) for x, y in zip(*sets, strict=True)], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), linked], names=["a", "b", "linked"])
 
@@ -373,15 +380,15 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Verify each pair of entities once: (a, b) as names of sets, those that link."""
     ids = pairs.select("a").union(pairs.select("b"))
-    maps = ids.mapInArrow(_bit_map, "bits binary")
+    maps = ids.mapInArrow(trimmed(_bit_map), "bits binary")
     wanted = summed_vectors(maps, 1 << (MAP_BITS - 3), "uint8", "uint8", np.bitwise_or)
-    sets = texts.mapInArrow(_set_rows(wanted), "entity long, other long, shingles binary")
+    sets = texts.mapInArrow(trimmed(_set_rows(wanted)), "entity long, other long, shingles binary")
     name = F.concat(F.lpad(F.hex("entity"), 16, "0"), F.lpad(F.hex("other"), 16, "0"))
     # Dealt by entity once: for dropping repeated sets and for both joins.
     sets = sets.select("entity", name.alias("name"), "shingles").repartition("entity").dropDuplicates(["entity", "name"])
     left, right = (sets.select(F.col("entity").alias(k), F.col("name").alias(f"name_{k}"), F.col("shingles").alias(f"set_{k}")) for k in "ab")
     rows = pairs.join(left, "a").join(right, "b").select("name_a", "name_b", "set_a", "set_b")
-    return rows.mapInArrow(_verified, "a string, b string, linked boolean").where("linked").select("a", "b")
+    return rows.mapInArrow(trimmed(_verified), "a string, b string, linked boolean").where("linked").select("a", "b")
 
 
 def _joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -395,13 +402,13 @@ def _joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(known.union(alone), "join-labels")
 
 
-def _named(place: int):
-    """All columns, and the name of each row's set: empty without shingles."""
+def _named(place: int, column: str):
+    """All columns, and the name of each row's set in `column`: empty without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = [f"{_digest(s, _SEEDS[0]):016X}{_digest(s, _SEEDS[1]):016X}" if len(s) else "" for s in _sets(batch.column(place))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string())], names=[*batch.schema.names, "_set"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string())], names=[*batch.schema.names, column])
 
     return run
 
@@ -409,22 +416,26 @@ def _named(place: int):
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `df`, with all their columns, without those that have a smaller id in their component.
 
-    Rows without words stay. Of rows that repeat the smallest id and the set, one stays.
+    Rows without words (null and empty texts too) stay. Of rows that repeat the smallest id and the set, one stays. Null ids
+    are larger than any other. Columns may have any names and are passed on; an empty table gives an empty result.
     """
+    taken = {c.lower() for c in df.columns}
+    # Names that no column of the rows has.
+    name, key, kept, copy = (next(x for n in range(len(taken) + 1) if (x := f"_{c}{n}") not in taken) for c in ("set", "key", "kept", "copy"))
     profiled = components(df, id_col, text_col)
     first = profiled.where((F.col("n") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id")))
-    key = F.concat_ws(":", "name", F.col("doc_id").cast("string"))
-    counts = written(first.groupBy(key.alias("_kept")).agg(F.count(F.lit(1)).alias("n")), "join-kept")
-    schema = StructType([*df.schema.fields, StructField("_set", StringType())])
-    rows = df.mapInArrow(_named(df.columns.index(text_col)), schema)
+    of_first = F.concat_ws(":", "name", F.col("doc_id").cast("string"))
+    counts = written(first.groupBy(of_first.alias(kept)).agg(F.count(F.lit(1)).alias("n")), "join-kept")
+    schema = StructType([*df.schema.fields, StructField(name, StringType())])
+    rows = df.mapInArrow(trimmed(_named(df.columns.index(text_col), name)), schema)
     # The id is part of the key, so a large group doesn't meet in one task; rows without words have no partner.
-    own = F.when(F.col("_set") != "", F.concat_ws(":", "_set", rows[id_col].cast("string")))
-    spread = F.xxhash64(*(c for c, kind in df.dtypes if kind in ("string", "bigint", "int", "double")))
-    rows = rows.withColumn("_key", F.coalesce(own, F.concat(F.lit("-"), spread.cast("string"))))
-    kept = rows.join(counts.select("_kept"), F.col("_key") == F.col("_kept"), "left").where("_set = '' or _kept is not null")
+    own = F.when(F.col(name) != "", F.concat_ws(":", name, rows[id_col].cast("string")))
+    spread = F.xxhash64(*(F.col(f"`{c}`") for c, kind in df.dtypes if kind in ("string", "bigint", "int", "double")))
+    rows = rows.withColumn(key, F.coalesce(own, F.concat(F.lit("-"), spread.cast("string"))))
+    found = rows.join(counts.select(kept), F.col(key) == F.col(kept), "left").where((F.col(name) == "") | F.col(kept).isNotNull())
     if not counts.where("n > 1").isEmpty():
-        kept = kept.withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).where("_copy = 1")
-    return kept.select(*df.columns)
+        found = found.withColumn(copy, F.row_number().over(Window.partitionBy(key).orderBy(key))).where(F.col(copy) == 1)
+    return found.select(*(f"`{c}`" for c in df.columns))
 
 
 def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -448,27 +459,27 @@ def components(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
     texts = rows.select("text")
     profile = _profiled(to_arrow_type(df.schema[id_col].dataType))
-    profiles = rows.mapInArrow(profile, f"doc_id {kind}, n long, d1 long, d2 long, signature binary, counts binary")
+    profiles = rows.mapInArrow(trimmed(profile), f"doc_id {kind}, n long, d1 long, d2 long, signature binary, counts binary")
     profiles = written(profiles, "join-profiles")
     counts = summed_vectors(profiles.where("n = -1").select("counts"), 1 << COUNT_BITS)
     docs = profiles.where("n >= 0").select(
         "doc_id", "n", F.concat(F.lpad(F.hex("d1"), 16, "0"), F.lpad(F.hex("d2"), 16, "0")).alias("name")
     )
     parts = max(MIN_PARTS, int(counts.sum()) // 4 * ENTRY.itemsize // TASK_BYTES)
-    blocks = texts.mapInArrow(_prefix_entries(_order(counts), parts), "part long, block binary")
-    groups = written(blocks.repartition(parts, "part").mapInArrow(_grouped, "groups binary"), "join-groups")
-    members = groups.mapInArrow(_large_members, "shingle long, entity long, n long, place long")
+    blocks = texts.mapInArrow(trimmed(_prefix_entries(_order(counts), parts)), "part long, block binary")
+    groups = written(blocks.repartition(parts, "part").mapInArrow(trimmed(_grouped), "groups binary"), "join-groups")
+    members = groups.mapInArrow(trimmed(_large_members), "shingle long, entity long, n long, place long")
     signatures = profiles.where("n > 0").select(F.col("d1").alias("entity"), F.col("n").alias("size"), "signature")
     signatures = signatures.dropDuplicates(["entity"])
     members = written(members.join(signatures.drop("size"), "entity").select(*ENTRY.names, "signature"), "join-members")
 
     def met(rows: DataFrame, how) -> DataFrame:
-        return rows.repartition("shingle").sortWithinPartitions("shingle", "entity").mapInArrow(how, "a long, b long")
+        return rows.repartition("shingle").sortWithinPartitions("shingle", "entity").mapInArrow(trimmed(how), "a long, b long")
 
     first = met(members.withColumn("root", F.col("entity")), _first_pairs)
-    small = groups.mapInArrow(_small_pairs, "a long, b long").distinct()
+    small = groups.mapInArrow(trimmed(_small_pairs), "a long, b long").distinct()
     small = small.join(signatures.toDF("a", "size_a", "signature_a"), "a").join(signatures.toDF("b", "size_b", "signature_b"), "b")
-    small = small.select("a", "b", "size_a", "size_b", "signature_a", "signature_b").mapInArrow(_within_signatures, "a long, b long")
+    small = small.select("a", "b", "size_a", "size_b", "signature_a", "signature_b").mapInArrow(trimmed(_within_signatures), "a long, b long")
     pairs = written(small.union(first).distinct(), "join-pairs")
     links = written(_links(pairs, texts), "join-links")
     labels = connected_components(links)

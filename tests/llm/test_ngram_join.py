@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -114,3 +115,15 @@ def test_bounds():
         x, y = (np.sort(rng.choice(pool, rng.integers(40, 58), replace=False)) for _ in range(2))
         n = len(np.intersect1d(x, y))
         assert similar(x, y) == (100 * n >= 75 * (len(x) + len(y) - n))
+
+
+def test_large_groups_of_unlike_sets_take_seconds():
+    """Thousands of sets that share a rare shingle and nothing else: all are compared, and no pair is left."""
+    rng = np.random.default_rng(5)
+    rows = np.zeros(4000, ngram_join.MEMBER)
+    rows["entity"], rows["n"], rows["place"] = np.arange(1, 4001), rng.integers(60, 80, 4000), rng.integers(0, 5, 4000)
+    rows["signature"] = rng.integers(0, 1 << 63, (4000, 16)).astype(np.uint64)
+    group = ngram_join._Group(rows)
+    begin = time.perf_counter()
+    assert not any(len(group.near(i, np.arange(i))[0]) for i in range(4000))
+    assert time.perf_counter() - begin < 10
