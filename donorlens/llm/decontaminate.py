@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from donorlens.llm.features import NO_WORD, buffers, pieces, words
-from donorlens.llm.store import small_batches, summed_vectors, written
+from donorlens.llm.store import merged_vectors, release_memory, small_batches, summed_vectors, trimmed, written
 
 #: Words of a block, and the most blocks of a passage; a passage begins at each block.
 BLOCK, SPAN = 8, 6
@@ -115,18 +115,27 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], names=["counts"])
 
 
+def _rarities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Inverse document frequencies from the counts, negative for common words."""
+    for batch in batches:
+        for value in batch.column(0):
+            counts = np.frombuffer(value.as_buffer(), np.int64)
+            total, found = max(1, int(counts[-1])), counts[:-1]
+            rarity = np.maximum(np.log((1 + total) / (1 + found)), 0.05).astype(np.float32)
+            signed = np.where(found > max(COMMON * total, 10), -rarity, rarity)
+            yield pa.RecordBatch.from_arrays([pa.array([signed.tobytes()], pa.binary())], names=["rarities"])
+
+
 def _weights(texts: DataFrame, items: list[Item]) -> np.ndarray:
     """Inverse document frequency by bucket, over all documents; 0 for common words that no item depends on."""
-    counted = written(texts.mapInArrow(_frequencies, "counts binary"), "latent-counts")
-    counts = summed_vectors(counted, (1 << DF_BITS) + 1)
-    total, found = max(1, int(counts[-1])), counts[:-1]
-    rarity = np.maximum(np.log((1 + total) / (1 + found)), 0.05).astype(np.float32)
-    weights = np.where(found > max(COMMON * total, 10), np.float32(0), rarity)
-    kept = weights > 0
+    counted = written(texts.mapInArrow(trimmed(_frequencies), "counts binary"), "latent-counts")
+    row = merged_vectors(counted, (1 << DF_BITS) + 1).mapInArrow(trimmed(_rarities), "rarities binary").first()
+    signed = np.frombuffer(row["rarities"], np.float32)
+    weights = np.maximum(signed, np.float32(0))
     for item in items:
         buckets = _bucket(item.words)
-        if kept[buckets].mean() < KEEP:
-            weights[buckets] = rarity[buckets]
+        if (signed[buckets] > 0).mean() < KEEP:
+            weights[buckets] = np.abs(signed[buckets])
     return weights
 
 
@@ -214,6 +223,8 @@ def fit(documents: DataFrame, items: list[Item], item_texts: list[str], weights:
         basis = np.linalg.qr(_step(passages, index, basis))[0]
     values, turn = np.linalg.eigh(basis.T @ _step(passages, index, basis))
     vectors = (basis @ turn[:, np.argsort(-values)[:rank]]).astype(np.float32)
+    del basis, turn
+    release_memory()
     by_span: dict[int, list] = {}
     for i, item in enumerate(items):
         at, value = np.searchsorted(terms, item.words), weights[_bucket(item.words)]
@@ -229,8 +240,11 @@ def fit(documents: DataFrame, items: list[Item], item_texts: list[str], weights:
 
 
 def _step(passages: DataFrame, index: Index, basis: np.ndarray) -> np.ndarray:
-    sums = passages.mapInArrow(_multiplied(index, basis.astype(np.float32)), "sums binary")
-    return summed_vectors(sums, basis.size, "float64", "float64").reshape(basis.shape)
+    shared = passages.sparkSession.sparkContext.broadcast((index, basis.astype(np.float32)))
+    sums = passages.mapInArrow(trimmed(lambda batches: _multiplied(*shared.value)(batches)), "sums binary")
+    total = summed_vectors(sums, basis.size, "float64", "float64").reshape(basis.shape)
+    shared.destroy()  # else the driver keeps each step's copy until it happens to collect its garbage
+    return total
 
 
 def lcs(item: list[int], region: list[int]) -> int:
@@ -431,7 +445,7 @@ def contaminated(
     for indexes in _indexes(docs, benchmark, item_id_col, item_col):
         numbered = [(k * ITEMS + j, item.item_id) for k, (_, items) in enumerate(indexes) for j, item in enumerate(items)]
         names = spark.createDataFrame(numbered, f"item int, item_id {item_kind}")
-        found = docs.mapInArrow(_searched(indexes), f"doc_id {kind}, item int, {scores}")
+        found = docs.mapInArrow(trimmed(_searched(indexes)), f"doc_id {kind}, item int, {scores}")
         result = result.union(found.join(F.broadcast(names), "item").select(*result.columns))
     return result
 
@@ -449,5 +463,5 @@ def clean(
     kept, places = documents, len(documents.columns)
     for indexes in _indexes(docs, benchmark, item_id_col, item_col):
         folded = kept.select("*", F.lower(kept[text_col]).alias("_folded text"))
-        kept = folded.mapInArrow(_clean(indexes, places), documents.schema)
+        kept = folded.mapInArrow(trimmed(_clean(indexes, places)), documents.schema)
     return kept

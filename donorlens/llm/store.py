@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -13,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from donorlens.sources.scratch import delete, new_path
+
 
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package, where they don't find it by PYTHONPATH."""
@@ -27,47 +31,52 @@ def ship_package(spark: SparkSession) -> None:
 
 #: Bytes of texts that go to a Python worker at a time.
 BATCH_BYTES = 8 << 20
+#: Characters of a plan as text. The driver keeps these texts of up to a thousand executions, and makes them anew each time that
+#: a running plan changes; those of many joins are long.
+PLAN_TEXT = 5_000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches to BATCH_BYTES in this session: texts are long, and a batch exists in several copies."""
+    """Keep Arrow batches to BATCH_BYTES in this session: texts are long, and a batch exists in several copies. Keep plans as
+    text to PLAN_TEXT, unless the session sets a length of its own."""
+    length = spark.conf.get("spark.sql.maxPlanStringLength").rstrip("b")
+    if length.isdigit() and int(length) > 1 << 30:
+        spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key, f"{64 << 20}b").rstrip("b")
     if not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; only where none is named (local tests) a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="llm-checkpoint-"))
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return current.get()
+#: Paths that `written` has made, in order.
+_WRITTEN: list[str] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it again: its lineage ends there, so a lost executor
     costs a read, not a recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, f"llm-{name}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession, since: int | None = None) -> int:
+    """Delete what `written` has made since there were so many tables, but for the last one. Gives how many there are now."""
+    if since is not None:
+        for path in _WRITTEN[since:-1]:
+            delete(spark, path)
+        del _WRITTEN[since:-1]
+    return len(_WRITTEN)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def summed_vectors(vectors: DataFrame, size: int, dtype: str = "int64", leaf: str = "int32", combine=np.add) -> np.ndarray:
-    """Sum (or else `combine`) the byte vectors in the only column of `vectors`, each of `size` numbers, in a tree of merges.
-
-    `size` is a fixed parameter of the caller, so each merge and the result on the driver are bounded. The vectors are of
-    type `leaf`, sums of type `dtype`.
-    """
+def merged_vectors(vectors: DataFrame, size: int, dtype: str = "int64", leaf: str = "int32", combine=np.add) -> DataFrame:
+    """The sum (or else `combine`) of the byte vectors in the only column of `vectors`, each of `size` numbers, as one row. They
+    are merged in a tree, so that no task holds more than 16 of them. The vectors are of type `leaf`, sums of type `dtype`."""
     column = vectors.columns[0]
 
     def numbers(value: memoryview) -> np.ndarray:
@@ -81,10 +90,35 @@ def summed_vectors(vectors: DataFrame, size: int, dtype: str = "int64", leaf: st
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=[column])
 
     parts = vectors.rdd.getNumPartitions()
-    while parts > 16:
-        parts = max(1, parts // 16)
+    while True:
+        parts = max(1, -(-parts // 16))
         vectors = vectors.repartition(parts).mapInArrow(merge, vectors.schema)
-    total = np.zeros(size, dtype)
-    for row in vectors.toLocalIterator():
-        combine(total, numbers(memoryview(row[0])), out=total)
+        if parts == 1:
+            return vectors
+
+
+def summed_vectors(vectors: DataFrame, size: int, dtype: str = "int64", leaf: str = "int32", combine=np.add) -> np.ndarray:
+    """`merged_vectors` on the driver: `size` is a fixed parameter of the caller, so what comes is bounded."""
+    row = merged_vectors(vectors, size, dtype, leaf, combine).first()
+    total = np.frombuffer(row[0], dtype).copy() if row else np.zeros(size, dtype)
+    del row
+    release_memory()
     return total
+
+
+def trimmed(run):
+    """The function for `mapInArrow`, giving its freed memory back when a task ends. Workers live on for other tasks, and what
+    each of an executor's workers keeps adds up."""
+
+    def with_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release_memory()
+
+    return with_release
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: large arrays that went leave holes which the allocator keeps."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # other systems have no such call
+        ctypes.CDLL(None).malloc_trim(0)

@@ -36,3 +36,20 @@ def test_representatives_of_repeated_rows(spark):
     assert kept.columns == documents(spark, rows).columns
     got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
     assert got == sorted([(1, "a b c d e f"), (1, "other words"), (3, None), (3, ""), (None, "x y z")], key=str)
+
+
+def test_stages_take_nulls_empty_tables_and_any_column(spark):
+    """Nulls in all columns, empty and very long texts, repeated rows, and columns that are named like the operators' own."""
+    names = ["_set", "_key", "_kept", "_copy", "_label", "n", "name", "leaf", "key", "shard", "size", "token", "taken", "epoch"]
+    rows = [(1, None, None, None, None), (None, "a b c d e f", "en", None, 11), (2, "", None, "src1", 0), (2, "", None, "src1", 0)]
+    rows += [(3, "word " * 30_000, "de", "src2", 150_000), (4, "x", "de", "src2", 1), (5, "some plain words of text here", "en", "src0", None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    own = spark.createDataFrame([(*r, *["x"] * len(names)) for r in rows], schema)
+    for table in (own, own.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, table, SF_DIR)
+            assert got.columns == own.columns, name
+            ids = {r["doc_id"] for r in got.collect()}
+            assert ids <= {1, 2, 3, 4, 5, None} and (table is own or not ids), name
+        shards = corpus_pipeline.STAGES[-1][1](spark, table, SF_DIR)
+        assert shards.count() == table.count()
