@@ -14,12 +14,11 @@ from pyspark.sql import functions as F
 
 from donorlens.llm.skew import attach
 from donorlens.llm.store import written
+from donorlens.operators.ordered import Ordered
 
 BINS = 2048
 #: A cut is near enough when the bin that holds it has less than one in so many of the node's bytes.
 PRECISION = 4000
-#: Equal texts stay in one shard unless they make up more than one in so many of a shard's bytes.
-HEAVY = 50
 #: Rows whose slots one task numbers.
 BUCKET_ROWS = 50_000
 TIE_TOP = (1 << 63) - 1
@@ -46,10 +45,18 @@ class Node:
         return F.when(left, self.children[0].assign()).otherwise(self.children[1].assign())
 
 
-def prefix_number(text: Column) -> Column:
-    """The first seven bytes of a text as a number, in the same order; null comes first."""
-    first = F.substring(F.coalesce(text, F.lit("")).cast("binary"), 1, 7)
-    return F.conv(F.rpad(F.hex(first), 14, "0"), 16, 10).cast("long")
+def _with_places(rows: DataFrame, column: str, total: int) -> DataFrame:
+    """`rows` with the text in `column` replaced by its place among the distinct texts in their order; null is place 0.
+
+    The distinct texts are put in order by ranges, and a text that many rows have is broadcast to them (at most HOT_SHARES)."""
+    counts = written(rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n")), "kd-texts")
+    places = Ordered(counts, column).running().select(column, "n", F.col("row_number").alias("place"))
+    others = [c for c in rows.columns if c != column]
+    # Nulls join nothing; they are spread by their hash.
+    key = F.coalesce(F.concat(F.lit("="), F.col(column)), F.concat(F.lit("-"), F.col("hash").cast("string")))
+    facts = places.select(F.concat(F.lit("="), F.col(column)).alias("_text"), "n", "place")
+    found = attach(rows.withColumn("_text", key), facts, "_text", "n", total)
+    return found.select(*others, F.coalesce("place", F.lit(0)).cast("long").alias(column))
 
 
 def kd_shards(
@@ -65,15 +72,15 @@ def kd_shards(
     `size` is the UTF-8 bytes of the text plus 1; null counts as empty. Shards are as near in bytes as the largest rows at
     the cuts allow (law `bytes`); `slot` numbers a shard's rows from 0; `grown_shard` is null. The number of shards is
     given, or the bytes divided by `target_bytes`. Equal texts (by CRC-32 and 64-bit hash) share the least of their metadata
-    and stay in one shard, unless they are more than a 1 / HEAVY of it; then ids divide them. Null metadata comes first; a
-    dimension that the table lacks is left out. Rows that repeat an id and a text go to one shard. An empty table gives an empty result; shards may
+    and stay in one shard, unless they alone are more than a shard's part of all bytes; then ids divide them. Texts of
+    metadata count by their place among the distinct ones in order, nulls come first; a dimension that the table lacks is left
+    out. Rows that repeat an id and a text go to one shard. An empty table gives an empty result; shards may
     stay empty where there are fewer rows than shards.
     """
     text = F.coalesce(df[text_col], F.lit(""))
     names = [d for d in dims if d in df.columns]
-    coordinates = [
-        prefix_number(df[d]) if df.schema[d].dataType.typeName() == "string" else F.coalesce(df[d].cast("long"), F.lit(-1)) for d in names
-    ]
+    texts = [f"dim_{i}" for i, d in enumerate(names) if df.schema[d].dataType.typeName() == "string"]
+    coordinates = [df[d] if f"dim_{i}" in texts else F.coalesce(df[d].cast("long"), F.lit(-1)) for i, d in enumerate(names)]
     columns = [f"dim_{i}" for i in range(len(names))] or ["tie"]
     crc = F.crc32(text.cast("binary"))
     rows = written(
@@ -88,11 +95,14 @@ def kd_shards(
     )
     total, n_rows = rows.agg(F.sum("size"), F.count(F.lit(1))).first()
     total = total or 0
+    for column in texts:
+        rows = _with_places(rows, column, n_rows)
+    rows = written(rows, "kd-placed") if texts else rows
     shards = shards or max(1, -(-total // target_bytes))
     least = [F.min(f"dim_{i}").alias(f"dim_{i}") for i in range(len(names))]
     groups = rows.groupBy("content").agg(F.count(F.lit(1)).alias("copies"), F.sum("size").alias("weight"), *least)
     own = rows.select("doc_id", "size", "text_crc32", "hash", "content")
-    divided = F.col("weight").cast("double") * (HEAVY * shards) > total
+    divided = F.col("weight").cast("decimal(38,0)") * shards > total
     low = F.when(divided, F.xxhash64("doc_id")).otherwise(F.col("hash")).bitwiseAND(F.lit(0x7FFFFFFF))
     tie = F.shiftleft("text_crc32", 31).bitwiseOR(low)
     placed = attach(own, written(groups, "kd-groups"), "content", "copies", n_rows)
@@ -186,8 +196,7 @@ def _numbered(rows: DataFrame) -> DataFrame:
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     place = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32"))
-    # One row for BUCKET_ROWS documents and shard.
-    return rows.withColumn("place", place).join(F.broadcast(offsets), ["shard", "bucket"]).select(
+    return rows.withColumn("place", place).join(offsets, ["shard", "bucket"]).select(
         "doc_id",
         "size",
         "text_crc32",
