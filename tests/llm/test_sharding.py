@@ -28,7 +28,8 @@ def test_equal_bytes(spark, shards):
 
 
 def test_split_is_the_weighted_median(spark):
-    rows = [(i, "x" * (i % 50)) for i in range(2000)]
+    """All texts differ: those that are equal stay together and can only be cut between."""
+    rows = [(i, f"{i:04}" + "x" * (i % 50)) for i in range(2000)]
     docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, n_chars long")
     got = kd_shards(docs, shards=2).collect()
     check(rows, got, 2)
@@ -100,3 +101,14 @@ def test_groups_lighter_than_a_shard_stay_whole(spark):
     check(rows, got, 8)
     shard = {r["doc_id"]: r["shard"] for r in got}
     assert len({shard[i] for i in range(5000, 5010)}) == 1 and len({shard[i] for i in range(6000, 6180)}) == 1
+
+
+def test_a_cut_lies_at_the_nearer_edge_of_a_group(spark):
+    """Forty copies of each of fifty texts: the cut next to the median that divides no group."""
+    rows = [(i, "x" * (i % 50)) for i in range(2000)]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, n_chars long")
+    got = kd_shards(docs, shards=2).collect()
+    check(rows, got, 2)
+    before = [40 * k * (k + 1) // 2 for k in range(51)]
+    nearest = min(before, key=lambda b: abs(b - before[-1] / 2))
+    assert sum(r["size"] for r in got if r["shard"] == 0) == nearest
