@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import itertools
 import os
 import shutil
 import tempfile
@@ -48,8 +49,11 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-#: Paths that `written` has made, in order.
+#: Paths that `written` has made, in order; and after how many tables the driver's garbage is collected. Spark lets go of what
+#: broadcasts and shuffles hold on the driver only then, and its heap does not shrink otherwise.
 _WRITTEN: list[str] = []
+COLLECT_EVERY = 4
+_tables = itertools.count(1)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -58,6 +62,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, f"llm-{name}")
     df.write.parquet(path)
     _WRITTEN.append(path)
+    if next(_tables) % COLLECT_EVERY == 0:
+        df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
