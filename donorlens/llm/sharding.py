@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from donorlens.llm.skew import attach
-from donorlens.llm.store import written
+from donorlens.llm.store import collect_garbage, written
 from donorlens.operators.ordered import Ordered
 
 BINS = 2048
@@ -140,6 +140,7 @@ def _split_level(points: DataFrame, root: Node, columns: list[str], extent: dict
             c.narrow({r["bin"]: r["size"] for r in sums if r["node"] == c.leaf.first})
     for c in cuts.values():
         c.leaf.cut = c.cut
+    collect_garbage(points.sparkSession)
     return extent
 
 

@@ -1,5 +1,5 @@
 import corpus_pipeline
-from donorlens.llm import ngram_join, quality
+from donorlens.llm import ngram_join, quality, sharding, store
 from donorlens.llm.decontaminate import contaminated
 
 from .common import SF_DIR, documents
@@ -53,3 +53,17 @@ def test_stages_take_nulls_empty_tables_and_any_column(spark):
             assert ids <= {1, 2, 3, 4, 5, None} and (table is own or not ids), name
         shards = corpus_pipeline.STAGES[-1][1](spark, table, SF_DIR)
         assert shards.count() == table.count()
+
+
+def test_drivers_garbage_goes_after_each_table(spark, monkeypatch):
+    """After each written table, each vector that came to the driver, and each level of the tree of shards."""
+    calls = []
+    monkeypatch.setattr(store, "collect_garbage", calls.append)
+    monkeypatch.setattr(sharding, "collect_garbage", calls.append)
+    for n in (1, 2, 3):
+        store.written(spark.range(n), "garbage")
+        assert len(calls) == n
+    vectors = spark.createDataFrame([(b"\1\2",), (b"\3\4",)], "v binary")
+    assert store.summed_vectors(vectors, 2, "uint8", "uint8").tolist() == [4, 6] and len(calls) == 4
+    sharding.kd_shards(documents(spark, [(i, f"text {i}") for i in range(20)]), shards=8)
+    assert len(calls) >= 4 + 3 + 3  # at least three tables, and three levels
