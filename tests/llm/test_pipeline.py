@@ -1,6 +1,13 @@
+import re
+from pathlib import Path
+
+import numpy as np
+import pytest
+
 import corpus_pipeline
 from donorlens.llm import ngram_join, quality
 from donorlens.llm.decontaminate import contaminated
+from donorlens.llm.store import summed_vectors, written
 
 from .common import SF_DIR, documents
 from .test_ngram_join import brute
@@ -53,3 +60,29 @@ def test_stages_take_nulls_empty_tables_and_any_column(spark):
             assert ids <= {1, 2, 3, 4, 5, None} and (table is own or not ids), name
         shards = corpus_pipeline.STAGES[-1][1](spark, table, SF_DIR)
         assert shards.count() == table.count()
+
+
+@pytest.mark.parametrize("step", ["a table", "a vector"])
+def test_driver_gives_freed_memory_back(spark, step):
+    """Many small pieces that the JVM has freed between others don't stay with it."""
+    one = np.ones(4, "int32").tobytes()
+    vectors = spark.createDataFrame([(bytearray(one),)], "v binary")
+    run = {"a table": lambda: written(vectors, "test-freed"), "a vector": lambda: summed_vectors(vectors, 4)}[step]
+    run()
+    native, page = spark._jvm.org.apache.spark.unsafe.Platform, 1 << 16
+    pieces = [native.allocateMemory(page) for _ in range(2000)]
+    try:
+        for piece in pieces[1:]:
+            native.copyMemory(None, pieces[0], None, piece, page)
+        kept, freed = pieces[::50], [p for k, p in enumerate(pieces) if k % 50]
+        pieces = kept
+        for piece in freed:
+            native.freeMemory(piece)
+        status = Path(f"/proc/{spark._jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup")
+        held = lambda: int(re.search(r"\nAnonymous:\s+(\d+)", status.read_text())[1]) / 1024
+        before = held()
+        run()
+        assert held() < before - 60
+    finally:
+        for piece in pieces:
+            native.freeMemory(piece)
